@@ -4,17 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curvemill.llm import mixing
+from curvemill.llm import mixing, tokens
 from curvemill.llm.shared import table
 
+#: The public tokenizer file of op8 and of the pipeline.
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def byte_bpe(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokens.tokenize(spark, docs, byte_bpe())
+
+
 QUERIES = {
     "op2_source_mix": op2_source_mix,
+    "op8_token_files": op8_token_files,
 }
 
 #: Queries that SQL can express. The others are tested against brute force in tests/llm.

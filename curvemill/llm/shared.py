@@ -51,3 +51,10 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def as_uri(path: str) -> str:
+    """The path as a URI that pyarrow's file systems take; Hadoop writes file:/x for file:///x."""
+    if path.startswith("file:/") and not path.startswith("file://"):
+        return "file://" + path[5:]
+    return path if "://" in path else f"file://{path}"
