@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curvemill.llm import mixing, tokens
+from curvemill.llm import mixing, quality, tokens
 from curvemill.llm.shared import table
 
 #: The public tokenizer file of op8 and of the pipeline.
@@ -27,9 +27,14 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.tokenize(spark, docs, byte_bpe())
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), ["doc_id"])
+
+
 QUERIES = {
     "op2_source_mix": op2_source_mix,
     "op8_token_files": op8_token_files,
+    "op9_quality_rules": op9_quality_rules,
 }
 
 #: Queries that SQL can express. The others are tested against brute force in tests/llm.
