@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curvemill.llm import mixing, quality, tokens
+from curvemill.llm import mixing, quality, tokens, urls, warc
 from curvemill.llm.shared import table
 
 #: The public tokenizer file of op8 and of the pipeline.
@@ -17,11 +17,20 @@ def byte_bpe(name: str = TOKENIZER) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge(pages, urls.train(urls.labelled_sample(pages)), keep=["page_id"])
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(spark, table(spark, sf_dir, "pages")).drop("url", "payload")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return tokens.tokenize(spark, docs, byte_bpe())
@@ -32,7 +41,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op2_source_mix": op2_source_mix,
+    "op3_warc_archive": op3_warc_archive,
     "op8_token_files": op8_token_files,
     "op9_quality_rules": op9_quality_rules,
 }
@@ -40,4 +51,5 @@ QUERIES = {
 #: Queries that SQL can express. The others are tested against brute force in tests/llm.
 ORACLE_SQL = {
     "op2_source_mix": mixing.MIX_SQL,
+    "op3_warc_archive": warc.WARC_SQL,
 }
