@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curvemill.llm import mixing, quality, tokens, urls, warc
+from curvemill.llm import decontaminate, mixing, quality, tokens, urls, warc
 from curvemill.llm.shared import table
 
 #: The public tokenizer file of op8 and of the pipeline.
@@ -31,6 +31,11 @@ def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(spark, table(spark, sf_dir, "pages")).drop("url", "payload")
 
 
+def op6_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark").select("item_id", "text")).drop("text")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return tokens.tokenize(spark, docs, byte_bpe())
@@ -44,6 +49,7 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_source_mix": op2_source_mix,
     "op3_warc_archive": op3_warc_archive,
+    "op6_benchmark_leaks": op6_benchmark_leaks,
     "op8_token_files": op8_token_files,
     "op9_quality_rules": op9_quality_rules,
 }
@@ -52,4 +58,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_source_mix": mixing.MIX_SQL,
     "op3_warc_archive": warc.WARC_SQL,
+    "op6_benchmark_leaks": decontaminate.DECONTAMINATE_SQL,
 }
