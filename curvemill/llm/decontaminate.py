@@ -8,7 +8,7 @@ are joined; of these candidates the position of the prefix in the window gives t
 room for the window, and the words from there on are compared with the window's.
 
 Documents are exploded into words on the fly and only candidates are ever shuffled. The windows and their prefixes are broadcast if
-their stored table has at most ``BROADCAST_BYTES``; beyond, the words are joined by shuffle, with the same result.
+their stored table has at most 32 MB of files; beyond, the words are joined by shuffle, with the same result.
 
 Defined cases: a null text has no words; an item without words has no window; an item without an id marks words but is not
 counted among the items; of repeated items each id counts once; rows with equal id and text get the same row each; a null document id
@@ -20,12 +20,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curvemill.llm.shared import lower_ascii, stored
+from curvemill.llm.shared import lower_ascii, small, stored
 
 #: Runs of digits, letters and bytes beyond ASCII, after lower-casing A-Z.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SIZE = 10
-BROADCAST_BYTES = 32 << 20
 ADDED = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
@@ -41,19 +40,10 @@ def item_windows(items: DataFrame, size: int = SIZE) -> DataFrame:
     return cut.groupBy("window").agg(F.collect_set("item").alias("items"))
 
 
-def _fits(table: DataFrame) -> bool:
-    """Whether the table, by the size of its stored files as Spark knows it, may be broadcast."""
-    return int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= BROADCAST_BYTES
-
-
-def _small(table: DataFrame) -> DataFrame:
-    return F.broadcast(table) if _fits(table) else table
-
-
 def prefixes(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """(token, at, window, items): each window with its rarest word and where in the window that stands, from 0."""
     vocabulary = stored(windows.select(F.explode("window").alias("token")).distinct(), "window-words")
-    counts = docs.select(F.explode(words(F.col("text"))).alias("token")).join(_small(vocabulary), "token").groupBy("token").count()
+    counts = docs.select(F.explode(words(F.col("text"))).alias("token")).join(small(vocabulary), "token").groupBy("token").count()
     rarity = vocabulary.join(counts, "token", "left").select("token", F.coalesce("count", F.lit(0)).alias("n"))
     placed = windows.select("window", "items", F.posexplode("window").alias("at", "token")).join(rarity, "token")
     rarest = placed.groupBy("window").agg(F.min(F.struct("n", "token", "at")).alias("rarest"), F.first("items").alias("items"))
@@ -65,7 +55,7 @@ def occurrences(docs: DataFrame, prefix: DataFrame) -> DataFrame:
     placed = docs.select("doc_id", "text", words(F.col("text")).alias("w")).select("doc_id", "text", "w", F.posexplode("w").alias("pos", "token"))
     start = F.col("pos") - F.col("at")
     size = F.size("window")
-    candidates = placed.join(_small(prefix), "token").where((start >= 0) & (start + size <= F.size("w")))
+    candidates = placed.join(small(prefix), "token").where((start >= 0) & (start + size <= F.size("w")))
     found = candidates.where(F.slice("w", start + 1, size) == F.col("window"))
     return found.select("doc_id", F.xxhash64("text").alias("digest"), start.alias("start"), size.alias("size"), "items")
 
@@ -96,7 +86,7 @@ def clean_documents(docs: DataFrame, items: DataFrame, size: int = SIZE) -> Data
     slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     prefix = stored(prefixes(slim, windows), "prefixes")
     dirty = occurrences(slim, prefix).select(F.col("doc_id").alias("hit_id"), F.col("digest").alias("hit_digest")).distinct()
-    dirty = _small(stored(dirty, "contaminated"))
+    dirty = small(stored(dirty, "contaminated"))
     same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("hit_digest"))
     return docs.join(dirty, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curvemill.llm import brown, decontaminate, mixing, quality, tokens, urls, warc
+from curvemill.llm import brown, decontaminate, minhash, mixing, quality, tokens, urls, warc
 from curvemill.llm.shared import table
 
 #: The public tokenizer file of op8 and of the pipeline.
@@ -35,6 +35,10 @@ def op4_class_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark").select("item_id", "text")).drop("text")
@@ -54,6 +58,7 @@ QUERIES = {
     "op2_source_mix": op2_source_mix,
     "op3_warc_archive": op3_warc_archive,
     "op4_class_model": op4_class_model,
+    "op5_near_duplicates": op5_near_duplicates,
     "op6_benchmark_leaks": op6_benchmark_leaks,
     "op8_token_files": op8_token_files,
     "op9_quality_rules": op9_quality_rules,

@@ -53,6 +53,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A stored table of at most so many bytes of files may be broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def small(table: DataFrame) -> DataFrame:
+    """A stored table, marked for broadcast if its files are small enough; else it is joined as Spark sees fit."""
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(table) if size <= BROADCAST_BYTES else table
+
+
 def as_uri(path: str) -> str:
     """The path as a URI that pyarrow's file systems take; Hadoop writes file:/x for file:///x."""
     if path.startswith("file:/") and not path.startswith("file://"):
