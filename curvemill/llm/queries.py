@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curvemill.llm import brown, decontaminate, minhash, mixing, quality, tokens, urls, warc
+from curvemill.llm import brown, decontaminate, licenses, minhash, mixing, pii, quality, tokens, urls, warc
 from curvemill.llm.shared import table
 
 #: The public tokenizer file of op8 and of the pipeline.
@@ -44,6 +44,10 @@ def op6_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark").select("item_id", "text")).drop("text")
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return tokens.tokenize(spark, docs, byte_bpe())
@@ -53,6 +57,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), ["doc_id"])
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_source_mix": op2_source_mix,
@@ -60,8 +68,10 @@ QUERIES = {
     "op4_class_model": op4_class_model,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_benchmark_leaks": op6_benchmark_leaks,
+    "op7_personal_data": op7_personal_data,
     "op8_token_files": op8_token_files,
     "op9_quality_rules": op9_quality_rules,
+    "op10_license_scan": op10_license_scan,
 }
 
 #: Queries that SQL can express. The others are tested against brute force in tests/llm.
