@@ -93,7 +93,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
         plan = F.broadcast(plan)
 
     kept = [x for x in docs.columns if x not in ADDED]
-    sized = docs.withColumn("size", word_count(F.col(text_col)) if text_col in docs.columns else F.col("size"))
+    sized = docs.withColumn("size", word_count(F.col(text_col)))
     p = plan.alias("p")
     joined = sized.alias("x").join(p, F.col(f"x.{source_col}").cast("string").eqNullSafe(F.col("p.source")), "left")
     key, size = _key(F.col(f"x.{id_col}"), seed), F.col("x.size")
@@ -106,10 +106,13 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     )
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every row of docs as often as it is taken, with the columns of docs."""
-    taken = mix(docs, **options)
-    return taken.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("repeats")))).select(*[F.col(f"`{x}`") for x in docs.columns])
+def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
+    """The mix itself: every row of docs as often as it is taken, with the columns of docs, whatever their names."""
+    own = {c: f"_{i}" for i, c in enumerate(docs.columns)}
+    plain = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in own.items()])
+    taken = mix(plain, id_col=own[id_col], source_col=own[source_col], text_col=own[text_col], **options)
+    copies = taken.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("repeats"))))
+    return copies.select(*[F.col(a).alias(c) for c, a in own.items()])
 
 
 #: DuckDB SQL for the query op2: the same buckets are not needed there, a running sum by key gives the same cut.
