@@ -1,8 +1,59 @@
-"""The corpus pipeline: filters, removes near copies and leaks, mixes and writes token ids."""
+"""The corpus pipeline over ``documents``: quality rules, near-duplicates, leaks, mixing, token files.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is stored as Parquet and read again as the next stage's
+docs. All but the last return the columns of documents:
+
+1. quality: documents that the quality rules reject go;
+2. dedup: of each class of near-duplicates the document with the smallest id stays;
+3. decontaminate: documents in which any window of a benchmark item occurs go;
+4. mix: sources are mixed to their target weights; a document taken twice is there twice;
+5. tokens: token files are written and read back, one row a document with its place and checksum.
+
+ORACLE_SQL is None: perplexity bands, signatures and token ids are not SQL; tests/llm holds the stages against brute force.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from curvemill.llm import decontaminate, minhash, mixing, quality, tokens
+from curvemill.llm.queries import byte_bpe
+from curvemill.llm.shared import stored, table
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.kept_documents(docs)
+
+
+def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.distinct_documents(docs)
+
+
+def keep_unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(docs)
+
+
+def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return tokens.tokenize(spark, docs.select("doc_id", "text"), byte_bpe())
+
+
+STAGES = [
+    ("quality", keep_good),
+    ("dedup", keep_distinct),
+    ("decontaminate", keep_unleaked),
+    ("mix", mix_sources),
+    ("tokens", write_token_files),
+]
 
-STAGES: list = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
