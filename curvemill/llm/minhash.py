@@ -1,15 +1,15 @@
 """Near-duplicate documents by ProbMinHash signatures, banding and exact verification.
 
 A text is its multiset of shingles (five words in a row, A-Z lower-cased; a shorter text is one shingle). Each distinct
-shingle is a Poisson process whose rate is its number of occurrences; its points fall into ``BANDS * ROWS`` registers, and
+shingle is a Poisson process whose rate is its weight, one plus the logarithm of its number of occurrences; its points fall into ``BANDS * ROWS`` registers, and
 the shingle of the first point in a register is the signature's entry there, so two entries agree with
 the probability Jaccard of the weighted shingles. Points of one shingle come in order of time, and it is given up as soon as it is
 later than every register's first point. A batch of texts advances together, one point a shingle at a time.
 
 Exact copies (equal texts) are put together first and stand as one document. Signatures are cut into bands; in
-each bucket (equal band) every member is compared with the bucket's leader, and verified links (exact Jaccard of the shingle
-sets of at least ``THRESHOLD``) give components. A bucket whose members are all in one component needs no more. In the others the leader, whose pairs
-are all done, is taken out and some further members lead, until every bucket is one component or empty: so all
+each bucket (equal band) every member is compared with the bucket's own leader, and verified links (exact Jaccard of the shingle
+sets of at least ``THRESHOLD``) give components. A bucket whose members are seen to be in one component (by a few hops of links) needs no more. In the others the leader,
+whose pairs are all done, is taken out and ``LEADERS`` further members lead, until every bucket is one component or empty: so all
 pairs of a bucket in different components get verified, and none is emitted that cannot change the result. A bucket of n costs n
 comparisons a leader, never n squared at once.
 
@@ -37,7 +37,7 @@ from curvemill.llm.textbuf import WORD_BYTE, Texts, byte_values, mix64, pieces,
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
 #: Members of a bucket that lead in one further round, on average; in buckets of at most ALL_LEAD every member does.
-LEADERS, ALL_LEAD = 8, 24
+LEADERS, ALL_LEAD = 32, 64
 _VALUES = byte_values(True, WORD_BYTE)
 
 
@@ -61,11 +61,11 @@ def shingles(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 def weighted(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (shingle, text) with their number of occurrences."""
+    """Distinct (shingle, text) with their weight: 1 + ln(occurrences), so a line that is repeated all over does not stand for the text."""
     codes, keys = pd.factorize(hashes ^ mix64(owner.astype(np.uint64) + np.uint64(1)))
     one = np.zeros(len(keys), np.int64)
     one[codes] = np.arange(len(codes))
-    return hashes[one], owner[one], np.bincount(codes, minlength=len(keys)).astype(float)
+    return hashes[one], owner[one], 1 + np.log(np.bincount(codes, minlength=len(keys)))
 
 
 def signatures(element: np.ndarray, owner: np.ndarray, weight: np.ndarray, n: int, registers: int = BANDS * ROWS) -> np.ndarray:
@@ -142,39 +142,50 @@ def _verify(threshold: float):
     return verify
 
 
-def verified(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Of pairs (a, b) of document ids, a stored table, those whose texts' shingle sets have at least that Jaccard."""
-    needed = small(stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "needed"))
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    texts = stored(slim.join(needed, "doc_id", "left_semi"), "candidates")
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Of pairs (a, b) of document ids those whose texts' shingle sets have at least that Jaccard; texts has doc_id and text."""
     second = pairs.join(texts.withColumnRenamed("doc_id", "b"), "b")
     both = second.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("lead_text")), "a")
     return stored(both.select("a", "b", "text", "lead_text").mapInArrow(_verify(threshold), "a long, b long"), "links")
 
 
+def near_labels(links: DataFrame, hops: int = 3) -> DataFrame:
+    """(node, label): the smallest node within so many links of each. Equal labels mean one component; different ones need not mean two."""
+    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    label = both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label"))
+    for _ in range(hops - 1):
+        near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        label = near.join(label, "node").select("node", F.least("near", "label").alias("label"))
+    return small(stored(label, "labels"))
+
+
 def near_links(members: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b) verified links between the members of buckets; members is a stored table (bucket, node)."""
-    order = F.struct(F.xxhash64("node").alias("order"), F.col("node").alias("node"))
+    order = F.struct(F.xxhash64("node", "bucket").alias("order"), F.col("node").alias("node"))  # each bucket has a leader of its own
     crowds = members.groupBy("bucket").agg(F.min(order).alias("lead"), F.count("*").alias("n")).where("n > 1")
     crowds = small(stored(crowds.select("bucket", F.col("lead.node").alias("a")), "leaders"))
-    led = members.join(crowds, "bucket").where("node <> a")
+    crowded = stored(members.join(crowds, "bucket"), "members")
+    needed = small(stored(crowded.select(F.col("node").alias("doc_id")).distinct(), "needed"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = stored(slim.join(needed, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "candidates")
+    led = crowded.where("node <> a")
     pairs = stored(led.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "pairs")
-    links, rest, turn = verified(pairs, docs, threshold), led.select("bucket", "node"), 0
+    links, rest, turn = verified(pairs, texts, threshold), led.select("bucket", "node"), 0
     while True:
         turn += 1
-        labels = small(stored(components(links), "labels"))
-        named = stored(rest.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component")), "members")
-        buckets = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.min(order).alias("lead"))
+        named = rest.join(near_labels(links), "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+        named = stored(named, "members")
+        buckets = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.min(order).alias("lead"))
         buckets = stored(buckets.where("low <> high").select("bucket", "n", F.col("lead.node").alias("first")), "buckets")
         if buckets.isEmpty():
             return links
         chance = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 30)) / float(1 << 30)
         leads = (F.col("node") == F.col("first")) | (F.col("n") <= ALL_LEAD) | (chance < LEADERS / F.col("n"))
-        marked = stored(named.join(small(buckets), "bucket").select("bucket", "node", "component", leads.alias("leads")), "members")
-        leaders = small(stored(marked.where("leads").select("bucket", F.col("node").alias("a"), F.col("component").alias("other")), "leaders"))
-        met = marked.join(leaders, "bucket").where("component <> other")
+        marked = stored(named.join(small(buckets), "bucket").select("bucket", "node", "label", leads.alias("leads")), "members")
+        leaders = small(stored(marked.where("leads").select("bucket", F.col("node").alias("a"), F.col("label").alias("other")), "leaders"))
+        met = marked.join(leaders, "bucket").where("label <> other")
         pairs = stored(met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "pairs")
-        links = stored(links.union(verified(pairs, docs, threshold)), "links")
+        links = stored(links.union(verified(pairs, texts, threshold)), "links")
         rest = marked.where(~F.col("leads")).select("bucket", "node")
 
 
