@@ -6,12 +6,15 @@ the shingle of the first point in a register is the signature's entry there, so
 the probability Jaccard of the weighted shingles. Points of one shingle come in order of time, and it is given up as soon as it is
 later than every register's first point. A batch of texts advances together, one point a shingle at a time.
 
-Exact copies (equal texts) are put together first and stand as one document. Signatures are cut into bands; in
-each bucket (equal band) every member is compared with the bucket's own leader, and verified links (exact Jaccard of the shingle
-sets of at least ``THRESHOLD``) give components. A bucket whose members are seen to be in one component (by a few hops of links) needs no more. In the others the leader,
-whose pairs are all done, is taken out and ``LEADERS`` further members lead, until every bucket is one component or empty: so all
-pairs of a bucket in different components get verified, and none is emitted that cannot change the result. A bucket of n costs n
-comparisons a leader, never n squared at once.
+Exact copies (equal texts) are put together first and stand as one document. Signatures are cut into bands, and a
+pair is a candidate if it shares a bucket (an equal band). Verification is by the Jaccard of the shingle sets, at least ``THRESHOLD``, on
+32-bit fingerprints of shingles (two texts of 550 words have a false match with probability 7e-5).
+
+First every member of a bucket is compared with the bucket's own leader. Members that hang together with their leader over a few of these links are
+settled and need no comparison with one another. The others are compared with all members: a bucket is dealt into blocks of
+``BLOCK``, and every pair of blocks but settled ones is a group of bounded size, in which pairs are first screened by their signatures, taken only in the
+first bucket they share, and verified unless both are already in one component of the group. So no candidate pair between components is left out,
+pairs are never emitted, only links that join, and a hot bucket is many small groups.
 
 At ROWS = 5 and BANDS = 25 a pair of probability Jaccard 0.8 shares a bucket with probability 0.99995.
 
@@ -36,8 +39,10 @@ from curvemill.llm.textbuf import WORD_BYTE, Texts, byte_values, mix64, pieces,
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
-#: Members of a bucket that lead in one further round, on average; in buckets of at most ALL_LEAD every member does.
-LEADERS, ALL_LEAD = 32, 64
+#: Members of a bucket in a block: what one group compares is a block with itself or with one other.
+BLOCK = 256
+#: Pairs are verified if so many of their registers agree; a pair of probability Jaccard 0.8 falls below with probability 5e-5.
+SCREEN = 0.66
 _VALUES = byte_values(True, WORD_BYTE)
 
 
@@ -117,36 +122,48 @@ def sketches(docs: DataFrame) -> DataFrame:
     return slim.mapInArrow(_sketch, "doc_id long, key binary, bands array<long>")
 
 
-def _verify(threshold: float):
-    def sets(column: pa.Array) -> list[np.ndarray]:
-        hashes, owner = shingles(Texts(column))
-        cut = np.searchsorted(owner, np.arange(len(column) + 1))
-        return [np.unique(hashes[cut[i] : cut[i + 1]]) for i in range(len(column))]
+def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in pieces(batch, "text"):
+            n = part.num_rows
+            hashes, owner, weight = weighted(*shingles(Texts(part.column("text"))))
+            signature = signatures(hashes, owner, weight, n).astype(np.uint16)
+            order = np.lexsort((hashes.astype(np.uint32), owner))
+            prints, cut = hashes.astype(np.uint32)[order], np.searchsorted(owner[order], np.arange(n + 1))
+            sets = [np.unique(prints[cut[i] : cut[i + 1]]).tobytes() for i in range(n)]
+            yield pa.record_batch([part.column("doc_id"), pa.array([x.tobytes() for x in signature], pa.binary()), pa.array(sets, pa.binary())], names=["node", "signature", "prints"])
+
+
+def profiles(texts: DataFrame) -> DataFrame:
+    """(node, signature, prints) of texts (doc_id, text): the 16-bit ends of the registers, and the sorted 32-bit fingerprints of the shingles."""
+    return texts.mapInArrow(_profile, "node long, signature binary, prints binary")
 
+
+def alike(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
+    """Whether two sorted sets of fingerprints have at least that Jaccard."""
+    if not len(a) or not len(b) or min(len(a), len(b)) < threshold * max(len(a), len(b)):
+        return False
+    at = np.minimum(np.searchsorted(a, b), len(a) - 1)
+    both = int((a[at] == b).sum())
+    return both >= threshold * (len(a) + len(b) - both)
+
+
+def _verify(threshold: float):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead, leader = None, np.zeros(0, np.uint64)
         for batch in batches:
-            for part in pieces(batch, "text"):
-                keep = []
-                for i, (a, own) in enumerate(zip(part.column("a").to_pylist(), sets(part.column("text")))):
-                    if a != lead:  # rows come mostly by leader
-                        lead, leader = a, sets(part.column("lead_text").slice(i, 1))[0]
-                    both = 0
-                    if len(leader) and len(own):
-                        at = np.minimum(np.searchsorted(leader, own), len(leader) - 1)
-                        both = int((leader[at] == own).sum())
-                    union = len(leader) + len(own) - both
-                    keep.append(union > 0 and both >= threshold * union)
-                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            one, other = (batch.column(c) for c in ("prints", "lead_prints"))
+            keep = [alike(*(np.frombuffer(x[i].as_buffer(), np.uint32) for x in (one, other)), threshold) for i in range(batch.num_rows)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return verify
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Of pairs (a, b) of document ids those whose texts' shingle sets have at least that Jaccard; texts has doc_id and text."""
-    second = pairs.join(texts.withColumnRenamed("doc_id", "b"), "b")
-    both = second.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("lead_text")), "a")
-    return stored(both.select("a", "b", "text", "lead_text").mapInArrow(_verify(threshold), "a long, b long"), "links")
+def verified(pairs: DataFrame, known: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Of pairs (a, b) of nodes those whose shingle sets have at least that Jaccard; known has their profiles."""
+    prints = known.select("node", "prints")
+    second = pairs.join(prints.withColumnRenamed("node", "b"), "b")
+    both = second.join(prints.select(F.col("node").alias("a"), F.col("prints").alias("lead_prints")), "a")
+    return both.select("a", "b", "prints", "lead_prints").mapInArrow(_verify(threshold), "a long, b long")
 
 
 def near_labels(links: DataFrame, hops: int = 3) -> DataFrame:
@@ -159,41 +176,111 @@ def near_labels(links: DataFrame, hops: int = 3) -> DataFrame:
     return small(stored(label, "labels"))
 
 
+class _Forest:
+    """Components of the nodes of one group."""
+
+    def __init__(self, labels: list[int]) -> None:
+        first: dict[int, int] = {}
+        self.up = [first.setdefault(label, i) for i, label in enumerate(labels)]
+
+    def root(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = self.up[self.up[i]]
+            i = self.up[i]
+        return i
+
+    def join(self, i: int, k: int) -> None:
+        self.up[self.root(i)] = self.root(k)
+
+
+def group_links(band: int, low: int, high: int, rows: dict[str, list], threshold: float) -> list[tuple[int, int]]:
+    """Links that join components within one group: of one block with itself, or between two blocks of a bucket.
+
+    A pair counts in the first bucket its two signatures share, and if they agree in enough registers; it is verified
+    unless both are in one component by then.
+    """
+    block, n = np.array(rows["block"]), len(rows["node"])
+    signature = np.frombuffer(b"".join(rows["signature"]), np.uint16).reshape(n, -1)
+    forest, out = _Forest(rows["label"]), []
+    labels = np.array(rows["label"])
+    prints = [np.frombuffer(x, np.uint32) for x in rows["prints"]]
+    for i in range(n - 1):
+        others = np.arange(i + 1, n)
+        others = others[labels[others] != labels[i]]
+        if low != high:
+            others = others[block[others] != block[i]]
+        if not len(others):
+            continue
+        same = signature[others] == signature[i]
+        first = same.reshape(len(others), BANDS, ROWS).all(2).argmax(1)
+        near = np.flatnonzero((first == band) & (same.mean(1) >= SCREEN))
+        for k in others[near].tolist():
+            if forest.root(i) != forest.root(k) and alike(prints[i], prints[k], threshold):
+                forest.join(i, k)
+                out.append((rows["node"][i], rows["node"][k]))
+    return out
+
+
+def _compare(threshold: float):
+    names = ("bucket", "low", "high", "band", "block", "label", "node", "signature", "prints")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            found = group_links(key[3], key[1], key[2], rows, threshold) if key else []
+            if found:
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
+
+        for batch in batches:  # rows come by group; a group may go on in the next batch
+            columns = [batch.column(c).to_pylist() for c in names]
+            for row in zip(*columns):
+                if row[:4] != key:
+                    yield from close()
+                    key, rows = row[:4], {c: [] for c in names[4:]}
+                for c, v in zip(names[4:], row[4:]):
+                    rows[c].append(v)
+        yield from close()
+
+    return compare
+
+
 def near_links(members: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b) verified links between the members of buckets; members is a stored table (bucket, node)."""
+    """(a, b) verified links between the members of buckets; members is a stored table (bucket, band, node)."""
     order = F.struct(F.xxhash64("node", "bucket").alias("order"), F.col("node").alias("node"))  # each bucket has a leader of its own
     crowds = members.groupBy("bucket").agg(F.min(order).alias("lead"), F.count("*").alias("n")).where("n > 1")
     crowds = small(stored(crowds.select("bucket", F.col("lead.node").alias("a")), "leaders"))
     crowded = stored(members.join(crowds, "bucket"), "members")
     needed = small(stored(crowded.select(F.col("node").alias("doc_id")).distinct(), "needed"))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    texts = stored(slim.join(needed, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "candidates")
-    led = crowded.where("node <> a")
-    pairs = stored(led.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "pairs")
-    links, rest, turn = verified(pairs, texts, threshold), led.select("bucket", "node"), 0
-    while True:
-        turn += 1
-        named = rest.join(near_labels(links), "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-        named = stored(named, "members")
-        buckets = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.min(order).alias("lead"))
-        buckets = stored(buckets.where("low <> high").select("bucket", "n", F.col("lead.node").alias("first")), "buckets")
-        if buckets.isEmpty():
-            return links
-        chance = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 30)) / float(1 << 30)
-        leads = (F.col("node") == F.col("first")) | (F.col("n") <= ALL_LEAD) | (chance < LEADERS / F.col("n"))
-        marked = stored(named.join(small(buckets), "bucket").select("bucket", "node", "label", leads.alias("leads")), "members")
-        leaders = small(stored(marked.where("leads").select("bucket", F.col("node").alias("a"), F.col("label").alias("other")), "leaders"))
-        met = marked.join(leaders, "bucket").where("label <> other")
-        pairs = stored(met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "pairs")
-        links = stored(links.union(verified(pairs, texts, threshold)), "links")
-        rest = marked.where(~F.col("leads")).select("bucket", "node")
+    texts = slim.join(needed, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    known = stored(profiles(texts), "profiles")
+
+    pairs = crowded.where("node <> a").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+    links = stored(verified(stored(pairs, "pairs"), known, threshold), "links")
+
+    labels = near_labels(links)
+    named = crowded.join(labels, "node", "left").select("bucket", "band", "node", "a", F.coalesce("label", "node").alias("label"))
+    lead = labels.select(F.col("node").alias("a"), F.col("label").alias("lead_label"))
+    named = stored(named.join(lead, "a", "left").select("bucket", "band", "node", "label", (F.col("label") == F.coalesce("lead_label", "a")).alias("settled")), "members")
+    sizes = named.groupBy("bucket").agg(F.count_if("settled").alias("n_settled"), F.count_if(~F.col("settled")).alias("n_other")).where("n_other > 0")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    sizes = small(stored(sizes.select("bucket", blocks("n_settled").alias("s"), blocks("n_other").alias("o")), "buckets"))
+    mine = F.when(F.col("settled"), F.pmod(F.xxhash64("node"), F.col("s"))).otherwise(F.col("s") + F.pmod(F.xxhash64("node"), F.col("o"))).cast("int")
+    meets = F.sequence(F.when(F.col("settled"), F.col("s")).otherwise(F.lit(0)), F.col("s") + F.col("o") - 1)  # settled blocks need not meet
+    dealt = named.join(sizes, "bucket").select("bucket", "band", "node", "label", mine.alias("block"), F.explode(meets).alias("other"))
+    keys = ["bucket", "low", "high"]
+    dealt = dealt.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "band", "block", "label", "node")
+    full = dealt.join(known, "node").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
+    more = full.mapInArrow(_compare(threshold), "a long, b long")
+    return links.union(stored(more, "links"))
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id) for every row of docs (doc_id, text)."""
     found = stored(sketches(docs), "sketches")
     texts = stored(found.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "texts")
-    members = stored(texts.where("node is not null").select(F.explode("bands").alias("bucket"), "node").distinct(), "members")
+    members = stored(texts.where("node is not null").select(F.posexplode("bands").alias("band", "bucket"), "node").distinct(), "members")
     links = near_links(members, docs, threshold)
     labels = small(stored(components(links), "labels"))
     named = texts.select("key", "node").join(labels, "node", "left").select("key", F.coalesce("component", "node").alias("class_id"))
