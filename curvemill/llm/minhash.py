@@ -289,15 +289,15 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def distinct_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One document of each class, that with the smallest id; rows without an id stay unless their text has a class."""
+    """One document of each class, that with the smallest id; rows without an id all stay."""
     found = stored(classes(docs, threshold), "class-rows")
-    extra = found.where("class_id is not null and not (doc_id <=> class_id)").select("doc_id").distinct()
+    extra = found.where("doc_id <> class_id").select("doc_id").distinct()
     twice = found.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
     extra, twice = small(stored(extra, "extra")), small(stored(twice, "repeated"))
     own = {c: f"_{i}" for i, c in enumerate(docs.columns)}
     rows = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in own.items()])
     id_col = F.col(own["doc_id"]).cast("long")
-    kept = rows.join(extra, id_col.eqNullSafe(F.col("doc_id")), "left_anti")
+    kept = rows.join(extra, id_col == F.col("doc_id"), "left_anti")
     if not twice.isEmpty():
         again = kept.join(twice, id_col == F.col("doc_id"), "left_semi").dropDuplicates([own["doc_id"]])
         kept = kept.join(twice, id_col == F.col("doc_id"), "left_anti").unionByName(again)
