@@ -117,10 +117,10 @@ def train(labelled: DataFrame) -> UrlModel:
 
 
 def labelled_sample(urls: DataFrame, rules: Sequence[tuple[str, str]] = RULES, most: int = SAMPLE) -> DataFrame:
-    """A labelled table from the URLs that rules decide: (host, path, block), ``most`` rows at most, by smallest hash."""
+    """A labelled table from the URLs that rules decide: (host, path, block), ``most`` different rows at most, by smallest hash."""
     host, path = host_and_path(F.col("url"))
     judged = urls.select(host.alias("host"), path.alias("path")).withColumn("found", longest_rule(F.col("host"), F.col("path"), rules))
-    judged = judged.where(F.col("found").isNotNull()).select("host", "path", (F.col("found.verdict") == "block").alias("block"))
+    judged = judged.where(F.col("found").isNotNull()).select("host", "path", (F.col("found.verdict") == "block").alias("block")).distinct()
     order = F.xxhash64("host", "path")
     n = judged.count()
     if n > 2 * most:  # far beyond the bound, only rows below a hash that about 1.5 times as many fall under are sorted
