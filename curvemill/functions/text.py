@@ -5,17 +5,18 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from curvemill.schema import RELTIME, STEP
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def exact_fixed(value: pd.Series, digits: pd.Series) -> pd.Series:
     """Fixed-point text, rounding the exact binary value with ties to even, which the JVM's formatter does not do. For labels."""
     return pd.Series([None if pd.isna(v) else f"{v:.{d}f}" for v, d in zip(value, digits)], dtype=object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def exact_scientific(value: pd.Series) -> pd.Series:
     """Three decimals and a bare exponent: 1.235e5, 1.000e-4."""
 
