@@ -1,8 +1,7 @@
 """Even down-sampling: of each series every ``stride``-th point by arrival, the least power of two that keeps at most ``cap``.
 
-The stride follows from a series' length alone, so a cold read and any sequence of appends keep the same points. The arrival index needs an order
-within each series; only key columns take part in that window, and where arrival numbers are at hand (``arrival_index``
-stored at ingest) no window is needed at all.
+The stride follows from a series' length alone, so a cold read and any sequence of appends keep the same points. Where arrival numbers
+are at hand (a column ``arrival_index`` stored at ingest) no window is needed at all.
 """
 
 from __future__ import annotations
@@ -10,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curvemill.schema import ARRIVAL
+#: Bytes of a file, or units of a table's arrival order, that are numbered together.
+CHUNK = 1 << 22
 
 
 def stride_of(n: Column, cap: int) -> Column:
@@ -25,8 +25,16 @@ def stride_of(n: Column, cap: int) -> Column:
 
 
 def with_arrival_index(points: DataFrame) -> DataFrame:
-    """Adds arrival_index, from 0, to each point of a series."""
-    return points.withColumn("arrival_index", F.row_number().over(Window.partitionBy("run", "tag").orderBy(*ARRIVAL)).cast("long") - 1)
+    """Adds arrival_index, from 0, to each point of a series.
+
+    A file is numbered in chunks of ``CHUNK`` bytes, and chunks by what came before them, so no task ever sorts a whole series.
+    """
+    chunked = points.withColumn("chunk", F.floor(F.col("rec_off") / CHUNK))
+    key = ["run", "tag", "path", "chunk"]
+    before = Window.partitionBy("run", "tag").orderBy("path", "chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = chunked.groupBy(*key).agg(F.count("*").alias("n")).select(*key, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy(*key).orderBy("rec_off", "val_idx"))
+    return chunked.join(starts, key).withColumn("arrival_index", F.col("start") + inside - 1).drop("chunk", "start")
 
 
 def thin(points: DataFrame, cap: int) -> DataFrame:
