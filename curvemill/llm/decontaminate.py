@@ -8,7 +8,7 @@ are joined; of these candidates the position of the prefix in the window gives t
 room for the window, and the words from there on are compared with the window's.
 
 Documents are exploded into words on the fly and only candidates are ever shuffled. The windows and their prefixes are broadcast if
-their stored table has at most 32 MB of files; beyond, the words are joined by shuffle, with the same result.
+their stored table has at most 16 MB of files; beyond, the words are joined by shuffle, with the same result.
 
 Defined cases: a null text has no words; an item without words has no window; an item without an id marks words but is not
 counted among the items; of repeated items each id counts once; rows with equal id and text get the same row each; a null document id

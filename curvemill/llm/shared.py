@@ -54,7 +54,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 #: A stored table of at most so many bytes of files may be broadcast.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 16 << 20
 
 
 def small(table: DataFrame) -> DataFrame:
