@@ -37,15 +37,27 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Scratch paths of this process, in the order they were made.
+SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder, removed when the session's JVM ends."""
     path = f"{shared_folder(spark)}/curvemill/{label}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    SCRATCH.append(path)
     return path
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes scratch paths that no unread DataFrame needs any more."""
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Writes a DataFrame to the shared folder and reads it back: lineage ends there, and a lost executor costs nothing."""
     path = scratch_path(df.sparkSession, label)
