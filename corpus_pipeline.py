@@ -14,9 +14,11 @@ ORACLE_SQL is None: perplexity bands, signatures and token ids are not SQL; test
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
-from curvemill.llm import decontaminate, minhash, mixing, quality, tokens
+from curvemill.llm import decontaminate, minhash, mixing, quality, shared, tokens
 from curvemill.llm.queries import byte_bpe
 from curvemill.llm.shared import stored, table
 
@@ -41,12 +43,30 @@ def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return tokens.tokenize(spark, docs.select("doc_id", "text"), byte_bpe())
 
 
+#: Scratch tables of the stage that ran last.
+_left: list[str] = []
+
+
+def _staged(work: Callable, first: bool) -> Callable:
+    """A stage that first discards the scratch tables of the one before it, whose result is stored by then."""
+
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if not first:
+            shared.discard(spark, _left)
+        made = len(shared.SCRATCH)
+        out = work(spark, docs, sf_dir)
+        _left[:] = shared.SCRATCH[made:]
+        return out
+
+    return stage
+
+
 STAGES = [
-    ("quality", keep_good),
-    ("dedup", keep_distinct),
-    ("decontaminate", keep_unleaked),
-    ("mix", mix_sources),
-    ("tokens", write_token_files),
+    ("quality", _staged(keep_good, True)),
+    ("dedup", _staged(keep_distinct, False)),
+    ("decontaminate", _staged(keep_unleaked, False)),
+    ("mix", _staged(mix_sources, False)),
+    ("tokens", _staged(write_token_files, False)),
 ]
 
 ORACLE_SQL = None
