@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 PIECE = 1 << 20
-BATCH_BYTES = 1 << 21
+BATCH_BYTES = 1 << 20
 _MASK = (1 << 64) - 1
 
 #: True for the six bytes of ASCII white space.
