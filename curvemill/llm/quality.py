@@ -3,17 +3,17 @@
 Base rules, over whole texts: words are runs without ASCII white space; a document fails if it has fewer
 than 10 words, or if more than a fifth of them lie in 5-word windows that occur twice or more in it.
 
-The method: a modified Kneser-Ney model of order 4 for each language, over 64 symbols that stand for bytes
-(letters, one sign for capitals, one for digits, punctuation, classes of bytes beyond ASCII). Spark counts the
-n-grams of all documents; a task adds up its own before the exchange, so what is shuffled is at most the number
-of distinct n-grams a task. The alphabet bounds the model at 64^4 n-grams a language however large the
-corpus, which is why it may come to the driver, where probabilities and back-off weights of all orders become
-hash arrays sorted by key. A document's log perplexity per word must lie in its language's band: from the median
-less ``BELOW`` to the median plus ``ABOVE`` spreads (between quartiles, of all documents of the language), wider for short
+The method: a modified Kneser-Ney model of order 4 for each language over UTF-16 code units (whole code points, one or two units each), upper case
+folded to lower case where that is one unit. Documents fall into two halves by a hash of their text, and each is scored by the model of the other half,
+so junk does not vouch for itself and exact copies do not for one another. Spark counts the n-grams of both halves; counts, continuation counts,
+back-off weights and probabilities of all orders are tables that grow with the corpus and stay distributed. The ``HEAD`` most frequent n-grams or fewer come
+to the tasks with their log probabilities; a document's other n-grams are sent to where theirs are, so every n-gram counts with its own. A document's
+log perplexity per word must lie in the band of its language and half: from the median
+less ``BELOW`` to the median plus ``ABOVE`` spreads (between quartiles, of all its documents), wider for short
 texts, whose perplexity varies more. Perplexity is taken per word since decoration repeated after words is cheap per symbol.
 
 Defined cases: a null text has no words and fails; a null language is a language of its own; a document without
-words has no perplexity, and only the base rules judge it; repeated rows are judged each on its own; an empty
+words has no perplexity, and only the base rules judge it; if a language's other half is empty, all symbols are alike to it; repeated rows are judged each on its own; an empty
 table gives no rows. Columns of the input with the names of added ones are replaced.
 """
 
@@ -24,50 +24,67 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curvemill.llm.shared import stored
+from curvemill.llm.shared import small, stored
 from curvemill.llm.textbuf import CODE_POINT, WORD_BYTE, Texts, byte_values, pieces, windows
 
-ORDER, BITS = 4, 6
+ORDER, BITS = 4, 16
 SYMBOLS = 1 << BITS
 MIN_WORDS, WINDOW, REPEATED_PERCENT = 10, 5, 20
 #: The band below and above the median, in spreads of log perplexity; the number of words at which its variance has doubled.
 BELOW, ABOVE, SHORT = 3.0, 4.0, 80
 #: N-grams a task holds before it adds up what it has.
 HELD = 4_000_000
+#: N-grams that may come to every task; the others are looked up by an exchange.
+HEAD = 1 << 20
 
 SYMBOL_MARKS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 NOT_NEWLINE = np.arange(256) != 10
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _alphabet() -> np.ndarray:
-    """The symbol of each byte; 0 is kept for what precedes a text."""
-    symbol = np.full(256, 1, np.int64)
-    symbol[97:123] = np.arange(2, 28)
-    symbol[65:91], symbol[48:58] = 28, 29
-    symbol[[9, 11, 12, 13]] = 30
-    for k, c in enumerate(b" \n.,;:!?'\"()-|#*$%&<>"):
-        symbol[c] = 31 + k
-    symbol[0x80:0xC0] = 53 + np.arange(64) % 8
-    symbol[0xC0:0xE0], symbol[0xE0:0xF0], symbol[0xF0:] = 61, 62, 63
-    return symbol
+def _folded() -> np.ndarray:
+    """The symbol of each UTF-16 code unit: its lower case; 0 is kept for what precedes a text."""
+    fold = np.arange(SYMBOLS)
+    for c in range(1, SYMBOLS):
+        low = chr(c).lower()
+        if len(low) == 1 and ord(low) < SYMBOLS:
+            fold[c] = ord(low)
+    fold[0] = SYMBOLS - 1  # no character
+    return fold
 
 
-ALPHABET = _alphabet()
+FOLD = _folded()
 
 
-def ngrams(texts: Texts) -> np.ndarray:
-    """The n-gram that ends at each byte, as one number; before a text stand zeros."""
-    symbol = ALPHABET[texts.data]
+def symbols(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of all texts, and where each text's begin (n + 1)."""
+    at = np.flatnonzero(CODE_POINT[texts.data])
+    data = np.concatenate((texts.data, np.zeros(3, np.uint8)))
+    b, c, d, e = (data[at + k].astype(np.int64) & (0x3F if k else 0xFF) for k in range(4))
+    code = np.select([b < 0x80, b < 0xE0, b < 0xF0], [b, (b & 0x1F) << 6 | c, (b & 0xF) << 12 | c << 6 | d], (b & 7) << 18 | c << 12 | d << 6 | e)
+    wide = code >= SYMBOLS
+    place = np.concatenate(([0], np.cumsum(1 + wide)))
+    units = np.empty(place[-1], np.int64)
+    units[place[:-1]] = np.where(wide, 0xD800 + ((code - SYMBOLS) >> 10 & 0x3FF), code)
+    units[place[:-1][wide] + 1] = 0xDC00 + (code[wide] & 0x3FF)
+    return FOLD[units], place[np.searchsorted(at, texts.offsets)]
+
+
+def _ngrams(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+    symbol, first = symbols(texts)
     code = symbol.copy()
-    start = np.repeat(texts.offsets[:-1], np.diff(texts.offsets))
-    place = np.arange(len(symbol)) - start
+    place = np.arange(len(symbol)) - np.repeat(first[:-1], np.diff(first))
     for k in range(1, ORDER):
         code[k:] |= np.where(place[k:] >= k, symbol[:-k], 0) << (BITS * k)
-    return code
+    return code, first
+
+
+def ngrams(texts: Texts) -> np.ndarray:
+    """The n-gram that ends at each symbol, as one number; before a text stand zeros."""
+    return _ngrams(texts)[0]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,69 +115,135 @@ def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str | None, pa.RecordB
         yield lang, batch.filter(pa.array([x == lang for x in langs]))
 
 
+def _grouped(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """Columns of docs, and as lang_half the half of the documents (0 or 1) and the language, never null."""
+    group = F.concat(F.pmod(F.xxhash64("text"), F.lit(2)).cast("string"), F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("-")))
+    return docs.select(*[F.col(f"`{c}`") for c in keep], group.alias("lang_half"))
+
+
 def count_ngrams(docs: DataFrame) -> DataFrame:
-    """(lang, ngram, n) over all documents."""
-    counted = docs.select("lang", "text").mapInArrow(_count, "lang string, ngram long, n long")
-    return counted.groupBy("lang", "ngram").agg(F.sum("n").alias("n"))
+    """(lang, ngram, n0, n1): counts in both halves of the documents; lang has a sign before it that tells null from a name."""
+    counted = _grouped(docs, ["text"]).select(F.col("lang_half").alias("lang"), "text").mapInArrow(_count, "lang string, ngram long, n long")
+    half = [F.sum(F.when(F.col("lang").startswith(h), F.col("n")).otherwise(0)).alias(f"n{h}") for h in "01"]
+    return counted.groupBy(F.substring("lang", 2, 1 << 30).alias("lang"), "ngram").agg(*half)
+
+
+def discounts(n: list[int]) -> list[float]:
+    """What counts of 1, 2 and more lose, by how many n-grams have counts of 1 to 4."""
+    if n[0] == 0 or n[1] == 0:
+        return [0.5, 0.5, 0.5]
+    y = n[0] / (n[0] + 2 * n[1])
+    raw = [1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2] if n[2] else 0.5]
+    return [min(max(x, 0.05), k + 0.95) for k, x in enumerate(raw)]
 
 
 class KneserNey:
-    """Modified Kneser-Ney for one language; for each order, keys in ascending order with what belongs to them."""
+    """Modified Kneser-Ney of counts in memory, to check ``train`` against; for each order, keys in ascending order with what belongs to them."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        keys = keys.astype(np.int64).view(np.uint64)
         order = np.argsort(keys)
-        keys, counts = keys[order].astype(np.int64), counts[order].astype(np.int64)
+        keys, counts = keys[order], counts[order].astype(np.int64)
         levels = [(keys, counts)]
         for k in range(ORDER - 1, 0, -1):  # continuation counts: how many different symbols precede
-            keys, counts = np.unique(levels[-1][0] & ((1 << (BITS * k)) - 1), return_counts=True)
+            keys, counts = np.unique(levels[-1][0] & np.uint64((1 << (BITS * k)) - 1), return_counts=True)
             levels.append((keys, counts))
         self.prob: list[tuple[np.ndarray, np.ndarray]] = []
         self.backoff: list[tuple[np.ndarray, np.ndarray]] = []
         for keys, counts in reversed(levels):
-            context, at = np.unique(keys >> BITS, return_inverse=True)
+            context, at = np.unique(keys >> np.uint64(BITS), return_inverse=True)
             total = np.bincount(at, counts)
             by = [np.bincount(at[counts == c], minlength=len(context)) for c in (1, 2)]
             by.append(np.bincount(at[counts >= 3], minlength=len(context)))
-            d = self.discounts(counts)
+            d = discounts([int((counts == c).sum()) for c in (1, 2, 3, 4)])
             weight = sum(x * y for x, y in zip(d, by)) / total
             own = (counts - np.take(d, np.minimum(counts, 3) - 1)) / total[at]
             self.backoff.append((context, weight))
             lower = self._lower(keys, len(self.prob))
             self.prob.append((keys, own + weight[at] * lower))
 
-    @staticmethod
-    def discounts(counts: np.ndarray) -> list[float]:
-        n = [int((counts == c).sum()) for c in (1, 2, 3, 4)]
-        if n[0] == 0 or n[1] == 0:
-            return [0.5, 0.5, 0.5]
-        y = n[0] / (n[0] + 2 * n[1])
-        raw = [1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2] if n[2] else 0.5]
-        return [min(max(x, 0.05), k + 0.95) for k, x in enumerate(raw)]
-
     def _lower(self, keys: np.ndarray, order: int) -> np.ndarray:
         """Probability of each key's last symbol by the model of the given order; order 0 is uniform."""
         if order == 0:
             return np.full(len(keys), 1 / SYMBOLS)
-        keys = keys & ((1 << (BITS * order)) - 1)
+        keys = keys & np.uint64((1 << (BITS * order)) - 1)
         known, prob = self.prob[order - 1]
         at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
         out = prob[at]
         miss = np.flatnonzero(known[at] != keys)
         if len(miss):
             context, weight = self.backoff[order - 1]
-            lost = keys[miss] >> BITS
+            lost = keys[miss] >> np.uint64(BITS)
             at = np.minimum(np.searchsorted(context, lost), len(context) - 1)
             out[miss] = np.where(context[at] == lost, weight[at], 1.0) * self._lower(keys[miss], order - 1)
         return out
 
     def probabilities(self, ngram: np.ndarray) -> np.ndarray:
-        return self._lower(ngram, ORDER)
+        return self._lower(ngram.astype(np.int64).view(np.uint64), ORDER)
+
+
+def _suffix(order: int) -> Column:
+    return F.col("ngram").bitwiseAND(F.lit((1 << (BITS * order)) - 1))
+
+
+def _discounted(level: DataFrame) -> DataFrame:
+    """An order's counts with the discounts of its languages, a row each: d{half}{1 to 3}."""
+    tally = [F.count_if(F.col(f"n{h}") == c).alias(f"c{h}{c}") for h in "01" for c in (1, 2, 3, 4)]
+    rows = [(r["lang"], *(d for h in "01" for d in discounts([r[f"c{h}{c}"] for c in (1, 2, 3, 4)]))) for r in level.groupBy("lang").agg(*tally).collect()]
+    schema = "lang string, " + ", ".join(f"d{h}{c} double" for h in "01" for c in (1, 2, 3))
+    return level.join(F.broadcast(level.sparkSession.createDataFrame(rows, schema)), "lang")
+
+
+def train(docs: DataFrame) -> DataFrame:
+    """(lang, ngram, n, log0, log1): every n-gram of all documents, its count, and its log probability by the models of both halves."""
+    levels = [stored(count_ngrams(docs), "ngrams")]
+    for k in range(ORDER - 1, 0, -1):  # continuation counts: how many different symbols precede
+        below = levels[-1].groupBy("lang", _suffix(k).alias("ngram")).agg(*[F.count_if(F.col(f"n{h}") > 0).alias(f"n{h}") for h in "01"])
+        levels.append(stored(below, "ngrams"))
+    lower = None
+    for order, level in enumerate(reversed(levels), 1):
+        context = Window.partitionBy("lang", F.shiftrightunsigned("ngram", BITS))
+        shares = []
+        for h in "01":
+            n = F.col(f"n{h}")
+            lost = F.when(n == 0, 0.0).when(n == 1, F.col(f"d{h}1")).when(n == 2, F.col(f"d{h}2")).otherwise(F.col(f"d{h}3"))
+            total = F.sum(n).over(context)
+            shares += [F.when(total > 0, (n - lost) / total).otherwise(0.0).alias(f"own{h}"), F.when(total > 0, F.sum(lost).over(context) / total).otherwise(1.0).alias(f"weight{h}")]
+        shared = _discounted(level).select("lang", "ngram", "n0", "n1", *shares)
+        if lower is None:
+            shared = shared.withColumns({f"lower{h}": F.lit(1 / SYMBOLS) for h in "01"})
+        else:
+            below = lower.select("lang", F.col("ngram").alias("suffix"), F.col("p0").alias("lower0"), F.col("p1").alias("lower1"))
+            shared = shared.withColumn("suffix", _suffix(order - 1)).join(below, ["lang", "suffix"])
+        p = [(F.col(f"own{h}") + F.col(f"weight{h}") * F.col(f"lower{h}")).alias(f"p{h}") for h in "01"]
+        lower = stored(shared.select("lang", "ngram", (F.col("n0") + F.col("n1")).alias("n"), *p), "model")
+    return stored(lower.select("lang", "ngram", "n", F.log("p0").alias("log0"), F.log("p1").alias("log1")), "model")
+
+
+class Head:
+    """Log probabilities of the frequent n-grams, by language: keys in ascending order, and what the models of both halves give."""
+
+    def __init__(self, table: pa.Table) -> None:
+        own = table.to_pandas()
+        self.of: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for lang, rows in own.groupby("lang"):
+            rows = rows.sort_values("ngram")
+            self.of[lang] = (rows["ngram"].to_numpy(), rows["log0"].to_numpy(), rows["log1"].to_numpy())
+
+    def find(self, group: str, keys: np.ndarray) -> np.ndarray:
+        """The log probabilities of the n-grams of a half and language by the other half's model; NaN for those that are not here."""
+        if group[1:] not in self.of:
+            return np.full(len(keys), np.nan)
+        known, *logs = self.of[group[1:]]
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        return np.where(known[at] == keys, logs[1 - int(group[0])][at], np.nan)
 
 
-def train(docs: DataFrame) -> dict[str | None, KneserNey]:
-    """One model a language, from all documents."""
-    counts = count_ngrams(docs).toPandas()
-    return {(None if pd.isna(lang) else lang): KneserNey(own["ngram"].to_numpy(), own["n"].to_numpy()) for lang, own in counts.groupby("lang", dropna=False)}
+def frequent(model: DataFrame) -> DataFrame:
+    """The n-grams of a model that at most HEAD reach the count of; n-grams of equal count are in or out together."""
+    ranks = model.groupBy("n").agg(F.count("*").alias("kinds")).withColumn("so_far", F.sum("kinds").over(Window.orderBy(F.desc("n"))))
+    least = ranks.where(F.col("so_far") <= HEAD).agg(F.min("n")).first()[0]
+    return model.where(F.col("n") >= least if least is not None else F.lit(False)).select("lang", "ngram", "log0", "log1")
 
 
 def text_features(texts: Texts) -> dict[str, np.ndarray]:
@@ -194,47 +277,65 @@ _WORD_VALUES = byte_values(False, WORD_BYTE)
 _LINE_VALUES = byte_values(False, NOT_NEWLINE)
 
 
-def _score(models, columns: list[str]):
+_RARE = {"row": pa.int64(), "ngram": pa.int64(), "times": pa.int64()}
+
+
+def _score(head, columns: list[str]):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
+                n = part.num_rows
                 found = text_features(Texts(part.column("text")))
-                logs = np.full(part.num_rows, np.nan)
-                langs = np.array(part.column("lang").to_pylist(), object)
-                for lang, rows in _by_language(part):
-                    texts = Texts(rows.column("text"))
-                    codes, keys = pd.factorize(ngrams(texts))
-                    each = np.log(models.value[lang].probabilities(keys))[codes] if len(keys) else np.zeros(0)
-                    total = np.diff(np.concatenate(([0.0], np.cumsum(each)))[texts.offsets])
-                    logs[np.array([x == lang for x in langs], bool)] = -total
-                logs = np.where(found["n_words"] > 0, logs / np.maximum(found["n_words"], 1), np.nan)
-                kept = [part.column(c) for c in columns]
-                extra = [pa.array(found[k].astype(np.int64)) for k in FEATURES]
-                yield pa.RecordBatch.from_arrays([*kept, *extra, pa.array(logs, from_pandas=True)], names=[*columns, *FEATURES, "log_ppl"])
+                logs, groups = np.zeros(n), np.array(part.column("lang_half").to_pylist(), object)
+                rare: list[pd.DataFrame] = []
+                for group in dict.fromkeys(groups.tolist()):
+                    at = np.flatnonzero(groups == group)
+                    code, first = _ngrams(Texts(part.column("text").take(pa.array(at))))
+                    codes, keys = pd.factorize(code)
+                    each = head.value.find(group, keys)
+                    owner = np.repeat(at, np.diff(first))
+                    lost = np.isnan(each)[codes]
+                    logs -= np.bincount(owner[~lost], each[codes[~lost]], n)
+                    if lost.any():
+                        rare.append(pd.DataFrame({"at": owner[lost], "ngram": code[lost]}).groupby(["at", "ngram"], sort=False).size().reset_index(name="times"))
+                names = [*columns, *FEATURES, "log_sum", "lang_half", *_RARE]
+                whole = [*(part.column(c) for c in columns), *(pa.array(found[k].astype(np.int64)) for k in FEATURES), pa.array(logs), part.column("lang_half"), part.column("row")]
+                yield pa.RecordBatch.from_arrays([*whole, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=names)
+                for some in rare:
+                    who = pa.array(some["at"].to_numpy())
+                    blank = [pa.nulls(len(some), x.type) for x in whole[:-2]]
+                    more = [part.column("lang_half").take(who), part.column("row").take(who), pa.array(some["ngram"].to_numpy()), pa.array(some["times"].to_numpy())]
+                    yield pa.RecordBatch.from_arrays([*blank, *more], names=names)
 
     return score
 
 
 def features(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of docs with the base features and log perplexity per word."""
-    models = docs.sparkSession.sparkContext.broadcast(train(docs))
+    """The columns ``keep`` of docs with the base features, log perplexity per word, and lang_half."""
+    model = train(docs)
+    head = docs.sparkSession.sparkContext.broadcast(Head(frequent(model).toArrow()))
     fields = {f.name: f.dataType.simpleString() for f in docs.schema}
-    columns = list(dict.fromkeys([*keep, "lang"]))
-    schema = ", ".join(f"`{c}` {fields[c]}" for c in columns) + ", " + ", ".join(f"{c} long" for c in FEATURES) + ", log_ppl double"
-    need = [*columns, *([] if "text" in columns else ["text"])]
-    return docs.select(*[F.col(f"`{c}`") for c in need]).mapInArrow(_score(models, columns), schema)
+    own = {c: f"own_{i}" for i, c in enumerate(dict.fromkeys(keep))}
+    schema = "".join(f"{own[c]} {fields[c]}, " for c in own) + "".join(f"{c} long, " for c in FEATURES) + "log_sum double, lang_half string, row long, ngram long, times long"
+    # the row number follows from the scan alone, so a task that runs again gives its rows the same numbers
+    slim = _grouped(docs.select("text", "lang", *[F.col(f"`{c}`").alias(a) for c, a in own.items()]), ["text", *own.values()]).withColumn("row", F.monotonically_increasing_id())
+    found = stored(slim.mapInArrow(_score(head, list(own.values())), schema), "quality")
+    rare = found.where("ngram is not null").select("row", "ngram", "times", F.substring("lang_half", 2, 1 << 30).alias("lang"), F.col("lang_half").startswith("0").alias("first"))
+    logs = rare.join(model, ["lang", "ngram"]).groupBy("row").agg(F.sum(F.col("times") * F.when(F.col("first"), F.col("log1")).otherwise(F.col("log0"))).alias("rare_sum"))
+    whole = found.where("ngram is null").join(small(stored(logs, "rare")), "row", "left")
+    log_ppl = F.when(F.col("n_words") > 0, (F.col("log_sum") - F.coalesce("rare_sum", F.lit(0.0))) / F.col("n_words"))
+    return whole.select(*[F.col(a).alias(c) for c, a in own.items()], *FEATURES, log_ppl.alias("log_ppl"), "lang_half")
 
 
 def judge(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of docs, the base features, base_failed, log_ppl, its band and kept. docs has text and lang."""
-    keep = [c for c in keep if c not in (*FEATURES, "log_ppl", "base_failed", "low", "high", "kept")]
-    found = features(docs, keep)
-    light = stored(found, "quality")
+    keep = [c for c in keep if c not in (*FEATURES, "log_ppl", "base_failed", "low", "high", "kept", "lang_half")]
+    light = features(docs, keep)
     quartile = lambda q: F.percentile_approx("log_ppl", F.lit(q), F.lit(10_000))
-    bands = light.where(F.col("log_ppl").isNotNull()).groupBy("lang").agg(quartile(0.5).alias("middle"), (quartile(0.75) - quartile(0.25)).alias("spread"))
-    bands = bands.withColumnRenamed("lang", "band_lang")  # one row a language
+    bands = light.where(F.col("log_ppl").isNotNull()).groupBy("lang_half").agg(quartile(0.5).alias("middle"), (quartile(0.75) - quartile(0.25)).alias("spread"))
+    bands = F.broadcast(bands)  # two rows a language
     spread = F.greatest(F.col("spread"), F.lit(0.05)) * F.sqrt(1 + SHORT / F.greatest(F.col("n_words"), F.lit(1)))
-    joined = light.join(bands, F.col("lang").eqNullSafe(F.col("band_lang")), "left").withColumn("low", F.col("middle") - BELOW * spread).withColumn("high", F.col("middle") + ABOVE * spread)
+    joined = light.join(bands, "lang_half", "left").withColumn("low", F.col("middle") - BELOW * spread).withColumn("high", F.col("middle") + ABOVE * spread)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words"))
     inside = F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(True))
     joined = joined.withColumn("base_failed", failed).withColumn("kept", ~failed & inside)

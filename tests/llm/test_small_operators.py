@@ -444,6 +444,41 @@ def test_kneser_ney():
     assert all(len(k) == len(p) and (np.diff(k) > 0).all() for k, p in m.prob)
 
 
+def test_symbols_are_whole_code_points():
+    got, first = quality.symbols(Texts(pa.array(["aZ", None, "éЖ日😀", "\x00"])))
+    assert got.tolist() == [97, 122, ord("é"), ord("ж"), ord("日"), 0xD83D, 0xDE00, 0xFFFF] and first.tolist() == [0, 2, 2, 7, 8]
+
+
+def test_models_of_halves(spark, monkeypatch):
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choice(["das", "Haus", "日本", "в", "лес", "😀"]) for _ in range(12))) for i in range(30)]
+    df = docs(spark, rows)
+    model = quality.train(df).collect()
+    half = {x["doc_id"]: int(x["lang_half"][0]) for x in quality._grouped(df, ["doc_id"]).collect()}
+    plain = []
+    for h in (0, 1):
+        keys, counts = np.unique(quality.ngrams(Texts(pa.array([t for i, t in rows if half[i] == h]))), return_counts=True)
+        plain.append(quality.KneserNey(keys, counts))
+        every = np.array([x["ngram"] for x in model])
+        assert np.allclose([x[f"log{h}"] for x in model], np.log(plain[h].probabilities(every)))
+    want = {i: -np.log(plain[1 - half[i]].probabilities(quality.ngrams(Texts(pa.array([t]))))).sum() / 12 for i, t in rows}
+    for head in (quality.HEAD, 20, 0):  # with all, some and no n-grams in the head
+        monkeypatch.setattr(quality, "HEAD", head)
+        assert {x["doc_id"]: pytest.approx(x["log_ppl"]) for x in quality.judge(df, ["doc_id"]).collect()} == want
+
+
+def test_junk_in_any_letters_is_rejected(spark):
+    r = random.Random(11)
+    stems = ["".join(r.choice(["ba", "le", "tin", "so", "mer", "ka", "on", "dri"]) for _ in range(r.randrange(1, 4))) for _ in range(300)]
+    cyrillic = ["".join(r.choice(["ба", "ле", "тин", "со", "мер", "ка"]) for _ in range(r.randrange(1, 4))) for _ in range(300)]
+    good = [(i, " ".join(r.choice(cyrillic if i % 4 == 0 else stems) for _ in range(r.randrange(40, 200)))) for i in range(400)]
+    salad = lambda letters, n: " ".join("".join(r.choice(letters) for _ in range(r.randrange(3, 9))) for _ in range(n))
+    kinds = ["BCDFGHJKLMNPQRSTVWXZ", "bcdfghjklmnpqrstvwxz", "бвгджзклмнпрстфхцчшщ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ", [chr(c) for c in range(0x4E00, 0x5E00)]]
+    bad = [(1000 + i, salad(kinds[i % 5], r.randrange(12, 120))) for i in range(40)]
+    kept = {x["doc_id"] for x in quality.judge(docs(spark, good + bad), ["doc_id"]).where("kept").select("doc_id").collect()}
+    assert not kept & {i for i, _ in bad} and len(kept) >= 380
+
+
 # ---- licenses ----
 
 
