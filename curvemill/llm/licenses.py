@@ -4,7 +4,8 @@ Words are runs of letters and digits (and anything beyond ASCII), A-Z lower-case
 by patience: words that occur once in both are anchors, the longest increasing subsequence of their places stays, and the gaps between
 anchors are aligned the same way, after common words at both ends of a gap. The share of a notice's words that are
 matched is its coverage. Regions are the surroundings, ``REACH`` notices wide, of each occurrence of that word of the notice which is rarest
-in the text, so a notice that a text has twice still has its unique words, and words scattered over a long text do not add up.
+in the text, so words scattered over a long text do not add up. A region that holds a notice twice may have no unique words; so the nearest words on both sides
+of the occurrence, half a notice more than it needs there, are also aligned by a longest common subsequence, which has no need of them.
 
 Most texts need no alignment: to cover the share ``COVERAGE`` of a notice, a text must have all but so many of its distinct words. This bound, which loses
 nothing, is tested for all texts of an Arrow batch at once.
@@ -108,6 +109,35 @@ def align(text: Sequence[int], notice: Sequence[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def nearest(text: Sequence[int], notice: Sequence[int]) -> list[tuple[int, int]]:
+    """A longest common subsequence as pairs, with the earliest places in the text."""
+    n, m = len(text), len(notice)
+    most = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n - 1, -1, -1):
+        row, below = most[i], most[i + 1]
+        for k in range(m - 1, -1, -1):
+            row[k] = below[k + 1] + 1 if text[i] == notice[k] else max(below[k], row[k + 1])
+    out = []
+    i = k = 0
+    while i < n and k < m:
+        if text[i] == notice[k]:
+            out.append((i, k))
+            i, k = i + 1, k + 1
+        elif most[i][k + 1] >= most[i + 1][k]:
+            k += 1
+        else:
+            i += 1
+    return out
+
+
+def around(words: Sequence[int], p: int, notice: Sequence[int], q: int, k: int = 1) -> list[tuple[int, int]]:
+    """Matched pairs near the place p of a text, where k words of the notice from its word q on stand."""
+    slack = len(notice) // 2 + 1
+    left = nearest(words[max(0, p - q - slack) : p][::-1], notice[:q][::-1])
+    right = nearest(words[p + k : p + len(notice) - q + slack], notice[q + k :])
+    return [(p - 1 - i, q - 1 - j) for i, j in left[::-1]] + [(p + i, q + i) for i in range(k)] + [(p + k + i, q + k + j) for i, j in right]
+
+
 class Scanner:
     def __init__(self, notices: dict[str, str], coverage: float = COVERAGE) -> None:
         self.names = sorted(notices)
@@ -134,11 +164,13 @@ class Scanner:
             lack = int(len(notice) - need) - (len(set(notice)) - len(present))
             for center in sorted({p for w in by_rarity[: max(lack, 0) + 1] for p in places[w]}):
                 low, high = max(0, center - REACH * len(notice)), center + REACH * len(notice) + 1
-                pairs = align(words[low:high], notice)
-                if len(pairs) >= need:
-                    rank = (len(pairs), len(pairs) / len(notice))
-                    if found is None or rank > found[0]:
-                        found = (rank, (name, len(pairs) / len(notice), len(pairs), low + pairs[0][0], low + pairs[-1][0] + 1))
+                tries = [around(words, center, notice, q) for q, w in enumerate(notice) if w == words[center]]
+                tries.append([(low + i, k) for i, k in align(words[low:high], notice)])
+                for pairs in tries:
+                    if len(pairs) >= need:
+                        rank = (len(pairs), len(pairs) / len(notice))
+                        if found is None or rank > found[0]:
+                            found = (rank, (name, len(pairs) / len(notice), len(pairs), pairs[0][0], pairs[-1][0] + 1))
         return found and found[1]
 
     def scan(self, column: pa.Array) -> list[tuple[str, float, int, int, int] | None]:

@@ -494,6 +494,16 @@ def test_license_scan(spark):
     assert licenses.scan_licenses(docs(spark, []).limit(0)).count() == 0
 
 
+def test_doubled_notices():
+    scanner = licenses.Scanner(licenses.NOTICES)
+    filler = [" ".join(f"{c}{i}" for i in range(40)) for c in "ab"]
+    for name, line in [("mit", "Released under the MIT License."), ("apache-2.0", "Licensed under the Apache License, Version 2.0"), ("apache-2.0", "Licensed under the Apache software License, Version 2.0")]:
+        for times in (1, 2, 3):
+            words = licenses.notice_words("\n".join([filler[0], *[line] * times, filler[1]]))
+            best = scanner.best(words)
+            assert best[0] == name and best[1] == 1 and best[4] - best[3] == len(licenses.notice_words(line))
+
+
 def test_patience():
     assert licenses.increasing([(0, 3), (1, 1), (2, 2), (3, 5), (4, 4)]) in ([(1, 1), (2, 2), (3, 5)], [(1, 1), (2, 2), (4, 4)])
     r = random.Random(9)
