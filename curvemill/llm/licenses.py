@@ -3,7 +3,8 @@
 Words are runs of letters and digits (and anything beyond ASCII), A-Z lower-cased. A text's region and a notice are aligned
 by patience: words that occur once in both are anchors, the longest increasing subsequence of their places stays, and the gaps between
 anchors are aligned the same way, after common words at both ends of a gap. The share of a notice's words that are
-matched is its coverage. Regions are the surroundings, ``REACH`` notices wide, of each occurrence of that word of the notice which is rarest
+matched is its coverage. Besides coverage, the phrases that tell a notice from others (the license's name and version) must be matched
+whole. Regions are the surroundings, ``REACH`` notices wide, of each occurrence of that phrase, or word of a notice without phrases, which is rarest
 in the text, so words scattered over a long text do not add up. A region that holds a notice twice may have no unique words; so the nearest words on both sides
 of the occurrence, half a notice more than it needs there, are also aligned by a longest common subsequence, which has no need of them.
 
@@ -30,26 +31,51 @@ from curvemill.llm.textbuf import Texts, byte_values, pieces
 COVERAGE = 0.8
 REACH = 2
 
-#: Public license notices.
-NOTICES = {
-    "agpl-3.0": "licensed under the GNU Affero General Public License, version 3",
-    "apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "bsl-1.0": "Distributed under the Boost Software License, Version 1.0",
-    "cc-by-4.0": "Licensed under CC BY 4.0",
-    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0",
-    "cc-by-nd-4.0": "Licensed under CC BY-ND 4.0",
-    "cc-by-sa-4.0": "Licensed under CC BY-SA 4.0",
-    "epl-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
-    "gpl-2.0": "licensed under the GNU General Public License, version 2",
-    "gpl-3.0": "licensed under the GNU General Public License, version 3",
-    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
-    "lgpl-3.0": "licensed under the GNU Lesser General Public License, version 3",
-    "mit": "Released under the MIT License",
-    "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
-    "unlicense": "This is free and unencumbered software released into the public domain",
+#: Public license notices, title lines of whole texts and SPDX lines, as templates of each license. What stands
+#: in brackets tells the license from others: it must be matched whole and in one piece.
+_CC = [(kind, version) for kind in ("by", "by-nc", "by-nd", "by-sa", "by-nc-nd", "by-nc-sa") for version in ("2.0", "2.5", "3.0", "4.0")]
+_GNU = "licensed under the [GNU {}], [version {}]", "[GNU {} Version {}]", "[GNU {}] as published by the Free Software Foundation; either [version {}]"
+_gnu = lambda name, version: tuple(x.format(name, version) for x in _GNU)
+NOTICES: dict[str, tuple[str, ...]] = {
+    "0bsd": ("[Zero-Clause BSD]", "[BSD Zero Clause License]"),
+    "agpl-3.0": _gnu("Affero General Public License", "3"),
+    "apache-1.1": ("Licensed under the [Apache] License, Version [1.1]", "The [Apache Software License, Version 1.1]"),
+    "apache-2.0": ("Licensed under the [Apache] License, Version [2.0]", "[Apache License Version 2.0]"),
+    "artistic-2.0": ("Released under the [Artistic License 2.0]", "[The Artistic License 2.0]"),
+    "bsd": (
+        "[Redistribution and use in source and binary forms], with or without modification, are permitted provided that the following conditions are met",
+        "Released under the [BSD] License", "Released under the [BSD 3-Clause] License", "Released under the [BSD 2-Clause] License",
+    ),
+    "bsl-1.0": ("Distributed under the [Boost Software License], [Version 1.0]", "[Boost Software License - Version 1.0]", "Released under the [Boost Software] License"),
+    "cc0-1.0": ("Licensed under [CC0 1.0]", "[CC0 1.0 Universal]"),
+    **{f"cc-{kind}-{version}": (f"Licensed under [CC {kind} {version}]",) for kind, version in _CC},
+    "epl-1.0": ("This program and the accompanying materials are made available under the terms of the [Eclipse Public License v1.0]", "[Eclipse Public License - v 1.0]"),
+    "epl-2.0": (
+        "This program and the accompanying materials are made available under the terms of the [Eclipse Public License 2.0]",
+        "This program and the accompanying materials are made available under the terms of the [Eclipse Public License v2.0]", "[Eclipse Public License - v 2.0]",
+    ),
+    "gpl": ("Released under the [GPL] License",),
+    "gpl-2.0": _gnu("General Public License", "2"),
+    "gpl-3.0": _gnu("General Public License", "3"),
+    "isc": ("Permission to [use, copy, modify, and/or distribute] this software for any purpose [with or without fee] is hereby granted", "Released under the [ISC] License"),
+    "lgpl-2.0": _gnu("Library General Public License", "2"),
+    "lgpl-2.1": _gnu("Lesser General Public License", "2.1"),
+    "lgpl-3.0": _gnu("Lesser General Public License", "3"),
+    "mit": ("Released under the [MIT] License",),
+    "mit-text": ("Permission is hereby granted, [free of charge, to any person obtaining a copy] of this software and associated documentation files",),
+    "mpl-1.1": ("subject to the [Mozilla Public License] [Version 1.1]", "[Mozilla Public License Version 1.1]"),
+    "mpl-2.0": ("This Source Code Form is subject to the terms of the [Mozilla Public License], v. [2.0]", "[Mozilla Public License Version 2.0]"),
+    "unlicense": ("This is [free and unencumbered software] released into the [public domain]",),
+    "zlib": ("This software is [provided as-is, without any express or implied warranty]. In no event will the authors be held liable for any damages arising from the use of this software", "Released under the [zlib] License"),
 }
+_SPDX = {
+    "0bsd": "0BSD", "agpl-3.0": "AGPL-3.0", "apache-1.1": "Apache-1.1", "apache-2.0": "Apache-2.0", "artistic-2.0": "Artistic-2.0", "bsl-1.0": "BSL-1.0", "cc0-1.0": "CC0-1.0", "epl-1.0": "EPL-1.0",
+    "epl-2.0": "EPL-2.0", "gpl-2.0": "GPL-2.0", "gpl-3.0": "GPL-3.0", "isc": "ISC", "lgpl-2.0": "LGPL-2.0", "lgpl-2.1": "LGPL-2.1", "lgpl-3.0": "LGPL-3.0", "mit": "MIT", "mit-0": "MIT-0",
+    "mpl-1.1": "MPL-1.1", "mpl-2.0": "MPL-2.0", "unlicense": "Unlicense", "zlib": "Zlib", **{f"cc-{kind}-{version}": f"CC-{kind}-{version}" for kind, version in _CC},
+}
+for _name, _id in _SPDX.items():
+    NOTICES[_name] = (*NOTICES.get(_name, ()), f"[SPDX-License-Identifier: {_id}]")
+NOTICES["bsd"] += ("[SPDX-License-Identifier: BSD-2-Clause]", "[SPDX-License-Identifier: BSD-3-Clause]")
 
 _CODES = np.arange(256)
 NOTICE_BYTE = (_CODES >= 128) | ((_CODES >= 48) & (_CODES < 58)) | ((_CODES >= 65) & (_CODES < 91)) | ((_CODES >= 97) & (_CODES < 123))
@@ -63,6 +89,18 @@ def notice_words(text: str) -> list[int]:
     return texts.hashes(starts, ends, _VALUES).tolist()
 
 
+def template(text: str) -> tuple[list[int], list[tuple[int, int]]]:
+    """The words of a template, and the start and end of each phrase in brackets."""
+    words: list[int] = []
+    keys = []
+    for k, part in enumerate(text.replace("]", "[").split("[")):
+        own = notice_words(part)
+        if k % 2 and own:
+            keys.append((len(words), len(words) + len(own)))
+        words += own
+    return words, keys
+
+
 def increasing(pairs: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest subsequence of pairs, sorted by their first parts, whose second parts increase."""
     tops: list[int] = []
@@ -139,39 +177,53 @@ def around(words: Sequence[int], p: int, notice: Sequence[int], q: int, k: int =
 
 
 class Scanner:
-    def __init__(self, notices: dict[str, str], coverage: float = COVERAGE) -> None:
-        self.names = sorted(notices)
-        self.words = [notice_words(notices[n]) for n in self.names]
+    def __init__(self, notices: dict[str, str | tuple[str, ...]], coverage: float = COVERAGE) -> None:
+        each = [(n, *template(t)) for n in sorted(notices) for t in ([notices[n]] if isinstance(notices[n], str) else notices[n])]
+        self.names, self.words, self.keys = (list(c) for c in zip(*each))
         self.coverage = coverage
         self.vocabulary = np.unique(np.array([w for ws in self.words for w in ws], np.uint64))
         self.member = np.array([np.isin(self.vocabulary, np.array(ws, np.uint64)) for ws in self.words]).T
         # distinct words that a text must have
         self.least = np.array([max(1, int(np.ceil(len(set(ws)) - (1 - coverage) * len(ws) - 1e-9))) for ws in self.words])
+        needed = [[w for a, b in keys for w in ws[a:b]] for ws, keys in zip(self.words, self.keys)]
+        self.needed = np.array([np.isin(self.vocabulary, np.array(ws, np.uint64)) for ws in needed]).T
 
-    def best(self, words: list[int]) -> tuple[str, float, int, int, int] | None:
+    def best(self, words: list[int], among: Sequence[int] | None = None) -> tuple[str, float, int, int, int] | None:
         """(license, coverage, matched words, first word, end) of the best notice in a text of these word hashes."""
         found = None
         places: dict[int, list[int]] = {}
         for i, w in enumerate(words):
             places.setdefault(w, []).append(i)
-        for name, notice in zip(self.names, self.words):
-            present = [w for w in dict.fromkeys(notice) if w in places]
+        for t in range(len(self.names)) if among is None else among:
+            name, notice, keys = self.names[t], self.words[t], self.keys[t]
             need = self.coverage * len(notice) - 1e-9
             if sum(w in places for w in notice) < need:
                 continue
-            # a match may lack some words: the rarest of one more than it can lack is in every match
+            for pairs in self._tries(words, places, notice, keys, need):
+                at = {k: i for i, k in pairs}
+                if len(pairs) < need or not all(k in at and at[k] == at[a] + k - a for a, b in keys for k in range(a, b)):
+                    continue
+                rank = (len(pairs), len(pairs) / len(notice))
+                if found is None or rank > found[0]:
+                    found = (rank, (name, len(pairs) / len(notice), len(pairs), pairs[0][0], pairs[-1][0] + 1))
+        return found and found[1]
+
+    def _tries(self, words: list[int], places: dict[int, list[int]], notice: list[int], keys: list[tuple[int, int]], need: float) -> Iterator[list[tuple[int, int]]]:
+        """Alignments of a notice with the surroundings of all places that may be in a match."""
+        if keys:  # the phrase that stands in the fewest places is in every match
+            starts = [[p for p in places.get(notice[a], ()) if words[p : p + b - a] == notice[a:b]] for a, b in keys]
+            k = min(range(len(keys)), key=lambda i: len(starts[i]))
+            centers = [(p, keys[k][0], keys[k][1] - keys[k][0]) for p in starts[k]]
+        else:  # a match may lack some words: the rarest of one more than it can lack is in every match
+            present = [w for w in dict.fromkeys(notice) if w in places]
             by_rarity = sorted(present, key=lambda w: len(places[w]))
             lack = int(len(notice) - need) - (len(set(notice)) - len(present))
-            for center in sorted({p for w in by_rarity[: max(lack, 0) + 1] for p in places[w]}):
-                low, high = max(0, center - REACH * len(notice)), center + REACH * len(notice) + 1
-                tries = [around(words, center, notice, q) for q, w in enumerate(notice) if w == words[center]]
-                tries.append([(low + i, k) for i, k in align(words[low:high], notice)])
-                for pairs in tries:
-                    if len(pairs) >= need:
-                        rank = (len(pairs), len(pairs) / len(notice))
-                        if found is None or rank > found[0]:
-                            found = (rank, (name, len(pairs) / len(notice), len(pairs), pairs[0][0], pairs[-1][0] + 1))
-        return found and found[1]
+            centers = [(p, q, 1) for p in sorted({p for w in by_rarity[: max(lack, 0) + 1] for p in places[w]}) for q, w in enumerate(notice) if w == words[p]]
+        for p, q, k in centers:
+            yield around(words, p, notice, q, k)
+            low, high = max(0, p - REACH * len(notice)), p + REACH * len(notice) + 1
+            left, right = align(words[low:p], notice[:q]), align(words[p + k : high], notice[q + k :])
+            yield [(low + i, j) for i, j in left] + [(p + i, q + i) for i in range(k)] + [(p + k + i, q + k + j) for i, j in right]
 
     def scan(self, column: pa.Array) -> list[tuple[str, float, int, int, int] | None]:
         texts = Texts(column)
@@ -181,14 +233,15 @@ class Scanner:
         hit = np.flatnonzero(self.vocabulary[at] == hashes)
         has = np.zeros((texts.n, len(self.vocabulary)), bool)
         has[np.searchsorted(first, hit, side="right") - 1, at[hit]] = True
-        may = (has.astype(np.int64) @ self.member.astype(np.int64) >= self.least).any(1)
+        own = has.astype(np.float32)  # counts stay far below 2^24
+        may = (own @ self.member.astype(np.float32) >= self.least) & (own @ self.needed.astype(np.float32) >= self.needed.sum(0))
         out: list = [None] * texts.n
-        for i in np.flatnonzero(may).tolist():
-            out[i] = self.best(hashes[first[i] : first[i + 1]].tolist())
+        for i in np.flatnonzero(may.any(1)).tolist():
+            out[i] = self.best(hashes[first[i] : first[i + 1]].tolist(), np.flatnonzero(may[i]).tolist())
         return out
 
 
-def _scan(notices: dict[str, str], coverage: float):
+def _scan(notices: dict[str, str | tuple[str, ...]], coverage: float):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(notices, coverage)
         kinds = [pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
@@ -201,7 +254,7 @@ def _scan(notices: dict[str, str], coverage: float):
     return scan
 
 
-def scan_licenses(docs: DataFrame, notices: dict[str, str] = NOTICES, coverage: float = COVERAGE) -> DataFrame:
+def scan_licenses(docs: DataFrame, notices: dict[str, str | tuple[str, ...]] = NOTICES, coverage: float = COVERAGE) -> DataFrame:
     """The best license notice of every row of docs (doc_id, text); license is null and coverage 0 where none is covered."""
     slim = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     kind = dict(slim.dtypes)["doc_id"]

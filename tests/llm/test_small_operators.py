@@ -504,6 +504,19 @@ def test_doubled_notices():
             assert best[0] == name and best[1] == 1 and best[4] - best[3] == len(licenses.notice_words(line))
 
 
+def test_what_tells_licenses_apart():
+    scanner = licenses.Scanner(licenses.NOTICES)
+    lines = {
+        "Released under the BSD License": "bsd", "Released under the GPL License": "gpl", "Released under the ISC License": "isc", "it was released under the label license": None, "Licensed under CC BY 3.0": "cc-by-3.0",
+        "Licensed under CC BY-NC-SA 4.0": "cc-by-nc-sa-4.0", "licensed under the GNU Lesser General Public License, version 2.1": "lgpl-2.1", "licensed under the GNU Lesser General Public License, version 3": "lgpl-3.0",
+        "licensed under the GNU Affero General Public License, version 3": "agpl-3.0", "licensed under the GNU General Public License, version 2": "gpl-2.0", "SPDX-License-Identifier: MPL-2.0": "mpl-2.0",
+        "SPDX-License-Identifier: MIT": "mit", "SPDX-License-Identifier: MIT-0": "mit-0", "GNU GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007": "gpl-3.0", "Licensed under the Apache License, Version 1.1": "apache-1.1",
+    }
+    for line, want in lines.items():
+        best = scanner.best(licenses.notice_words(f"some words before it. {line}. and some after"))
+        assert (best and best[0]) == want, (line, best)
+
+
 def test_patience():
     assert licenses.increasing([(0, 3), (1, 1), (2, 2), (3, 5), (4, 4)]) in ([(1, 1), (2, 2), (3, 5)], [(1, 1), (2, 2), (4, 4)])
     r = random.Random(9)
