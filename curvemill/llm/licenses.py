@@ -11,8 +11,10 @@ of the occurrence, half a notice more than it needs there, are also aligned by a
 Most texts need no alignment: to cover the share ``COVERAGE`` of a notice, a text must have all but so many of its distinct words. This bound, which loses
 nothing, is tested for all texts of an Arrow batch at once.
 
-Defined cases: a null or empty text has no license; of several notices that match, the one with most matched words is given, then
-greater coverage, then the smaller name; repeated rows are judged alike; an empty table gives no rows. Other columns are ignored.
+All notices that match are given with their spans, none of which overlap: the one with most matched words goes first, then greater coverage, then
+the smaller name, then the shorter span, then the earlier one, and what overlaps it is left out. The first of them is the document's license.
+
+Defined cases: a null or empty text has no license and no matches; matches come in the order of the text; repeated rows are judged alike; an empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -188,9 +190,9 @@ class Scanner:
         needed = [[w for a, b in keys for w in ws[a:b]] for ws, keys in zip(self.words, self.keys)]
         self.needed = np.array([np.isin(self.vocabulary, np.array(ws, np.uint64)) for ws in needed]).T
 
-    def best(self, words: list[int], among: Sequence[int] | None = None) -> tuple[str, float, int, int, int] | None:
-        """(license, coverage, matched words, first word, end) of the best notice in a text of these word hashes."""
-        found = None
+    def matches(self, words: list[int], among: Sequence[int] | None = None) -> list[tuple[str, float, int, int, int]]:
+        """(license, coverage, matched words, first word, end) of all notices in a text of these word hashes, best first; spans do not overlap."""
+        found = set()
         places: dict[int, list[int]] = {}
         for i, w in enumerate(words):
             places.setdefault(w, []).append(i)
@@ -203,10 +205,18 @@ class Scanner:
                 at = {k: i for i, k in pairs}
                 if len(pairs) < need or not all(k in at and at[k] == at[a] + k - a for a, b in keys for k in range(a, b)):
                     continue
-                rank = (len(pairs), len(pairs) / len(notice))
-                if found is None or rank > found[0]:
-                    found = (rank, (name, len(pairs) / len(notice), len(pairs), pairs[0][0], pairs[-1][0] + 1))
-        return found and found[1]
+                found.add((name, len(pairs) / len(notice), len(pairs), pairs[0][0], pairs[-1][0] + 1))
+        out, taken = [], bytearray(len(words))
+        for match in sorted(found, key=lambda m: (-m[2], -m[1], m[0], m[4] - m[3], m[3])):
+            low, high = match[3:]
+            if not any(taken[low:high]):
+                taken[low:high] = b"\1" * (high - low)
+                out.append(match)
+        return out
+
+    def best(self, words: list[int]) -> tuple[str, float, int, int, int] | None:
+        """The first of the matches."""
+        return next(iter(self.matches(words)), None)
 
     def _tries(self, words: list[int], places: dict[int, list[int]], notice: list[int], keys: list[tuple[int, int]], need: float) -> Iterator[list[tuple[int, int]]]:
         """Alignments of a notice with the surroundings of all places that may be in a match."""
@@ -225,7 +235,7 @@ class Scanner:
             left, right = align(words[low:p], notice[:q]), align(words[p + k : high], notice[q + k :])
             yield [(low + i, j) for i, j in left] + [(p + i, q + i) for i in range(k)] + [(p + k + i, q + k + j) for i, j in right]
 
-    def scan(self, column: pa.Array) -> list[tuple[str, float, int, int, int] | None]:
+    def scan(self, column: pa.Array) -> list[list[tuple[str, float, int, int, int]]]:
         texts = Texts(column)
         starts, ends, first = texts.runs(NOTICE_BYTE)
         hashes = texts.hashes(starts, ends, _VALUES)
@@ -235,27 +245,32 @@ class Scanner:
         has[np.searchsorted(first, hit, side="right") - 1, at[hit]] = True
         own = has.astype(np.float32)  # counts stay far below 2^24
         may = (own @ self.member.astype(np.float32) >= self.least) & (own @ self.needed.astype(np.float32) >= self.needed.sum(0))
-        out: list = [None] * texts.n
+        out: list = [[] for _ in range(texts.n)]
         for i in np.flatnonzero(may.any(1)).tolist():
-            out[i] = self.best(hashes[first[i] : first[i + 1]].tolist(), np.flatnonzero(may[i]).tolist())
+            out[i] = self.matches(hashes[first[i] : first[i + 1]].tolist(), np.flatnonzero(may[i]).tolist())
         return out
 
 
 def _scan(notices: dict[str, str | tuple[str, ...]], coverage: float):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(notices, coverage)
+        names = ["license", "coverage", "matched", "first_word", "end_word"]
         kinds = [pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
+        match = pa.list_(pa.struct(list(zip(names, kinds))))
         for batch in batches:
             for part in pieces(batch, "text"):
-                rows = [r or (None, 0.0, 0, None, None) for r in scanner.scan(part.column("text"))]
+                found = scanner.scan(part.column("text"))
+                rows = [m[0] if m else (None, 0.0, 0, None, None) for m in found]
                 columns = [pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", "license", "coverage", "matched", "first_word", "end_word"])
+                every = pa.array([[dict(zip(names, x)) for x in sorted(m, key=lambda x: x[3])] for m in found], match)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns, every], names=["doc_id", *names, "matches"])
 
     return scan
 
 
 def scan_licenses(docs: DataFrame, notices: dict[str, str | tuple[str, ...]] = NOTICES, coverage: float = COVERAGE) -> DataFrame:
-    """The best license notice of every row of docs (doc_id, text); license is null and coverage 0 where none is covered."""
+    """All license notices (matches) of every row of docs (doc_id, text), and the best of them; license is null and coverage 0 where none is covered."""
     slim = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     kind = dict(slim.dtypes)["doc_id"]
-    return slim.mapInArrow(_scan(notices, coverage), f"doc_id {kind}, license string, coverage double, matched long, first_word long, end_word long")
+    match = "license string, coverage double, matched long, first_word long, end_word long"
+    return slim.mapInArrow(_scan(notices, coverage), f"doc_id {kind}, {match}, matches array<struct<{match.replace(' ', ':').replace(',:', ', ')}>>")

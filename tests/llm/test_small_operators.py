@@ -517,6 +517,14 @@ def test_what_tells_licenses_apart():
         assert (best and best[0]) == want, (line, best)
 
 
+def test_all_licenses_of_a_text(spark):
+    filler = " ".join(f"word{i % 50}" for i in range(400))
+    text = "\n".join(["Released under the MIT License.", filler, "Licensed under the Apache License, Version 2.0", filler, "Released under the MIT License.", "Licensed under CC BY 4.0"])
+    one, other = licenses.scan_licenses(docs(spark, [(1, text), (2, filler)])).orderBy("doc_id").collect()
+    assert [(x["license"], x["first_word"], x["end_word"]) for x in one["matches"]] == [("mit", 0, 5), ("apache-2.0", 405, 413), ("mit", 813, 818), ("cc-by-4.0", 818, 824)]
+    assert (one["license"], one["first_word"], one["end_word"]) == ("apache-2.0", 405, 413) and other["license"] is None and other["matches"] == []
+
+
 def test_patience():
     assert licenses.increasing([(0, 3), (1, 1), (2, 2), (3, 5), (4, 4)]) in ([(1, 1), (2, 2), (3, 5)], [(1, 1), (2, 2), (4, 4)])
     r = random.Random(9)
