@@ -12,11 +12,12 @@ pair is a candidate if it shares a bucket (an equal band). Verification is by th
 
 First every member of a bucket is compared with the bucket's own leader. Members that hang together with their leader over a few of these links are
 settled and need no comparison with one another. The others are compared with all members: a bucket is dealt into blocks of
-``BLOCK``, and every pair of blocks but settled ones is a group of bounded size, in which pairs are first screened by their signatures, taken only in the
+``BLOCK``, and every pair of blocks but settled ones is a group of bounded size, in which pairs are first screened by the sizes of their shingle sets, which loses none, taken only in the
 first bucket they share, and verified unless both are already in one component of the group. So no candidate pair between components is left out,
 pairs are never emitted, only links that join, and a hot bucket is many small groups.
 
-At ROWS = 5 and BANDS = 25 a pair of probability Jaccard 0.8 shares a bucket with probability 0.99995.
+At ROWS = 5 and BANDS = 25 a pair of probability Jaccard 0.8 shares a bucket with probability 0.99995, one of 0.63 (equal sets, 30% of whose shingles
+one text repeats 40 times) with 0.93.
 
 Defined cases: a text without words (null, empty) has no shingles, is near nothing, and copies of it are one class; rows without an id
 have the class of their text if other rows have it too, else none; repeated rows are in one class; an empty table gives no
@@ -41,8 +42,6 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
 #: Members of a bucket in a block: what one group compares is a block with itself or with one other.
 BLOCK = 256
-#: Pairs are verified if so many of their registers agree; a pair of probability Jaccard 0.8 falls below with probability 5e-5.
-SCREEN = 0.66
 _VALUES = byte_values(True, WORD_BYTE)
 
 
@@ -196,7 +195,7 @@ class _Forest:
 def group_links(band: int, low: int, high: int, rows: dict[str, list], threshold: float) -> list[tuple[int, int]]:
     """Links that join components within one group: of one block with itself, or between two blocks of a bucket.
 
-    A pair counts in the first bucket its two signatures share, and if they agree in enough registers; it is verified
+    A pair counts in the first bucket its two signatures share, and if the sizes of its sets allow the threshold; it is verified
     unless both are in one component by then.
     """
     block, n = np.array(rows["block"]), len(rows["node"])
@@ -204,17 +203,18 @@ def group_links(band: int, low: int, high: int, rows: dict[str, list], threshold
     forest, out = _Forest(rows["label"]), []
     labels = np.array(rows["label"])
     prints = [np.frombuffer(x, np.uint32) for x in rows["prints"]]
+    sizes = np.array([len(x) for x in prints])
     for i in range(n - 1):
         others = np.arange(i + 1, n)
         others = others[labels[others] != labels[i]]
         if low != high:
             others = others[block[others] != block[i]]
+        others = others[np.minimum(sizes[others], sizes[i]) >= threshold * np.maximum(sizes[others], sizes[i])]
         if not len(others):
             continue
         same = signature[others] == signature[i]
         first = same.reshape(len(others), BANDS, ROWS).all(2).argmax(1)
-        near = np.flatnonzero((first == band) & (same.mean(1) >= SCREEN))
-        for k in others[near].tolist():
+        for k in others[first == band].tolist():
             if forest.root(i) != forest.root(k) and alike(prints[i], prints[k], threshold):
                 forest.join(i, k)
                 out.append((rows["node"][i], rows["node"][k]))

@@ -14,7 +14,7 @@ import pytest
 from curvemill.llm import brown, decontaminate, licenses, minhash, mixing, pii, quality, queries, tokens, urls, warc
 from curvemill.llm.graph import components
 from curvemill.llm.shared import as_uri, scratch_path
-from curvemill.llm.textbuf import WORD_BYTE, Texts, byte_values, pieces, windows
+from curvemill.llm.textbuf import WORD_BYTE, Texts, byte_values, mix64, pieces, windows
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"w{i % 977}x{i % 31}" for i in range(60_000))
@@ -258,6 +258,23 @@ def test_near_duplicates_odd_rows(spark):
     assert minhash.classes(df.limit(0)).count() == 0 == minhash.distinct_documents(df.limit(0)).count()
 
 
+def test_pairs_with_repetition_are_verified_where_they_share_a_bucket():
+    shared = found = low = 0
+    for seed in range(60):
+        r = np.random.default_rng(seed)
+        element = mix64(r.integers(0, 2**62, 200).astype(np.uint64))
+        weight = np.where(np.arange(200) < 60, 1 + np.log(40), 1.0)  # one text repeats 30% of its shingles 40 times
+        pair = [minhash.signatures(element, np.zeros(200, np.int64), w, 1) for w in (np.ones(200), weight)]
+        same = np.flatnonzero((minhash.bands(pair[0]) == minhash.bands(pair[1]))[0])
+        prints = np.unique(element.astype(np.uint32)).tobytes()
+        if len(same):
+            shared += 1
+            low += (pair[0] == pair[1]).mean() < 0.66
+            rows = {"block": [0, 0], "label": [1, 2], "node": [1, 2], "signature": [x.astype(np.uint16).tobytes() for x in pair], "prints": [prints] * 2}
+            found += any(minhash.group_links(int(b), 0, 0, rows, 0.8) for b in same)
+    assert found == shared >= 45 and low > 10
+
+
 def test_signatures_estimate_probability_jaccard():
     r = np.random.default_rng(4)
     shared, own = r.integers(1, 2**63, 300).astype(np.uint64), r.integers(1, 2**63, (2, 100)).astype(np.uint64)
