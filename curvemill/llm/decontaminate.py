@@ -7,12 +7,14 @@ Rarity is the count over all documents, then the word itself. Only document word
 are joined; of these candidates the position of the prefix in the window gives the start, bounds drop starts that do not leave
 room for the window, and the words from there on are compared with the window's.
 
-Documents are exploded into words on the fly and only candidates are ever shuffled. The windows and their prefixes are broadcast if
-their stored table has at most 16 MB of files; beyond, the words are joined by shuffle, with the same result.
+A text is cut into words by one ``translate`` (A-Z to a-z, separators to blanks) and one ``split``, once in each of three scans: for the rarity of the
+items' words, for the occurrences, and for the number of words. Document words meet the prefixes one by one. If the windows' stored table is small,
+it is broadcast and a candidate is compared with its text on the spot; else words are exchanged with no more of their text than the window can reach on both sides, with
+the same result. Only places where a window occurs go on.
 
 Defined cases: a null text has no words; an item without words has no window; an item without an id marks words but is not
 counted among the items; of repeated items each id counts once; rows with equal id and text get the same row each; a null document id
-is a value like any other; without items nothing is hit. Columns of the input pass through unless they have the name of an added one.
+is a value like any other; without items nothing is hit. Columns of the input pass through, whatever their names, unless they have the name of an added one.
 """
 
 from __future__ import annotations
@@ -20,16 +22,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curvemill.llm.shared import lower_ascii, small, stored
+from curvemill.llm.shared import LOWER, UPPER, fits_memory, small, stored
 
-#: Runs of digits, letters and bytes beyond ASCII, after lower-casing A-Z.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SIZE = 10
 ADDED = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+#: What stands between words: all of ASCII but digits and letters.
+SEPARATORS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(WORD), 0)
+    """Runs of digits, letters and characters beyond ASCII, A-Z lower-cased."""
+    plain = F.translate(F.coalesce(text, F.lit("")), SEPARATORS + UPPER, " " * len(SEPARATORS) + LOWER)
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def item_windows(items: DataFrame, size: int = SIZE) -> DataFrame:
@@ -40,55 +44,72 @@ def item_windows(items: DataFrame, size: int = SIZE) -> DataFrame:
     return cut.groupBy("window").agg(F.collect_set("item").alias("items"))
 
 
-def prefixes(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """(token, at, window, items): each window with its rarest word and where in the window that stands, from 0."""
+def prefixes(texts: DataFrame, windows: DataFrame) -> DataFrame:
+    """(token, at, window, items): each window with its rarest word and where in the window that stands, from 0; texts has the column text."""
     vocabulary = stored(windows.select(F.explode("window").alias("token")).distinct(), "window-words")
-    counts = docs.select(F.explode(words(F.col("text"))).alias("token")).join(small(vocabulary), "token").groupBy("token").count()
+    # explode_outer: for explode, Spark would test the array for emptiness first, and so cut every text twice
+    tokens = texts.select(F.explode_outer(words(F.col("text"))).alias("token"))
+    if fits_memory(vocabulary):
+        counts = tokens.join(F.broadcast(vocabulary), "token").groupBy("token").count()
+    else:  # counted before the exchange
+        counts = tokens.groupBy("token").count().join(vocabulary, "token")
     rarity = vocabulary.join(counts, "token", "left").select("token", F.coalesce("count", F.lit(0)).alias("n"))
     placed = windows.select("window", "items", F.posexplode("window").alias("at", "token")).join(rarity, "token")
     rarest = placed.groupBy("window").agg(F.min(F.struct("n", "token", "at")).alias("rarest"), F.first("items").alias("items"))
     return rarest.select(F.col("rarest.token").alias("token"), F.col("rarest.at").alias("at"), "window", "items")
 
 
-def occurrences(docs: DataFrame, prefix: DataFrame) -> DataFrame:
+def occurrences(docs: DataFrame, prefix: DataFrame, size: int = SIZE) -> DataFrame:
     """(doc_id, digest, start, size, items): every place in docs (doc_id, text) where a window occurs."""
-    placed = docs.select("doc_id", "text", words(F.col("text")).alias("w")).select("doc_id", "text", "w", F.posexplode("w").alias("pos", "token"))
-    start = F.col("pos") - F.col("at")
-    size = F.size("window")
-    candidates = placed.join(small(prefix), "token").where((start >= 0) & (start + size <= F.size("w")))
-    found = candidates.where(F.slice("w", start + 1, size) == F.col("window"))
-    return found.select("doc_id", F.xxhash64("text").alias("digest"), start.alias("start"), size.alias("size"), "items")
+    cut = docs.select("doc_id", F.xxhash64("text").alias("digest"), words(F.col("text")).alias("w"))
+    placed = cut.select("doc_id", "digest", "w", F.posexplode_outer("w").alias("pos", "token"))
+    if fits_memory(prefix):
+        near, low, prefix = F.col("w"), F.lit(0), F.broadcast(prefix)
+    else:
+        low = F.greatest(F.col("pos") - size + 1, F.lit(0))
+        near = F.slice("w", low + 1, 2 * size - 1)
+    placed = placed.select("doc_id", "digest", "pos", "token", F.size("w").alias("n"), low.alias("low"), near.alias("near"))
+    start, length = F.col("pos") - F.col("at"), F.size("window")
+    candidates = placed.join(prefix, "token").where((start >= 0) & (start + length <= F.col("n")))
+    found = candidates.where(F.slice("near", start - F.col("low") + 1, length) == F.col("window"))
+    return found.select("doc_id", "digest", start.alias("start"), length.alias("size"), "items")
+
+
+def _found(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
+    windows = stored(item_windows(items, size), "windows")
+    return occurrences(docs, stored(prefixes(docs, windows), "prefixes"), size)
+
+
+def _renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str], Column]:
+    """docs under names that clash with none of ours, the name of each column, and whether a row is that of doc_id and digest."""
+    own = {c: f"_{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in own.items()])
+    same = F.col(own["doc_id"]).eqNullSafe(F.col("doc_id")) & (F.xxhash64(F.col(own["text"]).cast("string")) == F.col("digest"))
+    return rows, own, same
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
     """Adds n_words, n_hit, n_items, items_sha256 and contaminated to every row of docs (doc_id, text); items has item_id and text."""
-    windows = stored(item_windows(items, size), "windows")
-    slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    prefix = stored(prefixes(slim, windows), "prefixes")
-    found = occurrences(slim, prefix)
+    found = _found(docs.select("doc_id", F.col("text").cast("string").alias("text")), items, size)
     spots = found.groupBy("doc_id", "digest").agg(F.collect_set(F.struct("start", "size")).alias("spots"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("ids"))
     hit = F.size(F.array_distinct(F.flatten(F.transform("spots", lambda s: F.sequence(s["start"], s["start"] + s["size"] - 1)))))
-    hits = spots.select(F.col("doc_id").alias("hit_id"), F.col("digest").alias("hit_digest"), hit.alias("hit"), "ids")
+    hits = small(stored(spots.select("doc_id", "digest", hit.cast("long").alias("hit"), "ids"), "hits"))
+    rows, own, same = _renamed(docs)
     kept = [c for c in docs.columns if c not in ADDED]
-    count = F.coalesce(F.regexp_count(lower_ascii(F.col("text").cast("string")), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], count.alias("n_words"), F.xxhash64(F.col("text").cast("string")).alias("own_digest"))
-    joined = rows.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("own_digest") == F.col("hit_digest")), "left")
+    counted = rows.withColumn("n", F.size(words(F.col(own["text"]).cast("string"))).cast("long")).join(hits, same, "left")
     ids = F.coalesce(F.col("ids"), F.array().cast("array<string>"))
-    return joined.select(
-        *[F.col(f"`{c}`") for c in kept], "n_words", F.coalesce("hit", F.lit(0)).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort(ids), ","), 256).alias("items_sha256"), (F.coalesce("hit", F.lit(0)) > 0).alias("contaminated"),
+    return counted.select(
+        *[F.col(own[c]).alias(c) for c in kept], F.col("n").alias("n_words"), F.coalesce("hit", F.lit(0)).alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort(ids), ","), 256).alias("items_sha256"), F.col("hit").isNotNull().alias("contaminated"),
     )
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
-    """The documents in which no window of any item occurs."""
-    windows = stored(item_windows(items, size), "windows")
-    slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    prefix = stored(prefixes(slim, windows), "prefixes")
-    dirty = occurrences(slim, prefix).select(F.col("doc_id").alias("hit_id"), F.col("digest").alias("hit_digest")).distinct()
-    dirty = small(stored(dirty, "contaminated"))
-    same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("hit_digest"))
-    return docs.join(dirty, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents in which no window of any item occurs, with their columns, whatever their names."""
+    found = _found(docs.select("doc_id", F.col("text").cast("string").alias("text")), items, size)
+    dirty = small(stored(found.select("doc_id", "digest").distinct(), "contaminated"))
+    rows, own, same = _renamed(docs)
+    return rows.join(dirty, same, "left_anti").select(*[F.col(a).alias(c) for c, a in own.items()])
 
 
 _DISTINCT_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

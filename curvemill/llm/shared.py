@@ -65,14 +65,39 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: A stored table of at most so many bytes of files may be broadcast.
-BROADCAST_BYTES = 16 << 20
+#: What a broadcast table may take in memory, by ``memory_bytes``.
+BROADCAST_BYTES = 64 << 20
+#: Bytes of a row of a hashed table besides its values; how much larger texts are in memory than in files.
+ROW_BYTES, INFLATION = 40, 4
+
+
+def memory_bytes(table: DataFrame) -> int:
+    """A bound of what a stored table takes as a hashed relation: its rows times their fixed width, and its files unpacked."""
+    return table.count() * (ROW_BYTES + 8 * len(table.columns)) + INFLATION * file_bytes(table)
+
+
+def fits_memory(table: DataFrame) -> bool:
+    """Whether a stored table may be broadcast; rows are counted only if the files alone do not exceed the bound."""
+    return INFLATION * file_bytes(table) <= BROADCAST_BYTES and memory_bytes(table) <= BROADCAST_BYTES
 
 
 def small(table: DataFrame) -> DataFrame:
-    """A stored table, marked for broadcast if its files are small enough; else it is joined as Spark sees fit."""
-    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(table) if size <= BROADCAST_BYTES else table
+    """A stored table, marked for broadcast if it is small enough in memory; else it is joined as Spark sees fit."""
+    return F.broadcast(table) if fits_memory(table) else table
+
+
+#: Bytes of input files that one task of an exchange with a fixed number of partitions gets.
+TASK_BYTES = 128 << 20
+
+
+def file_bytes(df: DataFrame) -> int:
+    """Bytes of what a DataFrame reads, as Spark estimates them."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def tasks_for(df: DataFrame) -> int:
+    """Partitions for an exchange of all rows: those of the session, or more where the input is large."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-file_bytes(df) // TASK_BYTES))
 
 
 def as_uri(path: str) -> str:
