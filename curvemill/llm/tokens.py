@@ -6,14 +6,16 @@ columns: ``tokens`` (``length`` ids; 16-bit if the vocabulary allows, else 32-bi
 file's last sequence). Batches are not compressed, so a memory-mapped file gives any sequence without a copy.
 An index table (file number, document, first id, number of ids) is written beside them as Parquet.
 
-Ranges of document ids form the files: one range exchange of the texts, a sort within each range, and
-encoding as the rows stream by. File names carry the task attempt, and only the index names files, so what a lost
+Ranges of document ids form the files: one range exchange of the texts, as many ranges as their bytes ask for, a sort within each range, and
+encoding as the rows stream by; a file is closed at ``FILE_IDS`` ids or so. File names carry the task attempt, and only the index names files, so what a lost
 executor left half-written is never read.
 
 Encoding equals the tokenizers library's own on whole texts, but each distinct piece of text is encoded
 once per worker: byte-level BPE never merges across pre-tokens, so pre-token bounds are found for whole
-batches with numpy and only unseen pre-tokens go to the library. Texts with characters outside ASCII and the Latin
-letters up to U+024F, control characters, or the text of a special token go to the library whole.
+batches with numpy, a pre-token of up to 16 bytes is known by these bytes mixed into one number (a longer one by a digest; unequal ones of equal
+length up to 8 bytes never collide, others with a chance of 2^-64 a pair), and only unseen ones go to the library. Texts with characters outside ASCII and the Latin
+letters up to U+024F, control characters, or the text of a special token go to the library whole, as do all texts if the tokenizer file
+has a normalizer or any other pre-tokenizer than the byte-level one. The width of ids follows from the file's vocabulary.
 
 Defined cases: a null text is empty (one end id); null document ids come first; repeated rows are written
 each on its own, equal ids in order of their texts' hashes; an empty table gives no file and an empty index; other columns are ignored.
@@ -21,25 +23,31 @@ each on its own, equal ids in order of their texts' hashes; an empty table gives
 
 from __future__ import annotations
 
+import hashlib
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow.fs import FileSystem
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from curvemill.llm.shared import as_uri, scratch_path, stored
-from curvemill.llm.textbuf import Texts, byte_values, pieces
+from curvemill.llm.shared import as_uri, scratch_path, stored, tasks_for
+from curvemill.llm.textbuf import Texts, mix64, pieces
 
 LENGTH = 2048
 #: Sequences in a record batch.
 BATCH = 256
 #: Distinct pre-tokens a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_500_000
+#: Bytes of texts that are encoded together; ids after which a file is closed.
+ENCODED_BYTES, FILE_IDS = 2 << 20, 1 << 28
 INDEX = "file string, doc_id long, first long, n_tokens long"
 
 _LETTER, _DIGIT, _SPACE, _OTHER, _STRANGE = range(5)
@@ -57,6 +65,9 @@ def _classes() -> np.ndarray:
     return kind
 
 
+_STRANGE_BYTE = _classes() == _STRANGE
+
+
 def pre_tokens(data: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Starts of the pre-tokens of plain texts; first marks the first byte of each text, and has one item more than data."""
     kind = _classes()[data]
@@ -86,6 +97,37 @@ def pre_tokens(data: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.flatnonzero(starts)
 
 
+def byte_level(path: str) -> bool:
+    """Whether a tokenizer file cuts texts as ``pre_tokens`` does, and has no normalizer."""
+    with open(path, encoding="utf-8") as file:
+        known = json.load(file)
+    cut = known.get("pre_tokenizer") or {}
+    return not known.get("normalizer") and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+
+
+def vocabulary_size(path: str) -> int:
+    """One more than the largest id of a tokenizer file."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values(), default=0) + 1
+
+
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def pre_token_keys(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A number for each pre-token, from its bytes: eight are read at a time, wherever they begin."""
+    room = np.concatenate((data, np.zeros(16, np.uint8)))
+    eight = np.ndarray(len(data) + 9, "<u8", room, strides=(1,))
+    low = eight[starts] & _LOW_BYTES[np.minimum(sizes, 8)]
+    high = eight[starts + np.minimum(sizes, 8)] & _LOW_BYTES[np.clip(sizes - 8, 0, 8)]
+    keys = mix64(low + mix64(high ^ (sizes.astype(np.uint64) << np.uint64(56))))
+    for i in np.flatnonzero(sizes > 16).tolist():
+        word = data[starts[i] : starts[i] + sizes[i]].tobytes()
+        keys[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest())
+    return keys
+
+
 class Encoder:
     """Encodes batches of texts; remembers the ids of the pre-tokens it has met."""
 
@@ -94,89 +136,100 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
-        self.values = byte_values(False, np.ones(256, bool))
+        self.cuts = byte_level(path)
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.ids, self.at, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.used = 0
-
-    def learn(self, hashes: list[int], texts: list[str]) -> None:
-        found = [np.array(e.ids, np.uint32) for e in self.library.encode_batch(texts, add_special_tokens=False)]
-        n, sizes = len(self.known), np.array([len(x) for x in found], np.int64)
-        more = int(sizes.sum())
-        while self.used + more > len(self.ids):
-            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-        while n + len(found) > len(self.at):
-            self.at, self.size = np.concatenate((self.at, np.zeros_like(self.at))), np.concatenate((self.size, np.zeros_like(self.size)))
-        self.ids[self.used : self.used + more] = np.concatenate(found)
-        self.at[n : n + len(found)] = self.used + np.cumsum(sizes) - sizes
-        self.size[n : n + len(found)] = sizes
-        self.known.update(zip(hashes, range(n, n + len(found))))
-        self.used += more
+        """keys: of the known pre-tokens, in ascending order, and place: the number of each; at and size: where its ids are."""
+        self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.ids, self.at, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def learn(self, keys: np.ndarray, words: list[str]) -> np.ndarray:
+        """The places of pre-tokens that are not known yet."""
+        found = [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int32, len(found))
+        new = np.arange(len(self.at), len(self.at) + len(found), dtype=np.int32)
+        self.at = np.concatenate((self.at, len(self.ids) + np.cumsum(sizes) - sizes))
+        self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))))
+        self.size = np.concatenate((self.size, sizes))
+        order = np.argsort(keys)
+        where = np.searchsorted(self.keys, keys[order])
+        self.keys, self.place = np.insert(self.keys, where, keys[order]), np.insert(self.place, where, new[order])
+        return new
 
     def plain(self, texts: Texts) -> np.ndarray:
         """Whether each text has nothing but ASCII and Latin letters, and no special token."""
         data = texts.data
-        strange = _classes()[data] == _STRANGE
-        signs = np.flatnonzero((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)))  # the signs for times and divide
-        strange[signs] = True
-        bad = np.diff(np.concatenate(([0], np.cumsum(strange)))[texts.offsets]) > 0
+        bad = np.zeros(texts.n, bool)
+        if not self.cuts:
+            return bad
+        owner = lambda at: np.searchsorted(texts.offsets, at, side="right") - 1
+        bad[owner(np.flatnonzero(_STRANGE_BYTE[data]))] = True
+        latin = np.flatnonzero(data[:-1] == 0xC3)  # among them the signs for times and divide
+        bad[owner(latin[(data[latin + 1] | 0x20) == 0xB7])] = True
         whole = data.tobytes()
         for token in self.special:
             i = whole.find(token)
             while i >= 0:
-                bad[np.searchsorted(texts.offsets, i, side="right") - 1] = True
+                bad[owner(i)] = True
                 i = whole.find(token, i + 1)
         return ~bad
 
     def encode(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, each text closed by end; and the number of ids of each text."""
-        import pandas as pd
-
         texts = Texts(column)
         plain = self.plain(texts)
-        if len(self.known) > REMEMBERED:
+        if len(self.keys) > REMEMBERED:
             self.forget()
-        first = np.zeros(len(texts.data) + 1, bool)
-        first[texts.offsets] = True
-        starts = pre_tokens(texts.data, first)
-        ends = np.append(starts[1:], len(texts.data))
-        codes, unique = pd.factorize(texts.hashes(starts, ends, self.values))
-        owner = np.searchsorted(texts.offsets, starts, side="right") - 1
-        use = plain[owner]
-        places = np.full(len(unique), -1, np.int64)
-        sample = np.zeros(len(unique), np.int64)
-        sample[codes[::-1]] = np.arange(len(codes))[::-1]
-        needed = np.zeros(len(unique), bool)
-        needed[codes[use]] = True
-        keys = unique.tolist()
-        new = [i for i in np.flatnonzero(needed).tolist() if keys[i] not in self.known]
-        if new:
-            raw = texts.data.tobytes()
-            self.learn([keys[i] for i in new], [raw[starts[k] : ends[k]].decode() for k in sample[new].tolist()])
-        get = self.known.get
-        places[needed] = [get(keys[i]) for i in np.flatnonzero(needed).tolist()]
-        codes, owner = places[codes[use]], owner[use]
-        sizes = self.size[codes]
-        count = np.bincount(owner, sizes, texts.n).astype(np.int64) if len(owner) else np.zeros(texts.n, np.int64)
-        odd = {i: np.array(self.library.encode(column[i].as_py(), add_special_tokens=False).ids, np.uint32) for i in np.flatnonzero(~plain).tolist()}
+        odd = {i: np.array(self.library.encode(column[i].as_py() or "", add_special_tokens=False).ids, np.uint32) for i in np.flatnonzero(~plain).tolist()}
+        if len(odd) == texts.n:
+            places = np.zeros(0, np.int64)
+            first = np.zeros(texts.n + 1, np.int64)
+        else:
+            places, first = self._places(texts, plain)
+        # places: where the ids of each pre-token of the plain texts are; first: the first pre-token of each text
+        sizes = self.size[places]
+        stop = np.concatenate(([0], np.cumsum(sizes)))
+        count = np.diff(stop[first])
         for i, ids in odd.items():
             count[i] = len(ids)
         count += 1
-        stop = np.cumsum(count)
-        out = np.full(int(stop[-1]) if texts.n else 0, end, np.uint32)
-        before = np.cumsum(sizes) - sizes
-        ids = self.ids[np.repeat(self.at[codes] - before, sizes) + np.arange(int(sizes.sum()))]
+        last = np.cumsum(count)
+        ids = self.ids[np.repeat(self.at[places] - stop[:-1], sizes) + np.arange(stop[-1])]
+        if not odd:
+            return np.insert(ids, stop[first[1:]], np.uint32(end)), count
+        out = np.full(int(last[-1]), end, np.uint32)
         target = np.ones(len(out), bool)
-        target[stop - 1] = False
+        target[last - 1] = False
         for i, own in odd.items():
-            out[stop[i] - count[i] : stop[i] - 1] = own
-            target[stop[i] - count[i] : stop[i]] = False
+            out[last[i] - count[i] : last[i] - 1] = own
+            target[last[i] - count[i] : last[i]] = False
         out[target] = ids
         return out, count
 
+    def _places(self, texts: Texts, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mark = np.zeros(len(texts.data) + 1, bool)
+        mark[texts.offsets] = True
+        starts = pre_tokens(texts.data, mark)
+        first = np.searchsorted(starts, texts.offsets)
+        sizes = np.diff(starts, append=len(texts.data))
+        if not plain.all():
+            keep = np.repeat(plain, np.diff(first))
+            starts, sizes = starts[keep], sizes[keep]
+            first = np.concatenate(([0], np.cumsum(np.where(plain, np.diff(first), 0))))
+        codes, keys = pd.factorize(pre_token_keys(texts.data, starts, sizes))
+        places = np.full(len(keys), -1, np.int32)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            places = np.where(self.keys[at] == keys, self.place[at], places)
+        new = np.flatnonzero(places < 0)
+        if len(new):
+            one = np.empty(len(keys), np.int64)
+            one[codes] = np.arange(len(codes))
+            raw, one = texts.data.tobytes(), one[new]
+            places[new] = self.learn(keys[new], [raw[i:j].decode() for i, j in zip(starts[one].tolist(), (starts[one] + sizes[one]).tolist())])
+        return places[codes], first
+
 
 @lru_cache(2)
 def encoder(path: str) -> Encoder:
@@ -187,9 +240,9 @@ def encoder(path: str) -> Encoder:
 class SequenceWriter:
     """Lays ids end to end in fixed-size-list batches of one Arrow file."""
 
-    def __init__(self, folder: str, length: int, wide: bool) -> None:
+    def __init__(self, folder: str, number: int, length: int, wide: bool) -> None:
         context = TaskContext.get()
-        name = f"tokens-{context.partitionId():06d}-{context.taskAttemptId()}.arrow"
+        name = f"tokens-{context.partitionId():07d}-{number:05d}-{context.taskAttemptId()}.arrow"
         files, path = FileSystem.from_uri(folder)
         files.create_dir(path, recursive=True)
         self.name, self.length, self.kind = name, length, np.uint32 if wide else np.uint16
@@ -274,10 +327,13 @@ class SequenceReader:
 
 def _writer(folder: str, tokenizer: str, end: int, length: int, wide: bool):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = None
+        out, number = None, 0
         for batch in batches:
-            for part in pieces(batch, "text"):
-                out = out or SequenceWriter(folder, length, wide)
+            for part in pieces(batch, "text", ENCODED_BYTES):
+                if out and out.written >= FILE_IDS:
+                    out.close()
+                    out, number = None, number + 1
+                out = out or SequenceWriter(folder, number, length, wide)
                 ids, count = encoder(tokenizer).encode(part.column("text"), end)
                 first = out.written + np.cumsum(count) - count
                 out.add(ids)
@@ -288,13 +344,13 @@ def _writer(folder: str, tokenizer: str, end: int, length: int, wide: bool):
     return write
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end: int, folder: str, *, vocabulary: int = 1 << 16, length: int = LENGTH) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer: str, end: int, folder: str, *, length: int = LENGTH) -> DataFrame:
     """Writes the token files of docs (doc_id, text) to folder and returns their index, stored as Parquet."""
-    spark = docs.sparkSession
+    wide = max(vocabulary_size(tokenizer), end + 1) > 1 << 16
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = (F.col("doc_id"), F.xxhash64("text"))
-    ranged = ranged.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order)
-    index = ranged.sortWithinPartitions(*order).mapInArrow(_writer(folder, tokenizer, end, length, vocabulary > 1 << 16), INDEX)
+    ranged = ranged.repartitionByRange(tasks_for(docs), *order)
+    index = ranged.sortWithinPartitions(*order).mapInArrow(_writer(folder, tokenizer, end, length, wide), INDEX)
     return stored(index, "token-index")
 
 
