@@ -96,8 +96,9 @@ def file_bytes(df: DataFrame) -> int:
 
 
 def tasks_for(df: DataFrame) -> int:
-    """Partitions for an exchange of all rows: those of the session, or more where the input is large."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-file_bytes(df) // TASK_BYTES))
+    """Partitions for an exchange of all rows: those of the session, or more where the input is large (and its size is known)."""
+    size = file_bytes(df)
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES) if size < 1 << 60 else 1)
 
 
 def as_uri(path: str) -> str:
