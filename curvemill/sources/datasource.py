@@ -2,16 +2,20 @@
 
     spark.dataSource.register(EventFiles)
     spark.read.format("tfevents").load(logdir)                              # points
+    spark.read.format("tfevents").option("view", "listing").load(logdir)    # files, without opening one
+    spark.read.format("tfevents").option("view", "files").load(logdir)      # how far each can be read
     spark.read.format("tfevents").option("view", "errors").load(logdir)     # damaged and unreadable files
-    spark.read.format("tfevents").option("view", "files").load(logdir)
     spark.readStream.format("tfevents").load(logdir)
     points.write.format("tfevents").mode("append").save(logdir)
 
-Batch: a partition is one file, or with ``splitBytes`` a range of whole records of a large one (a damaged record then ends its own
-range only). Streaming: the offset is a map from file to bytes; an end is fixed by walking frame headers, so a record that is still being
-written waits. ``maxBytesPerTrigger`` bounds what a micro-batch takes of each file. A damaged record is found while reading: with
+Batch: a partition is a file, or a range of whole records of about ``splitBytes`` of a large one (a damaged record then ends its own
+range only). With the option ``pushdown``, which needs ``spark.sql.python.filterPushdown.enabled`` (``read`` sees to both), equality and IN filters on run and tag are taken over: files of other
+runs are not opened, and points of other tags never become rows. Streaming: the offset is a map from file to bytes; an end is fixed by walking frame headers, several files at a time, so a record that is still being
+written waits. ``maxBytesPerTrigger`` bounds what a micro-batch takes of each file, ``maxFilesPerTrigger`` how many files it takes from. A damaged record is found while reading: with
 ``stateDir`` (a shared folder) the reader leaves a mark there and the file is never read again; without it
 the new bytes are checked while planning.
+
+A range that cannot be read to its end gives no points (beyond ``HELD_BYTES`` of it, none of those that are still held back), in batches as in streams.
 """
 
 from __future__ import annotations
@@ -20,19 +24,23 @@ import hashlib
 import json
 import os
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyarrow.fs import FileSelector, FileSystem, FileType, LocalFileSystem
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from curvemill.schema import ERRORS, FILES, POINTS
+from curvemill.schema import ERRORS, FILES, LISTING, POINTS
 from curvemill.sources import files
-from curvemill.sources.wire import encode_event, frame
+from curvemill.sources.columnar import Columns, encode
 
 NAMES = ("run", "tag", "step", "wall", "value", "path", "rec_off", "val_idx")
-KINDS = (pa.string(), pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.int64(), pa.int32())
+SPLIT_BYTES, HELD_BYTES = 32 << 20, 256 << 20
+#: Files whose headers are walked at the same time.
+WALKERS = 16
 
 
 @dataclass
@@ -42,66 +50,102 @@ class Range(InputPartition):
     parts: tuple
     start: int
     stop: int | None
+    length: int = 0
 
 
-def _points(part: Range) -> Iterator[pa.RecordBatch]:
-    try:
-        pieces = list(files.read_range(part.path, part.start, part.stop)) if part.stop is not None else files.read_range(part.path, part.start)
-        for found in pieces:
-            if found.rows:
-                tag, step, wall, value, at, k = zip(*found.rows)
-                n = len(found.rows)
-                columns = ([part.run] * n, tag, step, wall, value, [part.path] * n, at, k)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, KINDS)], names=list(NAMES))
-    except OSError:
-        return
+@dataclass
+class State:
+    """How far whole records of a range reach, whether its file is dead, and why."""
+
+    at: int
+    dead: bool = False
+    why: str | None = None
 
 
-def _state(part: Range) -> tuple[int, bool, str | None]:
-    """How far whole records of a file reach, whether it is dead, and why."""
-    at = part.start
+def _batch(part: Range, found: Columns) -> pa.RecordBatch:
+    n = len(found.step)
+    same = lambda text: pa.DictionaryArray.from_arrays(pa.array(np.zeros(n, np.int32)), pa.array([text])).cast(pa.string())
+    tag = pa.DictionaryArray.from_arrays(pa.array(found.tag), pa.array(found.tags, pa.string())).cast(pa.string())
+    columns = [same(part.run), tag, pa.array(found.step), pa.array(found.wall), pa.array(found.value), same(part.path), pa.array(found.rec_off), pa.array(found.val_idx)]
+    return pa.RecordBatch.from_arrays(columns, names=list(NAMES))
+
+
+def _points(part: Range, state: State, tags: frozenset | None = None) -> Iterator[pa.RecordBatch]:
+    """The points of a range; its state goes along."""
+    held: list[pa.RecordBatch] = []
+    begun = False
     try:
-        for found in files.read_range(part.path, part.start, part.stop):
-            at += found.consumed
+        for found in files.read_range(part.path, part.start, part.stop, tags=tags):
+            state.at += found.consumed
+            if len(found.step):
+                held.append(_batch(part, found))
+            if begun or state.at - part.start > HELD_BYTES:
+                begun = True
+                yield from held
+                held = []
             if found.corrupt:
-                return at, True, "damaged record"
+                state.dead, state.why = True, "damaged record"
     except OSError as e:
-        return at, True, str(e)
-    return at, False, None
+        state.dead, state.why = True, str(e)
+        return
+    yield from held
+
+
+def _state(part: Range) -> State:
+    state = State(part.start)
+    for _ in _points(part, state, frozenset()):
+        pass
+    return state
 
 
 class _Reader(DataSourceReader):
     def __init__(self, path: str, view: str, split: int) -> None:
         self.path, self.view, self.split = path, view, split
+        self.only: dict[str, frozenset] = {}
 
     def partitions(self) -> list[Range]:
-        out = []
-        for f in files.discover(self.path):
-            start = 0
-            while self.split and self.view == "points" and f.length - start > self.split:
-                stop = files.whole_records(f.path, start, f.length, self.split)
-                if stop <= start:
-                    break
-                out.append(Range(f.run, f.path, f.parts, start, stop))
-                start = stop
-            out.append(Range(f.run, f.path, f.parts, start, None))
-        return out
+        found = [f for f in files.discover(self.path) if "run" not in self.only or f.run in self.only["run"]]
+        if self.view != "points" or not self.split:
+            return [Range(f.run, f.path, f.parts, 0, None, f.length) for f in found]
+        with ThreadPoolExecutor(WALKERS) as walkers:
+            starts = list(walkers.map(lambda f: self._cuts(f), found))
+        return [Range(f.run, f.path, f.parts, low, high, f.length) for f, at in zip(found, starts) for low, high in zip(at, [*at[1:], None])]
+
+    def _cuts(self, f: files.EventFile) -> list[int]:
+        try:
+            return files.cuts(f.path, f.length, self.split)
+        except OSError:  # found again, and told, by the task
+            return [0]
 
     def read(self, part: Range) -> Iterator:
         if self.view == "points":
-            yield from _points(part)
-            return
-        at, dead, why = _state(part)
-        if self.view == "files":
-            length = os.path.getsize(part.path) if "://" not in part.path and os.path.exists(part.path) else at
-            yield (part.run, part.path, list(part.parts), length, at, dead, why)
-        elif dead:
-            yield (part.run, part.path, at, why)
+            yield from _points(part, State(part.start), self.only.get("tag"))
+        elif self.view == "listing":
+            yield (part.run, part.path, list(part.parts), part.length)
+        else:
+            state = _state(part)
+            if self.view == "files":
+                yield (part.run, part.path, list(part.parts), part.length, state.at, state.dead, state.why)
+            elif state.dead:
+                yield (part.run, part.path, state.at, state.why)
+
+
+class _PushingReader(_Reader):
+    """Takes over filters; Spark refuses such a reader while its setting for this is off."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            name = f.attribute[0] if isinstance(f, (EqualTo, In)) and len(f.attribute) == 1 else None
+            if self.view == "points" and name in ("run", "tag"):
+                values = frozenset([f.value] if isinstance(f, EqualTo) else f.value)
+                self.only[name] = self.only.get(name, values) & values
+            else:
+                yield f
 
 
 class _StreamReader(DataSourceStreamReader):
-    def __init__(self, path: str, most: int, state: str | None) -> None:
-        self.path, self.most, self.state = path, most, state
+    def __init__(self, path: str, most: int, most_files: int, state: str | None) -> None:
+        self.path, self.most, self.most_files, self.state = path, most, most_files, state
         self.known: dict[str, int] = {}
 
     def initialOffset(self) -> dict:
@@ -120,20 +164,31 @@ class _StreamReader(DataSourceStreamReader):
                 dead[mark["path"]] = mark["offset"]
         return dead
 
+    def _end(self, f: files.EventFile) -> int | None:
+        """The next mark of a file: how far it can be read now, as a negative number if it is dead beyond; None if it cannot be read."""
+        at = self.known[f.path]
+        try:
+            end = files.whole_records(f.path, at, f.length, self.most)
+            if not self.state and end > at and _state(Range(f.run, f.path, f.parts, at, end)).dead:
+                return -1 - end
+            return end
+        except OSError:
+            return None
+
     def latestOffset(self) -> dict:
-        dead = self._dead()
+        dead, grown = self._dead(), []
         for f in files.discover(self.path):
-            at = self.known.get(f.path, 0)
-            if at < 0 or f.path in dead or f.length <= at:  # a file that shrank waits at its old offset
-                continue
-            try:
-                end = files.whole_records(f.path, at, f.length, self.most)
-                if not self.state and end > at and _state(Range(f.run, f.path, f.parts, at, end))[1]:
-                    self.known[f.path] = -1 - end
-                    continue
-            except OSError:
-                continue
-            self.known[f.path] = end
+            at = self.known.setdefault(f.path, 0)  # a file without a whole record is a run, too
+            if 0 <= at < f.length and f.path not in dead:  # a file that shrank waits at its old offset
+                grown.append(f)
+        with ThreadPoolExecutor(WALKERS) as walkers:
+            moved = 0
+            for i in range(0, len(grown), WALKERS):
+                for f, end in zip(grown[i : i + WALKERS], walkers.map(self._end, grown[i : i + WALKERS])):
+                    if end is not None and end != self.known[f.path] and moved < self.most_files:
+                        self.known[f.path], moved = end, moved + 1
+                if moved >= self.most_files:
+                    break
         return {"files": json.dumps(self.known, sort_keys=True)}
 
     def partitions(self, start: dict, end: dict) -> list[Range]:
@@ -148,15 +203,14 @@ class _StreamReader(DataSourceStreamReader):
         return out
 
     def read(self, part: Range) -> Iterator:
-        yield from _points(part)
-        if self.state:
-            at, dead, why = _state(part)
-            if dead:
-                system, folder = _file_system(self.state)
-                system.create_dir(folder, recursive=True)
-                name = hashlib.sha1(part.path.encode()).hexdigest()
-                with system.open_output_stream(f"{folder}/{name}.dead") as f:
-                    f.write(json.dumps({"path": part.path, "offset": at, "run": part.run, "error": why}).encode())
+        state = State(part.start)
+        yield from _points(part, state)
+        if self.state and state.dead:
+            system, folder = _file_system(self.state)
+            system.create_dir(folder, recursive=True)
+            name = hashlib.sha1(part.path.encode()).hexdigest()
+            with system.open_output_stream(f"{folder}/{name}.dead") as f:
+                f.write(json.dumps({"path": part.path, "offset": state.at, "run": part.run, "error": state.why}).encode())
 
     def commit(self, end: dict) -> None:
         pass
@@ -171,28 +225,33 @@ class Written(WriterCommitMessage):
     moves: list
 
 
-class _Writer(DataSourceWriter):
+class _Writer(DataSourceArrowWriter):
     """Each task writes one file a run under a name that readers do not take for an event file; the commit gives them their names."""
 
     def __init__(self, path: str, tensor: bool, stem: str) -> None:
         self.path, self.tensor, self.stem = path, tensor, stem
 
-    def write(self, rows: Iterator) -> Written:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
 
         system, top = _file_system(self.path)
         context = TaskContext.get()
         task = f"{context.partitionId():06d}"
-        out, moves, sinks = {}, [], {}
-        for row in rows:
-            run = row["run"]
-            if run not in sinks:
-                folder = top if run == "." else f"{top}/{run}"
-                system.create_dir(folder, recursive=True)
-                hidden = f"{folder}/.{self.stem}-{task}-{context.taskAttemptId()}.tmp"
-                moves.append((hidden, f"{folder}/events.out.tfevents.{self.stem}-{task}"))
-                sinks[run] = system.open_output_stream(hidden)
-            sinks[run].write(frame(encode_event(row["tag"], row["step"], row["wall"], row["value"], self.tensor)))
+        moves, sinks = [], {}
+        for batch in batches:
+            runs = batch.column("run").dictionary_encode()
+            tags = batch.column("tag").dictionary_encode()
+            names = tags.dictionary.to_pylist()
+            tag, (step, wall, value) = tags.indices.to_numpy(), (batch.column(c).to_numpy() for c in ("step", "wall", "value"))
+            for k, run in enumerate(runs.dictionary.to_pylist()):
+                if run not in sinks:
+                    folder = top if run == "." else f"{top}/{run}"
+                    system.create_dir(folder, recursive=True)
+                    hidden = f"{folder}/.{self.stem}-{task}-{context.taskAttemptId()}.tmp"
+                    moves.append((hidden, f"{folder}/events.out.tfevents.{self.stem}-{task}"))
+                    sinks[run] = system.open_output_stream(hidden)
+                own = np.flatnonzero(runs.indices.to_numpy() == k)
+                sinks[run].write(encode(names, tag[own], step[own], wall[own], value[own], self.tensor))
         for sink in sinks.values():
             sink.close()
         return Written(moves)
@@ -221,13 +280,15 @@ class EventFiles(DataSource):
         return self.options["path"]
 
     def schema(self) -> str:
-        return {"points": POINTS, "errors": ERRORS, "files": FILES}[self.options.get("view", "points")]
+        return {"points": POINTS, "errors": ERRORS, "files": FILES, "listing": LISTING}[self.options.get("view", "points")]
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _Reader(self._path(), self.options.get("view", "points"), int(self.options.get("splitbytes", self.options.get("splitBytes", 0))))
+        kind = _PushingReader if str(self.options.get("pushdown", "false")).lower() == "true" else _Reader
+        return kind(self._path(), self.options.get("view", "points"), int(self.options.get("splitBytes", SPLIT_BYTES)))
 
     def streamReader(self, schema: StructType) -> DataSourceStreamReader:
-        return _StreamReader(self._path(), int(self.options.get("maxBytesPerTrigger", 1 << 62)), self.options.get("stateDir"))
+        most = int(self.options.get("maxBytesPerTrigger", 1 << 62)), int(self.options.get("maxFilesPerTrigger", 1 << 62))
+        return _StreamReader(self._path(), *most, self.options.get("stateDir"))
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
         if overwrite:
@@ -244,7 +305,8 @@ def register(spark) -> None:
 def read(spark, path: str, view: str = "points", **options):
     """The points, files or errors of a log directory."""
     register(spark)
-    return spark.read.format("tfevents").options(view=view, **options).load(path)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return spark.read.format("tfevents").options(view=view, pushdown="true", **options).load(path)
 
 
 def write(points, path: str, tensor: bool = False) -> None:

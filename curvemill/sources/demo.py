@@ -6,13 +6,15 @@ import math
 import random
 import time
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curvemill.sources import wire
+from curvemill.sources import columnar
 
-#: (run, learning rate, whether values are encoded as tensors)
+#: The demo's runs (name, learning rate, whether values are encoded as tensors), metrics, seconds between steps, and steps between validations.
 RUNS = (("baseline", 1.0, False), ("high_lr", 2.2, False), ("low_lr/warmup", 0.4, True))
+TAGS = ("train/loss", "train/accuracy", "train/lr", "train/grad_norm", "val/loss")
 SPACING, VALIDATE = 0.05, 25
 FILE = "events.out.tfevents.demo"
 
@@ -44,17 +46,18 @@ def append(logdir: str, start: int, count: int, hint: int, now: float | None = N
         folder = os.path.join(logdir, *run.split("/"))
         os.makedirs(folder, exist_ok=True)
         with open(os.path.join(folder, FILE), "ab") as out:
+            tags, rows = list(TAGS), []
             for i in range(start, start + count):
                 wall = now - (hint - i) * SPACING
                 loss = 2.5 * math.exp(-3 * lr * i / 100) + 0.08 + r.gauss(0, 0.05)
-                values = {
-                    "train/loss": loss, "train/accuracy": min(1.0, max(0.0, 1 - 0.9 * math.exp(-2.5 * lr * i / 100) + r.gauss(0, 0.01))),
-                    "train/lr": lr * 0.5 * (1 + math.cos(math.pi * min(i / max(hint, 1), 1))), "train/grad_norm": abs(r.gauss(1, 0.4)) * math.exp(-i / 4000),
-                }
-                for tag, value in values.items():
-                    out.write(wire.frame(wire.encode_event(tag, i, wall, value, tensor)))
+                accuracy = min(1.0, max(0.0, 1 - 0.9 * math.exp(-2.5 * lr * i / 100) + r.gauss(0, 0.01)))
+                rate, grad = lr * 0.5 * (1 + math.cos(math.pi * min(i / max(hint, 1), 1))), abs(r.gauss(1, 0.4)) * math.exp(-i / 4000)
+                rows += [(k, i, wall, v) for k, v in enumerate((loss, accuracy, rate, grad))]
                 if i % VALIDATE == 0:
-                    out.write(wire.frame(wire.encode_event("val/loss", i, wall, loss + 0.15 + r.gauss(0, 0.03))))
+                    rows.append((4, i, wall, loss + 0.15 + r.gauss(0, 0.03)))
+                if len(rows) > 100_000 or i == start + count - 1:
+                    out.write(columnar.encode(tags, *(np.array(c) for c in zip(*rows)), tensor))
+                    rows = []
 
 
 def generate(logdir: str, steps: int = 5000, live: bool = False, per_second: int = 20) -> None:

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import os
-import struct
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 
 from pyarrow.fs import FileSelector, FileSystem, FileType
 
-from curvemill.sources.wire import HEADER, MOST, TRAILER, Parsed, parse
+from curvemill.sources.columnar import Columns, decode, frames
+from curvemill.sources.wire import HEADER, TRAILER
 
 SLICE = 4 << 20
 
@@ -71,8 +71,8 @@ def open_file(path: str):
     return open(path, "rb")
 
 
-def read_range(path: str, start: int, stop: int | None = None, step: int = SLICE) -> Iterator[Parsed]:
-    """The points of a file from offset start, slice by slice; what a slice leaves undecoded goes to the next."""
+def read_range(path: str, start: int, stop: int | None = None, step: int = SLICE, tags: Collection[str] | None = None) -> Iterator[Columns]:
+    """The points of a file from offset start (of the given tags), slice by slice; what a slice leaves undecoded goes to the next."""
     with open_file(path) as source:
         source.seek(start)
         at, rest = start, b""
@@ -82,7 +82,7 @@ def read_range(path: str, start: int, stop: int | None = None, step: int = SLICE
             data = rest + more
             if not more:
                 return
-            found = parse(data, at)
+            found = decode(data, at, tags)
             yield found
             if found.corrupt:
                 return
@@ -90,22 +90,31 @@ def read_range(path: str, start: int, stop: int | None = None, step: int = SLICE
 
 
 def whole_records(path: str, start: int, length: int, most: int = 1 << 62) -> int:
-    """The end of the last whole record from start on, by frame headers alone; stops at a length no record can have, or beyond ``most`` bytes."""
+    """The end of the last whole record from start on, by frame headers alone; stops at a length no record can have, or beyond ``most`` bytes.
+
+    The file is read in blocks, not header by header; a record larger than a block is passed over.
+    """
     at = start
     with open_file(path) as source:
-        while at + HEADER + TRAILER <= length and at - start < most:
+        while at < length and at - start < most:
             source.seek(at)
-            size = struct.unpack("<Q", source.read(8))[0]
-            if size > MOST or at + HEADER + size + TRAILER > length:
+            block = source.read(min(SLICE, length - at))
+            _, consumed, bad = frames(memoryview(block))
+            if not consumed and not bad and len(block) >= HEADER:  # not all of it is in this block
+                size = HEADER + int.from_bytes(block[:8], "little") + TRAILER
+                consumed = size if at + size <= length else 0
+            at += consumed
+            if bad or not consumed:
                 break
-            at += HEADER + size + TRAILER
     return at
 
 
-def bad_length_at(path: str, at: int, length: int) -> bool:
-    """Whether the record at an offset has a length no record can have."""
-    if at + HEADER > length:
-        return False
-    with open_file(path) as source:
-        source.seek(at)
-        return struct.unpack("<Q", source.read(8))[0] > MOST
+def cuts(path: str, length: int, every: int) -> list[int]:
+    """Starts of ranges of whole records of about so many bytes each; the last range goes on to the end of the file."""
+    out = [0]
+    while length - out[-1] > every:
+        stop = whole_records(path, out[-1], length, every)
+        if stop <= out[-1] or stop >= length:
+            break
+        out.append(stop)
+    return out
