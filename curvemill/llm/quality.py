@@ -43,6 +43,9 @@ HEAD = 1 << 20
 SYMBOL_MARKS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 NOT_NEWLINE = np.arange(256) != 10
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+ADDED = (*FEATURES, "base_failed", "kept", "log_ppl", "low", "high")
+#: Cells of the grid on which medians and quartiles are taken, per unit of log perplexity.
+GRID = 1024
 
 
 def _folded() -> np.ndarray:
@@ -110,9 +113,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str | None, pa.RecordBatch]]:
-    langs = batch.column("lang").to_pylist()
-    for lang in dict.fromkeys(langs):
-        yield lang, batch.filter(pa.array([x == lang for x in langs]))
+    langs = batch.column("lang").dictionary_encode()
+    codes = langs.indices.fill_null(len(langs.dictionary)).to_numpy()
+    order = np.argsort(codes, kind="stable")
+    cuts = np.flatnonzero(np.diff(codes[order], prepend=-1))
+    for low, high in zip(cuts, [*cuts[1:], len(order)]):
+        code = codes[order[low]]
+        yield langs.dictionary[int(code)].as_py() if code < len(langs.dictionary) else None, batch.take(pa.array(order[low:high]))
 
 
 def _grouped(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -327,19 +334,26 @@ def features(docs: DataFrame, keep: list[str]) -> DataFrame:
     return whole.select(*[F.col(a).alias(c) for c, a in own.items()], *FEATURES, log_ppl.alias("log_ppl"), "lang_half")
 
 
+def bands(light: DataFrame) -> DataFrame:
+    """(lang_half, middle, spread): median of log perplexity and distance of the quartiles, from counts on a fixed grid: the same however rows are dealt."""
+    each = light.where(F.col("log_ppl").isNotNull()).groupBy("lang_half", F.floor(F.col("log_ppl") * GRID).alias("cell")).count()
+    whole = Window.partitionBy("lang_half")
+    ranked = each.withColumn("so_far", F.sum("count").over(whole.orderBy("cell"))).withColumn("total", F.sum("count").over(whole))
+    quartile = lambda q: F.min(F.when(F.col("so_far") >= q * F.col("total"), F.col("cell"))) / GRID
+    return ranked.groupBy("lang_half").agg(quartile(0.5).alias("middle"), (quartile(0.75) - quartile(0.25)).alias("spread"))
+
+
 def judge(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of docs, the base features, base_failed, log_ppl, its band and kept. docs has text and lang."""
-    keep = [c for c in keep if c not in (*FEATURES, "log_ppl", "base_failed", "low", "high", "kept", "lang_half")]
-    light = features(docs, keep)
-    quartile = lambda q: F.percentile_approx("log_ppl", F.lit(q), F.lit(10_000))
-    bands = light.where(F.col("log_ppl").isNotNull()).groupBy("lang_half").agg(quartile(0.5).alias("middle"), (quartile(0.75) - quartile(0.25)).alias("spread"))
-    bands = F.broadcast(bands)  # two rows a language
+    own = {c: f"kept_{i}" for i, c in enumerate(dict.fromkeys(keep)) if c not in ADDED}
+    light = features(docs.select("text", "lang", *[F.col(f"`{c}`").alias(a) for c, a in own.items()]), list(own.values()))
     spread = F.greatest(F.col("spread"), F.lit(0.05)) * F.sqrt(1 + SHORT / F.greatest(F.col("n_words"), F.lit(1)))
-    joined = light.join(bands, "lang_half", "left").withColumn("low", F.col("middle") - BELOW * spread).withColumn("high", F.col("middle") + ABOVE * spread)
+    # two rows a language
+    joined = light.join(F.broadcast(bands(light)), "lang_half", "left").withColumn("low", F.col("middle") - BELOW * spread).withColumn("high", F.col("middle") + ABOVE * spread)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words"))
     inside = F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(True))
     joined = joined.withColumn("base_failed", failed).withColumn("kept", ~failed & inside)
-    return joined.select(*[F.col(f"`{c}`") for c in keep], *FEATURES, "base_failed", "kept", "log_ppl", "low", "high")
+    return joined.select(*[F.col(a).alias(c) for c, a in own.items()], *FEATURES, "base_failed", "kept", "log_ppl", "low", "high")
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:

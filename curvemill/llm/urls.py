@@ -11,7 +11,8 @@ Arrow batches: n-gram hashes of all URLs of a batch at once, no Python loop over
 
 Defined cases: a null URL and one without ``://`` have an empty host and path and are judged like any other; an empty host fits no
 rule; of rules of equal length the first by code point wins; repeated rows are judged alike; without labelled
-rows, or with one class only, the model gives that class (allow if there is none). Columns of the input that are not asked for are ignored.
+rows, or with one class only, the model gives that class (allow if there is none). Columns of the input that are not asked for are ignored, as are those
+with the name of an added one.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ SAMPLE = 6000
 SIZES = (3, 4, 5)
 BUCKETS = 1 << 16
 STEPS, RATE, PENALTY = 120, 0.5, 1e-4
+ADDED = ("host", "path", "rule", "verdict", "block_probability")
 _VALUES = byte_values(False, np.ones(256, bool))
 
 
@@ -139,6 +141,7 @@ def _scorer(model):
 
 def judge(urls: DataFrame, model: UrlModel, rules: Sequence[tuple[str, str]] = RULES, keep: Sequence[str] = ()) -> DataFrame:
     """The columns ``keep`` of urls (url) with host, path, rule, verdict and block_probability of every row."""
+    keep = [c for c in dict.fromkeys(keep) if c not in ADDED]
     host, path = host_and_path(F.col("url"))
     own = [F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(keep)]
     parsed = urls.select(*own, host.alias("host"), path.alias("path"))
