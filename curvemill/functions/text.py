@@ -83,3 +83,15 @@ def elide(label: Column, width: int) -> Column:
     head, tail = width // 2, (width - 1) // 2
     cut = F.concat(F.left(label, F.lit(head)), F.lit("…"), F.right(label, F.lit(tail)) if tail else F.lit(""))
     return F.when(F.char_length(label) <= width, label).otherwise(cut)
+
+
+def labels(counts: list[int]) -> list[str]:
+    """The text of ``count`` for a few numbers on the driver."""
+    return [f"{n / 1e6:.1f}M" if n >= 1_000_000 else f"{round(n / 1e3)}k" if n >= 10_000 else str(n) for n in counts]
+
+
+def shortened(label: str, width: int) -> str:
+    """What ``elide`` makes of one label."""
+    if len(label) <= width or width <= 0:
+        return label if width > 0 else ""
+    return label[: width // 2] + "…" + (label[-((width - 1) // 2) :] if width > 2 else "") if width > 1 else "…"

@@ -1,10 +1,14 @@
-"""A session over a log directory or any table of points: lists, charts and the whole text screen."""
+"""A session over a log directory or any table of points: lists, charts and the text screen of one page.
+
+The thinned points are kept once they are read (in memory and on disks), so lists and charts do not read the logs again; ``close`` lets them go.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import replace
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,13 +26,16 @@ class Session:
     def __init__(self, points: DataFrame, options: Options, files: DataFrame | None = None) -> None:
         self.options = options
         self.all_points = points
-        self.points = thin.thin(points, options.max_points) if options.max_points else points
+        self.points = (thin.thin(points, options.max_points) if options.max_points else points).persist(StorageLevel.MEMORY_AND_DISK)
         self.files = files if files is not None else points.select("run", F.split("path", "/").alias("path_parts")).distinct()
         self.table = catalog.cap_runs(self.files, options.max_runs)
 
     @classmethod
     def open(cls, spark: SparkSession, options: Options) -> Session:
-        return cls(datasource.read(spark, options.logdir), options, datasource.read(spark, options.logdir, "files"))
+        return cls(datasource.read(spark, options.logdir), options, datasource.read(spark, options.logdir, "listing"))
+
+    def close(self) -> None:
+        self.points.unpersist()
 
     def runs(self, part: str = "") -> DataFrame:
         return catalog.filter_runs(catalog.style(catalog.colours(self.files).select("run", "color_slot")).join(self.table, "run"), part).orderBy("run")
@@ -48,8 +55,8 @@ class Session:
     def toggle_all(self, part: str = "") -> None:
         self.table = catalog.toggle_all(self.table, part)
 
-    def header(self) -> DataFrame:
-        return catalog.header(self.all_points, self.table, self.options.max_points)
+    def header(self, part: str = "") -> DataFrame:
+        return catalog.header(self.all_points, self.table, self.options.max_points, part)
 
     def _axis(self, what: Chart) -> DataFrame:
         own = catalog.enabled_points(self.points, self.table).where(F.col("tag") == what.tag)
@@ -98,15 +105,13 @@ class Session:
         """The header and a grid of charts from the selected tag's page, as text lines."""
         if not layout.fits(width, height):
             return ["terminal too small"]
-        h = self.header().first()
+        h = self.header(part).first()
         stride = f" ÷{h['max_stride']}" if h["max_stride"] > 1 else ""
         head = f"runs {h['runs_on']}/{h['runs_total']}  tags {h['n_tags']}  points {h['total_points']}{stride}"
-        names = [r["tag"] for r in self.tags(part).collect()]  # tags are few beside points; one screen lists them
-        if not names:
+        if not h["n_tags"]:
             return [head, NO_MATCH if part else NO_SCALARS]
-        columns, rows, n = layout.grid_shape(width, height - 1, len(names))
-        first = selected // n * n
-        shown = names[first : first + n]
+        columns, rows, n = layout.grid_shape(width, height - 1, h["n_tags"])
+        shown = [r["tag"] for r in layout.grid_page(self.tags(part), selected, n).orderBy("slot").collect()]
         out = [head]
         spans = layout.slot_spans(width, columns)
         for k, (_, tall) in enumerate(layout.slot_spans(height - 1, rows)):

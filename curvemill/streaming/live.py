@@ -2,11 +2,14 @@
 
 Each micro-batch appends its points to ``<out>/points/batch=<n>`` and writes the next state of the runs to ``<out>/runs/batch=<n>``; both are
 overwritten if the batch is run again, so a restart after a failure leaves neither gaps nor doubles. Points that arrive late or out of order are
-kept like any other: order is a matter of queries. No watermark drops anything.
+kept like any other: order is a matter of queries. No watermark drops anything. A run is in the table as soon as one of its files is there, points or not.
+``on_change`` is told the number of each batch that changed something.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -23,11 +26,13 @@ def stream(spark: SparkSession, logdir: str, **options) -> DataFrame:
     return spark.readStream.format("tfevents").options(**options).load(logdir)
 
 
-def update_runs(known: DataFrame, points: DataFrame, max_runs: int) -> DataFrame:
-    """The runs after a batch: least first wall times, slots handed out once, visibility decided once for each new run."""
+def update_runs(known: DataFrame, points: DataFrame, max_runs: int, listing: DataFrame | None = None) -> DataFrame:
+    """The runs after a batch: least first wall times, slots handed out once, visibility decided once for each new run. ``listing`` has runs that may have no points."""
     files = points.select("run", F.split("path", "/").alias("path_parts"))
+    if listing is not None:
+        files = listing.select("run", "path_parts").unionByName(files.join(listing, "run", "left_anti"))
     slots = catalog.assign_slots(known.select("run", "color_slot"), files)
-    states = catalog.admit_runs(known.select("run", "enabled"), points.select("run"), max_runs)
+    states = catalog.admit_runs(known.select("run", "enabled"), files.select("run"), max_runs)
     walls = points.groupBy("run").agg(F.min(F.when(F.col("wall") != 0, F.col("wall"))).alias("new_wall"))
     merged = slots.join(states, "run").join(known.select("run", "first_wall"), "run", "left").join(walls, "run", "left")
     return merged.select("run", F.least("first_wall", "new_wall").alias("first_wall"), F.col("color_slot").cast("int").alias("color_slot"), "enabled")
@@ -56,20 +61,25 @@ def live_points(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.schema(POINTS).parquet(f"{out}/points")
 
 
-def _sink(out: str, max_runs: int):
+def _sink(out: str, max_runs: int, logdir: str | None = None, on_change: Callable[[int], None] | None = None):
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{out}/points/batch={number}")
         points = spark.read.schema(POINTS).parquet(f"{out}/points/batch={number}")
-        if points.isEmpty():
+        listing = datasource.read(spark, logdir, "listing") if logdir else None
+        known = known_runs(spark, out, number)
+        if points.isEmpty() and (listing is None or listing.join(known, "run", "left_anti").isEmpty()):
             return
-        update_runs(known_runs(spark, out, number), points, max_runs).coalesce(1).write.mode("overwrite").parquet(f"{out}/runs/batch={number}")
+        update_runs(known, points, max_runs, listing).coalesce(1).write.mode("overwrite").parquet(f"{out}/runs/batch={number}")
+        if on_change:
+            on_change(number)
 
     return write
 
 
-def follow(spark: SparkSession, options: Options, out: str, checkpoint: str, **source) -> StreamingQuery:
+def follow(spark: SparkSession, options: Options, out: str, checkpoint: str, on_change: Callable[[int], None] | None = None, **source) -> StreamingQuery:
     """Starts following; with ``follow`` off it reads what is there and ends. Stopping and starting again resumes at the byte where it was."""
-    writer = stream(spark, options.logdir, **source).writeStream.foreachBatch(_sink(out, options.max_runs)).option("checkpointLocation", checkpoint)
+    sink = _sink(out, options.max_runs, options.logdir, on_change)
+    writer = stream(spark, options.logdir, **source).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=f"{options.refresh} seconds") if options.follow else writer.trigger(availableNow=True)
     return writer.start()
