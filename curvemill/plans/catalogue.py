@@ -6,50 +6,18 @@ URLs of ``pages``; folders of runs from ``documents``. Doubles that both engines
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyarrow.fs import FileSystem, LocalFileSystem
 
 from curvemill.functions import text, ticks
 from curvemill.operators import catalog, chart, layout, raster, series, thin, tree
 from curvemill.plans import scratch
+from curvemill.plans.registry import CHART, COLUMNS, ORACLE_SQL, P, P12, POINTS, QUERIES, STORED, TAG, WEIGHT, ZOOMED, query, rounded
 from curvemill.schema import Chart, Options, View
 from curvemill.sources import datasource, demo, files, tables, wire
 from curvemill.streaming import live
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-TAG, COLUMNS, WEIGHT = "view", 60, 0.6
-CHART = Chart(TAG, smoothing=WEIGHT, px_w=COLUMNS, px_h=40)
-ZOOMED = View(0.25, 0.5)
-POINTS = ("run", "tag", "step", "wall", "value")
-
-
-def query(sql: str | None) -> Callable:
-    """Registers a function under its name, with its SQL."""
-
-    def register(f: Callable) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c in columns})
-
-
-def _points(n: int = 4) -> str:
-    return f"""p AS (SELECT 'u' || (user_id % {n}) AS run, event_type AS tag, event_id AS step,
-  epoch_us(ts) / 1e6::DOUBLE AS wall, value FROM events)"""
-
-
-P, P12 = _points(), _points(12)
 XS = f"{P}, xs AS (SELECT *, step::DOUBLE AS x FROM p WHERE tag = '{TAG}')"
 DOMAIN = "ends AS (SELECT run, arg_min(x, step) AS f, arg_max(x, step) AS l FROM xs GROUP BY run), dom AS (SELECT min(f) AS xmin, max(l) AS xmax FROM ends)"
 
@@ -488,9 +456,6 @@ def elide(spark, sf):
 
 # ---- event files ----
 
-_STORED = f"WITH {P} SELECT run, tag, step, wall, value::FLOAT::DOUBLE AS value FROM p"
-
-
 def _logdir(spark: SparkSession, points: DataFrame, tensor: bool = False) -> str:
     top = scratch.folder(spark, "logdir")
     datasource.write(points, top, tensor)
@@ -505,24 +470,24 @@ def _append(top: str, tail: bytes) -> None:
             out.write(tail)
 
 
-@query(_STORED)
+@query(STORED)
 def tfevents_roundtrip(spark, sf):
     return datasource.read(spark, _logdir(spark, tables.event_points(spark, sf))).select(*POINTS)
 
 
-@query(_STORED)
+@query(STORED)
 def tfevents_tensors(spark, sf):
     return datasource.read(spark, _logdir(spark, tables.event_points(spark, sf), tensor=True)).select(*POINTS)
 
 
-@query(_STORED)
+@query(STORED)
 def tfevents_corrupt(spark, sf):
     top = _logdir(spark, tables.event_points(spark, sf))
     _append(top, wire.frame(b"\x0b damaged") + wire.frame(wire.encode_event("never", 1, 1.0, 1.0)))
     return datasource.read(spark, top).select(*POINTS)
 
 
-@query(_STORED)
+@query(STORED)
 def tfevents_partial(spark, sf):
     top = _logdir(spark, tables.event_points(spark, sf))
     _append(top, wire.frame(wire.encode_event("not yet", 1, 1.0, 1.0))[:-7])
@@ -546,7 +511,7 @@ def run_without_scalars(spark, sf):
     return catalog.runs(datasource.read(spark, top, "files"))
 
 
-@query(_STORED)
+@query(STORED)
 def stream_tail(spark, sf):
     """Points that arrive in two parts, each followed until nothing is new."""
     points = tables.event_points(spark, sf)
@@ -568,3 +533,8 @@ c AS (SELECT run, step, 'train/loss' AS tag, loss AS value FROM b UNION ALL SELE
 SELECT run, tag, step, round(value, 9) AS value FROM c""")
 def demo_curves(spark, sf):
     return rounded(demo.curves(spark, 2000, noise=0).select("run", "tag", "step", "value"), "value", digits=9)
+
+
+from curvemill.plans import screen_queries  # noqa: E402  registers more
+
+__all__ = ["ORACLE_SQL", "QUERIES", "screen_queries"]

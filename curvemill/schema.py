@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 POINTS = "run string, tag string, step long, wall double, value double, path string, rec_off long, val_idx int"
 FILES = "run string, path string, path_parts array<string>, length long, offset long, dead boolean, error string"
+CHECKSUMS = "run string, path string, records long, wrong long"
 LISTING = "run string, path string, path_parts array<string>, length long"
 ERRORS = "run string, path string, offset long, error string"
 #: Columns that give points of a series their order of arrival.

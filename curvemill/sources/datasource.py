@@ -5,6 +5,7 @@
     spark.read.format("tfevents").option("view", "listing").load(logdir)    # files, without opening one
     spark.read.format("tfevents").option("view", "files").load(logdir)      # how far each can be read
     spark.read.format("tfevents").option("view", "errors").load(logdir)     # damaged and unreadable files
+    spark.read.format("tfevents").option("view", "checksums").load(logdir)  # records with wrong checksums
     spark.readStream.format("tfevents").load(logdir)
     points.write.format("tfevents").mode("append").save(logdir)
 
@@ -33,7 +34,7 @@ from pyarrow.fs import FileSelector, FileSystem, FileType, LocalFileSystem
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from curvemill.schema import ERRORS, FILES, LISTING, POINTS
+from curvemill.schema import CHECKSUMS, ERRORS, FILES, LISTING, POINTS
 from curvemill.sources import files
 from curvemill.sources.columnar import Columns, encode
 
@@ -120,6 +121,8 @@ class _Reader(DataSourceReader):
     def read(self, part: Range) -> Iterator:
         if self.view == "points":
             yield from _points(part, State(part.start), self.only.get("tag"))
+        elif self.view == "checksums":
+            yield (part.run, part.path, *files.checksums(part.path))
         elif self.view == "listing":
             yield (part.run, part.path, list(part.parts), part.length)
         else:
@@ -280,7 +283,7 @@ class EventFiles(DataSource):
         return self.options["path"]
 
     def schema(self) -> str:
-        return {"points": POINTS, "errors": ERRORS, "files": FILES, "listing": LISTING}[self.options.get("view", "points")]
+        return {"points": POINTS, "errors": ERRORS, "files": FILES, "listing": LISTING, "checksums": CHECKSUMS}[self.options.get("view", "points")]
 
     def reader(self, schema: StructType) -> DataSourceReader:
         kind = _PushingReader if str(self.options.get("pushdown", "false")).lower() == "true" else _Reader

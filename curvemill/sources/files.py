@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyarrow.fs import FileSelector, FileSystem, FileType
 
-from curvemill.sources.columnar import Columns, decode, frames
+from curvemill.sources.columnar import Columns, decode, frames, wrong_checksums
 from curvemill.sources.wire import HEADER, TRAILER
 
 SLICE = 4 << 20
@@ -118,3 +118,18 @@ def cuts(path: str, length: int, every: int) -> list[int]:
             break
         out.append(stop)
     return out
+
+
+def checksums(path: str, step: int = SLICE) -> tuple[int, int]:
+    """Whole records of a file, and how many of them have a wrong checksum. Reading points does not look at checksums."""
+    records = bad = at = 0
+    rest = b""
+    with open_file(path) as source:
+        while more := source.read(step):
+            data = rest + more
+            starts, at, broken = frames(memoryview(data))
+            records, bad = records + len(starts), bad + wrong_checksums(data, starts, at)
+            rest = data[at:]
+            if broken:
+                break
+    return records, bad
