@@ -142,13 +142,13 @@ def admit_new_runs(spark, sf):
     return catalog.admit_runs(known, known.select(F.concat("run", F.lit("x")).alias("run")), 8)
 
 
-_FOLDERS = "f AS (SELECT DISTINCT source || '/' || lang AS run, [source, lang, 'events.out.tfevents'] AS parts FROM documents), m AS (SELECT run, min(parts) AS first FROM f GROUP BY run)"
+_FOLDERS = "f AS (SELECT DISTINCT s || '/' || l AS run, [s, l, 'events.out.tfevents'] AS parts FROM (SELECT coalesce(source, '-') AS s, coalesce(lang, '-') AS l FROM documents)), m AS (SELECT run, min(parts) AS first FROM f GROUP BY run)"
 
 
 @query(f"""WITH {_FOLDERS}, s AS (SELECT run, (dense_rank() OVER (ORDER BY first) - 1)::INT AS color_slot FROM m)
 SELECT run, color_slot, color_slot % 8 AS hue, least(color_slot // 8, 2)::INT AS dash, ['●', '◆', '▪'][least(color_slot // 8, 2) + 1] AS marker FROM s""")
 def run_colors(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").where("source is not null and lang is not null")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.coalesce("source", F.lit("-")).alias("source"), F.coalesce("lang", F.lit("-")).alias("lang"))
     return catalog.colours(docs.select(F.concat_ws("/", "source", "lang").alias("run"), F.array("source", "lang", F.lit("events.out.tfevents")).alias("path_parts")))
 
 
@@ -429,11 +429,11 @@ m4 AS (SELECT *, ceil(lo / st) * st AS f FROM m3), m5 AS (SELECT *, unnest(range
 ti AS (SELECT *, CASE WHEN abs(f + k * st) < st * 1e-9::DOUBLE THEN 0 ELSE f + k * st END AS tick FROM m5 WHERE f + k * st <= hi + st * 1e-9::DOUBLE)"""
 
 
-@query(f"WITH src AS (SELECT p_partkey, p_retailprice - 1000 AS lo, p_retailprice - 1000 + p_size AS hi FROM part), {_ticks('src', 5)} SELECT p_partkey, round(tick, 6) AS tick FROM ti")
+@query(f"WITH src AS (SELECT p_partkey, p_retailprice - 1000 AS lo, p_retailprice - 1000 + greatest(p_size, 1) AS hi FROM part), {_ticks('src', 5)} SELECT p_partkey, round(tick, 6) AS tick FROM ti")
 def nice_ticks(spark, sf):
-    t = spark.read.parquet(f"{sf}/part.parquet").where("p_size > 0")
+    t = spark.read.parquet(f"{sf}/part.parquet")
     lo = F.col("p_retailprice") - 1000
-    return t.select("p_partkey", F.explode(ticks.nice_ticks(lo, lo + F.col("p_size"), 5)).alias("tick")).withColumn("tick", F.round("tick", 6))
+    return t.select("p_partkey", F.explode(ticks.nice_ticks(lo, lo + F.greatest("p_size", F.lit(1)), 5)).alias("tick")).withColumn("tick", F.round("tick", 6))
 
 
 @query(f"""{DRAWN}, {Y_RANGE}, src AS (SELECT vmin AS lo, vmax AS hi FROM yr), {_ticks('src', 3)}, v AS (SELECT *, tick AS v FROM ti)
