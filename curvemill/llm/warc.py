@@ -7,7 +7,7 @@ an index row (file, offset, length, URL, digest, page) for each; the index is st
 named by task attempt, and only the index names them, so what a lost executor left is never read.
 
 Reading: index rows, whichever are selected, go in order of file and offset to tasks; ranges less
-than ``GAP`` bytes apart are read as one, up to ``READ_BYTES``.
+than ``GAP`` bytes apart are read as one, up to ``READ_BYTES``. The payload of a response that is read back is measured and hashed again; a revisit is held against the response it refers to.
 
 Hot payloads: the first page of each digest is found by an aggregation that is combined before the exchange. It is joined back by digest
 and adaptive execution splits large partitions; no task gathers a group.
@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curvemill.llm.shared import as_uri, scratch_path, stored
+from curvemill.llm.shared import TASK_BYTES, as_uri, scratch_path, stored, tasks_for
 
 FILE_BYTES = 256 << 20
 GAP, READ_BYTES = 64 << 10, 8 << 20
@@ -74,8 +74,12 @@ def encode_record(page_id: int | None, url: str, payload: bytes, first: int | No
     return packer.compress(raw) + packer.flush(), digest
 
 
+class Damaged(ValueError):
+    """A record whose payload is not what its header says."""
+
+
 def decode_record(member: bytes) -> tuple[int | None, str, bytes, int, str, str, int | None]:
-    """The fields of RECORD, from one gzip member. A revisit has no payload, but its length and digest."""
+    """The fields of RECORD, from one gzip member: of a response its payload's measured length and digest, which must be those of the header; of a revisit those of the header."""
     raw = zlib.decompress(member, 31)
     head, _, rest = raw.partition(b"\r\n\r\n")
     fields = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in head.decode().split("\r\n")[1:])
@@ -83,8 +87,10 @@ def decode_record(member: bytes) -> tuple[int | None, str, bytes, int, str, str,
     http, _, payload = block.partition(b"\r\n\r\n")
     size = next(int(line.split(b": ")[1]) for line in http.split(b"\r\n") if line.startswith(b"Content-Length: "))
     page = lambda name: int(x) if (x := name.strip("<>").rpartition(":")[2]) else None
-    kind = fields["WARC-Type"]
-    return page(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], payload, size, fields["WARC-Payload-Digest"].removeprefix("sha1:"), kind, page(fields["WARC-Refers-To"]) if kind == "revisit" else None
+    kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
+    if kind == "response" and (len(payload), sha1_base32(payload)) != (size, digest):
+        raise Damaged(fields["WARC-Record-ID"])
+    return page(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], payload, size, digest, kind, page(fields["WARC-Refers-To"]) if kind == "revisit" else None
 
 
 def _writer(folder: str):
@@ -165,15 +171,28 @@ def _reader(folder: str, payload: bool):
 
 def read_records(selected: DataFrame, folder: str, payload: bool = True) -> DataFrame:
     """The records that the rows of ``selected``, part of an index, point to."""
-    parts = int(selected.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bytes_ = selected.agg(F.sum("length")).first()[0] or 0
+    parts = max(tasks_for(selected), -(-bytes_ // TASK_BYTES))
     ordered = selected.select("file", "offset", "length").repartitionByRange(parts, "file", "offset").sortWithinPartitions("file", "offset")
     return ordered.mapInArrow(_reader(folder, payload), RECORD)
 
 
+def resolved(records: DataFrame) -> DataFrame:
+    """Records (stored) with the length and digest of revisits taken from the response they refer to, which must be the same as their own header says."""
+    revisits = records.where("record_type = 'revisit'")
+    # one row a response that is referred to; many revisits of one are a large partition of the other side, which adaptive execution can split
+    first = records.where("record_type = 'response'").groupBy(F.col("page_id").alias("first")).agg(F.max("payload_bytes").alias("bytes"), F.max("payload_digest").alias("digest"))
+    joined = revisits.join(first, revisits["refers_to"] == first["first"], "left")
+    same = (F.col("payload_bytes") == F.col("bytes")) & (F.col("payload_digest") == F.col("digest"))
+    checked = lambda c: F.when(same, F.col(c)).otherwise(F.raise_error(F.concat(F.lit("revisit without its response: "), F.coalesce(F.col("page_id").cast("string"), F.lit("?")))))
+    found = {"payload_bytes": checked("bytes").cast("long"), "payload_digest": checked("digest").cast("string")}
+    return records.where("record_type = 'response'").unionByName(joined.select(*[found.get(c, F.col(c)).alias(c) for c in records.columns]))
+
+
 def archive_round_trip(spark: SparkSession, pages: DataFrame, min_revisit: int = 0) -> DataFrame:
-    """Writes archives of pages into a new folder of the shared one, and reads every record back."""
+    """Writes archives of pages into a new folder of the shared one, reads every record back, measures payloads and follows revisits to their responses."""
     folder = as_uri(scratch_path(spark, "warc"))
-    return read_records(write_archives(pages, folder, min_revisit), folder, payload=False)
+    return resolved(stored(read_records(write_archives(pages, folder, min_revisit), folder, payload=False), "warc-records"))
 
 
 #: DuckDB has no base 32: the 40 hex digits are read as 32 groups of 5 bits.

@@ -155,6 +155,22 @@ def test_ranges_are_read_together():
     assert got == [(0, 3, 0, 45), (3, 4, 200, 5), (4, 5, 205, 100)]
 
 
+def test_damaged_records_are_noticed(spark):
+    member, _ = warc.encode_record(1, "http://a/", b"payload", None)
+    assert warc.decode_record(member)[2:5] == (b"payload", 7, warc.sha1_base32(b"payload"))
+    import zlib as z
+
+    raw = z.decompress(member, 31).replace(b"payload\r\n\r\n", b"paYload\r\n\r\n")
+    packer = z.compressobj(1, z.DEFLATED, 31)
+    with pytest.raises(warc.Damaged):
+        warc.decode_record(packer.compress(raw) + packer.flush())
+    rows = [(1, "u", None, 7, "D", "response", None), (2, "u", None, 7, "D", "revisit", 1), (3, "u", None, 7, "D", "revisit", 9)]
+    records = spark.createDataFrame(rows, warc.RECORD)
+    assert sorted((x["page_id"], x["payload_bytes"]) for x in warc.resolved(records.where("page_id < 3")).collect()) == [(1, 7), (2, 7)]
+    with pytest.raises(Exception, match="revisit without its response"):
+        warc.resolved(records).collect()
+
+
 # ---- class-based model ----
 
 
@@ -655,3 +671,71 @@ def test_clashing_columns(spark):
 def passed_through(out):
     added = {*decontaminate.ADDED, *mixing.ADDED, *quality.ADDED}
     return [c for c in out.columns if c not in added]
+
+
+# ---- licenses: patience against a plain version ----
+
+
+def plain_patience(a, b):
+    """Patience alignment as it is told: common ends, words unique in both, longest increasing subsequence by trying all (of equals the one whose ends come last), gaps in turn."""
+    out, lo, hi = [], 0, 0
+    while lo < min(len(a), len(b)) and a[lo] == b[lo]:
+        out.append((lo, lo))
+        lo += 1
+    while hi < min(len(a), len(b)) - lo and a[len(a) - 1 - hi] == b[len(b) - 1 - hi]:
+        hi += 1
+        out.append((len(a) - hi, len(b) - hi))
+    x, y = a[lo : len(a) - hi], b[lo : len(b) - hi]
+    unique = [(i, y.index(w)) for i, w in enumerate(x) if x.count(w) == 1 and y.count(w) == 1]
+    best = [[] for _ in unique]
+    for k, (i, j) in enumerate(unique):
+        best[k] = max((best[m] for m in reversed(range(k)) if unique[m][1] < j), key=len, default=[]) + [(i, j)]
+    anchors = max(reversed(best), key=len, default=[])
+    if anchors:
+        edges = [(-1, -1), *anchors, (len(x), len(y))]
+        out += [(lo + i, lo + j) for i, j in anchors]
+        for (i, j), (k, m) in zip(edges, edges[1:]):
+            out += [(lo + i + 1 + p, lo + j + 1 + q) for p, q in plain_patience(x[i + 1 : k], y[j + 1 : m])]
+    return sorted(out)
+
+
+def test_patience_equals_a_plain_version():
+    r = random.Random(21)
+    for _ in range(400):
+        words = range(r.choice([3, 8, 30]))
+        a, b = ([r.choice(words) for _ in range(r.randrange(14))] for _ in range(2))
+        if r.random() < 0.5:
+            b = [w for w in a if r.random() < 0.8]
+        got, want = licenses.align(a, b), plain_patience(a, b)
+        assert got == want and all(a[i] == b[j] for i, j in got)
+
+
+def test_license_lines_of_all_kinds():
+    scanner = licenses.Scanner(licenses.NOTICES)
+    text = " ".join(f"w{i}" for i in range(40))
+    of = lambda line: (m := scanner.best(licenses.notice_words(f"{text}\n{line}\n{text}"))) and m[0]
+    lines = {
+        "SPDX-License-Identifier: MIT": "mit", "SPDX-License-Identifier: Apache-2.0": "apache-2.0", "Licensed under CC BY-NC-SA 4.0": "cc-by-nc-sa-4.0", "Licensed under CC BY-NC 4.0.": "cc-by-nc-4.0",
+        "licensed under the GNU General Public License, version 1": None, "Released under the MIT License.\nReleased under the MIT License.": "mit", "it was released under the label license": None,
+    }
+    assert {k: of(k) for k in lines} == lines
+
+
+# ---- URLs: rows one by one ----
+
+
+def test_urls_are_scored_alike_in_any_batch(spark):
+    r = random.Random(8)
+    word = lambda kind: "".join(r.choice(kind) for _ in range(r.randrange(4, 9)))
+    make = lambda bad: (f"{word('xzqkw' if bad else 'aeiorst')}.com", f"/{word('xzqkw' if bad else 'aeiorst')}/{r.randrange(99)}")
+    rows = [(*make(k % 2), k % 2) for k in range(600)]
+    columns = lambda some: (pa.array([h for h, *_ in some], pa.string()), pa.array([p for _, p, _ in some], pa.string()))
+    model = urls.UrlModel.train(*columns(rows[:400]), np.array([b for *_, b in rows[:400]]))
+    p = model.score(*columns(rows))
+    assert ((p[400:] >= 0.5) == np.array([b for *_, b in rows[400:]])).mean() > 0.97
+    odd = [("", "", 0), ("a", "", 0), ("", "/" + "x" * 100_000, 0), ("é.fr", "/ß", 0), *rows[:5], *rows[:5]]
+    whole = model.score(*columns(odd))
+    assert np.allclose(whole, [float(model.score(*columns([x]))[0]) for x in odd]) and np.allclose(whole[-10:-5], whole[-5:])
+    # a weight moves exactly the n-grams of its bucket
+    buckets, owner = urls.ngram_buckets(*columns(odd[:2]))
+    assert len(buckets) == len(owner) and set(owner.tolist()) <= {0, 1} and (owner == 1).sum() == 1  # framed, "a" has one n-gram of three bytes
