@@ -17,11 +17,35 @@ def sorted_series(points: DataFrame) -> DataFrame:
     return points.orderBy("run", "tag", "step", *ARRIVAL)
 
 
+#: Steps, or units of a table's arrival order, that one task looks at together.
+CHUNK = 1 << 20
+
+
+def numbered(points: DataFrame) -> DataFrame:
+    """Adds place, from 1, of each point in its series, in order of steps.
+
+    Points are numbered within ranges of ``CHUNK`` steps, and ranges by what stands before them, so no task sorts a whole series.
+    """
+    chunked = points.withColumn("chunk", F.floor(F.col("step") / CHUNK))
+    key = ["run", "tag", "chunk"]
+    before = Window.partitionBy("run", "tag").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = chunked.groupBy(*key).agg(F.count("*").alias("n")).select(*key, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy(*key).orderBy(order_key()))
+    return chunked.join(starts, key).withColumn("place", F.col("start") + inside).drop("chunk", "start")
+
+
 def backward_steps(points: DataFrame) -> DataFrame:
-    """(run, tag, backwards): how many points of each series arrived after a later step."""
-    arrival = Window.partitionBy("run", "tag").orderBy(*ARRIVAL)
-    back = points.withColumn("before", F.lag("step").over(arrival))
-    return back.groupBy("run", "tag").agg(F.count_if(F.col("step") < F.col("before")).alias("backwards"))
+    """(run, tag, backwards): how many points of each series arrived after a later step.
+
+    Points are compared within chunks of their files, and the first of each chunk with the last of the chunk before it.
+    """
+    chunked = points.withColumn("chunk", F.floor(F.col("rec_off") / CHUNK))
+    key = ["run", "tag", "path", "chunk"]
+    back = chunked.withColumn("before", F.lag("step").over(Window.partitionBy(*key).orderBy("rec_off", "val_idx")))
+    at = F.struct("rec_off", "val_idx")
+    each = back.groupBy(*key).agg(F.count_if(F.col("step") < F.col("before")).alias("inside"), F.min_by("step", at).alias("first"), F.max_by("step", at).alias("last"))
+    edge = F.lag("last").over(Window.partitionBy("run", "tag").orderBy("path", "chunk"))
+    return each.withColumn("edge", edge).groupBy("run", "tag").agg((F.sum("inside") + F.count_if(F.col("first") < F.col("edge"))).alias("backwards"))
 
 
 def first_walls(points: DataFrame) -> DataFrame:

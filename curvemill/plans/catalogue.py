@@ -328,9 +328,7 @@ _LINES = "q AS (SELECT l_returnflag || '/' || l_linestatus AS run, 'price' AS ta
 
 @query(f"WITH {_LINES} SELECT run, tag, step, wall, value, row_number() OVER (PARTITION BY run, tag ORDER BY step, arrived)::BIGINT AS place FROM q")
 def out_of_order_sort(spark, sf):
-    points = tables.line_points(spark, sf)
-    place = F.row_number().over(series.Window.partitionBy("run", "tag").orderBy(series.order_key()))
-    return series.sorted_series(points).withColumn("place", place.cast("long")).select(*POINTS, "place")
+    return series.sorted_series(series.numbered(tables.line_points(spark, sf))).select(*POINTS, "place")
 
 
 @query(f"WITH {_LINES}, w AS (SELECT run, tag, wall, lag(wall) OVER (PARTITION BY run, tag ORDER BY arrived) AS before FROM q) SELECT run, tag, count(*) FILTER (wall < before)::BIGINT AS backwards FROM w GROUP BY ALL")

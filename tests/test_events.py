@@ -86,3 +86,58 @@ def test_writer_round_trip(spark, tmp_path):
 def test_demo_counts(spark):
     n = {r["tag"]: r["count"] for r in demo.curves(spark, 100).groupBy("tag").count().collect()}
     assert n["train/loss"] == 300 and n["val/loss"] == 12
+
+
+def test_an_unreadable_range_gives_nothing(tmp_path, monkeypatch):
+    path = tmp_path / "r" / "tfevents"
+    put(path, *[("a", i, 1.0, float(i)) for i in range(500)])
+    part = datasource.Range("r", str(path), ("r", "tfevents"), 0, None)
+    read_range = files.read_range
+    assert sum(b.num_rows for b in datasource._points(part, datasource.State(0))) == 500
+
+    def breaks(*args, **more):
+        yield from list(read_range(args[0], args[1], args[2], step=4096, tags=more.get("tags")))[:2]
+        raise OSError("gone")
+
+    monkeypatch.setattr(files, "read_range", breaks)
+    state = datasource.State(0)
+    assert not list(datasource._points(part, state)) and state.dead and state.why == "gone" and state.at > 0
+
+
+def test_changes_are_announced_and_files_come_in_parts(spark, tmp_path):
+    log, out, state = (str(tmp_path / x) for x in ("log", "out", "state"))
+    for k in range(5):
+        put(f"{log}/r{k}/tfevents", ("a", k, 1.0, 1.0))
+    put(f"{log}/zz/tfevents")
+    options, told = Options(log, follow=False), []
+    for seen in (2, 4, 5, 5):
+        live.follow(spark, options, out, state, told.append, maxFilesPerTrigger=2).awaitTermination()
+        assert len(steps(live.live_points(spark, out))) == seen
+    assert len(told) == 3 and {r["run"] for r in live.known_runs(spark, out).collect()} == {"r0", "r1", "r2", "r3", "r4", "zz"}
+
+
+def test_filters_reach_the_source(spark, tmp_path):
+    for run in "abc":
+        put(tmp_path / run / "tfevents", *[(tag, i, 1.0, float(i)) for i in range(20) for tag in ("x", "y")])
+    reader = datasource._PushingReader(str(tmp_path), "points", 1 << 20)
+    left = list(reader.pushFilters([datasource.EqualTo(("run",), "b"), datasource.In(("tag",), ("x", "z")), datasource.EqualTo(("step",), 3)]))
+    assert len(left) == 1 and [p.run for p in reader.partitions()] == ["b"]
+    assert [b.num_rows for p in reader.partitions() for b in reader.read(p)] == [20]
+    assert steps(datasource.read(spark, str(tmp_path)).where("run = 'c' and tag in ('y', 'q') and step < 2")) == [("c", "y", 0), ("c", "y", 1)]
+
+
+def test_checksums(spark, tmp_path):
+    put(tmp_path / "r" / "tfevents", *[("a", i, 1.0, 1.0) for i in range(9)], tail=frame(b"abc")[:-1] + b"\0")
+    row = datasource.read(spark, str(tmp_path), "checksums").first()
+    assert (row["records"], row["wrong"]) == (10, 1)
+
+
+def test_backward_steps_and_places_in_chunks(spark, monkeypatch):
+    from curvemill.operators import series
+
+    monkeypatch.setattr(series, "CHUNK", 8)
+    order = [5, 3, 9, 9, 1, 20, 19, 40, 39, 2, 2, 0, 7]
+    rows = [("r", "t", s, 1.0, 1.0, "f" if i < 7 else "g", i * 3, 0) for i, s in enumerate(order)]
+    df = spark.createDataFrame(rows, "run string, tag string, step long, wall double, value double, path string, rec_off long, val_idx int")
+    assert series.backward_steps(df).first()["backwards"] == sum(b < a for a, b in zip(order, order[1:]))
+    assert [(r["step"], r["place"]) for r in series.numbered(df).orderBy("place").collect()] == [(s, i + 1) for i, s in enumerate(sorted(order))]
