@@ -14,6 +14,7 @@ ORACLE_SQL is None: perplexity bands, signatures and token ids are not SQL; test
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,19 +44,21 @@ def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return tokens.tokenize(spark, docs.select("doc_id", "text"), byte_bpe())
 
 
-#: Scratch tables of the stage that ran last.
-_left: list[str] = []
+#: Scratch tables of the last stage of each pipeline, by thread and input.
+_left: dict[tuple[int, str], list[str]] = {}
 
 
 def _staged(work: Callable, first: bool) -> Callable:
-    """A stage that first discards the scratch tables of the one before it, whose result is stored by then."""
+    """A stage that first discards the scratch tables of the one before it over the same input, whose result is stored by then."""
 
     def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        mine = threading.get_ident(), sf_dir
+        before = _left.pop(mine, [])
         if not first:
-            shared.discard(spark, _left)
-        made = len(shared.SCRATCH)
-        out = work(spark, docs, sf_dir)
-        _left[:] = shared.SCRATCH[made:]
+            shared.discard(spark, before)
+        with shared.recorded() as made:
+            out = work(spark, docs, sf_dir)
+        _left[mine] = made
         return out
 
     return stage

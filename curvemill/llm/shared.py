@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,17 +31,29 @@ def word_count(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local Spark gets a temporary one; a cluster has none."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="curvemill-"))
         folder = context.getCheckpointDir()
     return folder.rstrip("/")
 
 
-#: Scratch paths of this process, in the order they were made.
-SCRATCH: list[str] = []
+_RECORD: ContextVar[list[str] | None] = ContextVar("scratch paths", default=None)
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The scratch paths that this thread makes within the block, in order."""
+    paths: list[str] = []
+    token = _RECORD.set(paths)
+    try:
+        yield paths
+    finally:
+        _RECORD.reset(token)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -47,7 +62,8 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    SCRATCH.append(path)
+    if (paths := _RECORD.get()) is not None:
+        paths.append(path)
     return path
 
 
