@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from curvemill.llm.graph import components
 from curvemill.llm.shared import small, stored
-from curvemill.llm.textbuf import WORD_BYTE, Texts, byte_values, mix64, pieces, windows
+from curvemill.llm.textbuf import WORD_BYTE, Texts, byte_values, mix64, pieces, tidy, windows
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
@@ -118,7 +118,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     """(doc_id, key, bands) of docs (doc_id, text): key stands for the exact text; no bands without words."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("key"), text.alias("text"))
-    return slim.mapInArrow(_sketch, "doc_id long, key binary, bands array<long>")
+    return slim.mapInArrow(tidy(_sketch), "doc_id long, key binary, bands array<long>")
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +135,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def profiles(texts: DataFrame) -> DataFrame:
     """(node, signature, prints) of texts (doc_id, text): the 16-bit ends of the registers, and the sorted 32-bit fingerprints of the shingles."""
-    return texts.mapInArrow(_profile, "node long, signature binary, prints binary")
+    return texts.mapInArrow(tidy(_profile), "node long, signature binary, prints binary")
 
 
 def alike(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
@@ -272,7 +272,7 @@ def near_links(members: DataFrame, docs: DataFrame, threshold: float = THRESHOLD
     keys = ["bucket", "low", "high"]
     dealt = dealt.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "band", "block", "label", "node")
     full = dealt.join(known, "node").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
-    more = full.mapInArrow(_compare(threshold), "a long, b long")
+    more = full.mapInArrow(tidy(_compare(threshold)), "a long, b long")
     return links.union(stored(more, "links"))
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curvemill.llm.shared import small, stored
-from curvemill.llm.textbuf import CODE_POINT, WORD_BYTE, Texts, byte_values, pieces, windows
+from curvemill.llm.textbuf import CODE_POINT, WORD_BYTE, Texts, byte_values, pieces, tidy, windows
 
 ORDER, BITS = 4, 16
 SYMBOLS = 1 << BITS
@@ -130,7 +130,7 @@ def _grouped(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 def count_ngrams(docs: DataFrame) -> DataFrame:
     """(lang, ngram, n0, n1): counts in both halves of the documents; lang has a sign before it that tells null from a name."""
-    counted = _grouped(docs, ["text"]).select(F.col("lang_half").alias("lang"), "text").mapInArrow(_count, "lang string, ngram long, n long")
+    counted = _grouped(docs, ["text"]).select(F.col("lang_half").alias("lang"), "text").mapInArrow(tidy(_count), "lang string, ngram long, n long")
     half = [F.sum(F.when(F.col("lang").startswith(h), F.col("n")).otherwise(0)).alias(f"n{h}") for h in "01"]
     return counted.groupBy(F.substring("lang", 2, 1 << 30).alias("lang"), "ngram").agg(*half)
 
@@ -326,7 +326,7 @@ def features(docs: DataFrame, keep: list[str]) -> DataFrame:
     schema = "".join(f"{own[c]} {fields[c]}, " for c in own) + "".join(f"{c} long, " for c in FEATURES) + "log_sum double, lang_half string, row long, ngram long, times long"
     # the row number follows from the scan alone, so a task that runs again gives its rows the same numbers
     slim = _grouped(docs.select("text", "lang", *[F.col(f"`{c}`").alias(a) for c, a in own.items()]), ["text", *own.values()]).withColumn("row", F.monotonically_increasing_id())
-    found = stored(slim.mapInArrow(_score(head, list(own.values())), schema), "quality")
+    found = stored(slim.mapInArrow(tidy(_score(head, list(own.values()))), schema), "quality")
     rare = found.where("ngram is not null").select("row", "ngram", "times", F.substring("lang_half", 2, 1 << 30).alias("lang"), F.col("lang_half").startswith("0").alias("first"))
     logs = rare.join(model, ["lang", "ngram"]).groupBy("row").agg(F.sum(F.col("times") * F.when(F.col("first"), F.col("log1")).otherwise(F.col("log0"))).alias("rare_sum"))
     whole = found.where("ngram is null").join(small(stored(logs, "rare")), "row", "left")

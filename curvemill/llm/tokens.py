@@ -39,15 +39,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curvemill.llm.shared import as_uri, scratch_path, stored, tasks_for
-from curvemill.llm.textbuf import Texts, mix64, pieces
+from curvemill.llm.textbuf import Texts, mix64, pieces, tidy
 
 LENGTH = 2048
 #: Sequences in a record batch.
 BATCH = 256
 #: Distinct pre-tokens a worker remembers before it starts anew.
-REMEMBERED = 1_500_000
-#: Bytes of texts that are encoded together; ids after which a file is closed.
-ENCODED_BYTES, FILE_IDS = 2 << 20, 1 << 28
+REMEMBERED = 500_000
+#: Bytes of texts that are encoded together; unseen pre-tokens that go to the library together; ids after which a file is closed.
+ENCODED_BYTES, LEARNED, FILE_IDS = 1 << 20, 4096, 1 << 28
 INDEX = "file string, doc_id long, first long, n_tokens long"
 
 _LETTER, _DIGIT, _SPACE, _OTHER, _STRANGE = range(5)
@@ -146,7 +146,7 @@ class Encoder:
 
     def learn(self, keys: np.ndarray, words: list[str]) -> np.ndarray:
         """The places of pre-tokens that are not known yet."""
-        found = [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        found = [e.ids for i in range(0, len(words), LEARNED) for e in self.library.encode_batch_fast(words[i : i + LEARNED], add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int32, len(found))
         new = np.arange(len(self.at), len(self.at) + len(found), dtype=np.int32)
         self.at = np.concatenate((self.at, len(self.ids) + np.cumsum(sizes) - sizes))
@@ -350,7 +350,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int, folder: str, *, leng
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = (F.col("doc_id"), F.xxhash64("text"))
     ranged = ranged.repartitionByRange(tasks_for(docs), *order)
-    index = ranged.sortWithinPartitions(*order).mapInArrow(_writer(folder, tokenizer, end, length, wide), INDEX)
+    index = ranged.sortWithinPartitions(*order).mapInArrow(tidy(_writer(folder, tokenizer, end, length, wide)), INDEX)
     return stored(index, "token-index")
 
 
@@ -382,7 +382,7 @@ def read_back(index: DataFrame, folder: str) -> DataFrame:
     totals = index.groupBy("file").agg(F.sum("n_tokens").alias("total"))
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("before", F.coalesce(F.sum("total").over(before), F.lit(0))).select("file", "before")
-    read = index.mapInArrow(_crc(folder), INDEX + ", ids_crc32 long")
+    read = index.mapInArrow(tidy(_crc(folder)), INDEX + ", ids_crc32 long")
     joined = read.join(F.broadcast(totals), "file")
     return joined.select("doc_id", (F.col("before") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
 

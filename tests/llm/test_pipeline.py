@@ -48,3 +48,22 @@ def test_pipeline(spark, tmp_path):
         ids = [*library.encode(text, add_special_tokens=False).ids, 2]
         assert (x["start"], x["n_tokens"], x["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
+
+
+def test_odd_tables(spark, tmp_path):
+    """Rows without id or text, columns that clash with the stages' own, and an empty table."""
+    r = random.Random(3)
+    rows, items = corpus(r)
+    rows = [*rows[:30], *[(None, t, lang, source, n) for _, t, lang, source, n in rows[30:36]], (700, rows[0][1], None, None, None), (701, None, None, None, None)]
+    clash = ["hit", "digest", "node", "count", "lang_half", "row", "size", "bucket", "key", "_0"]
+    docs = spark.createDataFrame(rows, DOCS).selectExpr("*", *[f"'x{c}' AS {c}" for c in clash])
+    for name, some in (("odd", docs), ("empty", docs.limit(0))):
+        top = tmp_path / name
+        some.write.parquet(str(top / "documents.parquet"))
+        spark.createDataFrame(items, "item_id long, text string").write.parquet(str(top / "benchmark.parquet"))
+        got = corpus_pipeline.run(spark, str(top)).collect()
+        assert bool(got) == (name == "odd") and all(x["n_tokens"] > 0 for x in got)
+        if name == "odd":
+            assert sum(x["doc_id"] is None for x in got) >= 1 and {x["doc_id"] for x in got} <= {x[0] for x in rows} and 701 not in {x["doc_id"] for x in got}
+            kept = corpus_pipeline.STAGES[1][1](spark, some, str(top))
+            assert kept.columns == docs.columns and all(kept.where(f"`{c}` <> 'x{c}'").isEmpty() for c in clash)
