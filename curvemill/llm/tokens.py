@@ -45,7 +45,7 @@ LENGTH = 2048
 #: Sequences in a record batch.
 BATCH = 256
 #: Distinct pre-tokens a worker remembers before it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 1_200_000
 #: Bytes of texts that are encoded together; unseen pre-tokens that go to the library together; ids after which a file is closed.
 ENCODED_BYTES, LEARNED, FILE_IDS = 1 << 20, 4096, 1 << 28
 INDEX = "file string, doc_id long, first long, n_tokens long"
