@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curvemill.llm import brown, decontaminate, licenses, minhash, mixing, pii, quality, tokens, urls, warc
+from curvemill.llm import brown, decontaminate, licenses, minhash, mixing, pii, quality, spelling, tokens, urls, warc
 from curvemill.llm.shared import table
 
 #: The public tokenizer file of op8 and of the pipeline.
@@ -61,6 +61,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_source_mix": op2_source_mix,
@@ -72,6 +76,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_quality_rules": op9_quality_rules,
     "op10_license_scan": op10_license_scan,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 #: Queries that SQL can express. The others are tested against brute force in tests/llm.
@@ -79,4 +84,5 @@ ORACLE_SQL = {
     "op2_source_mix": mixing.MIX_SQL,
     "op3_warc_archive": warc.WARC_SQL,
     "op6_benchmark_leaks": decontaminate.DECONTAMINATE_SQL,
+    "op13_spelling_variants": spelling.VARIANTS_SQL,
 }

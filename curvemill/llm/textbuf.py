@@ -42,6 +42,10 @@ def byte_values(fold_case: bool, of: np.ndarray) -> np.ndarray:
     return np.where(of, values, np.uint64(0))
 
 
+#: The odd base of the powers.
+BASE = 0xD1342543DE82EF95
+
+
 class _Powers:
     """Powers of an odd base modulo 2^64, as many as were ever needed."""
 
@@ -50,7 +54,7 @@ class _Powers:
 
     def upto(self, n: int) -> np.ndarray:
         if len(self.known) < n:
-            steps = np.full(max(n, 64), 0xD1342543DE82EF95, np.uint64)
+            steps = np.full(max(n, 64), BASE, np.uint64)
             steps[0] = 1
             self.known = np.multiply.accumulate(steps)
         return self.known
@@ -59,6 +63,11 @@ class _Powers:
 _POWERS = _Powers()
 
 
+def powers(n: int) -> np.ndarray:
+    """The first n powers of the base, at least."""
+    return _POWERS.upto(n)
+
+
 class Texts:
     """A batch of texts: data (bytes) and offsets (n + 1); nulls are empty texts."""
 
