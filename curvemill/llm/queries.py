@@ -4,19 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curvemill.llm import brown, decontaminate, licenses, minhash, mixing, pii, quality, spelling, tokens, urls, warc
+from curvemill.llm import brown, decontaminate, licenses, minhash, mixing, pii, quality, spelling, tokens, transducer, urls, warc
 from curvemill.llm.shared import table
 
-#: The public tokenizer file of op8 and of the pipeline.
-TOKENIZER = "byte_bpe_50k.json"
+#: The public tokenizer files of op8 and of the pipeline, and of op11.
+TOKENIZER, WORD_TOKENIZER = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
-def byte_bpe(name: str = TOKENIZER) -> str:
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer's file."""
     import public_tokenizers
 
     return str(public_tokenizers.path(name))
 
 
+def byte_bpe(name: str = TOKENIZER) -> str:
+    return tokenizer(name)
+
+
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.judge(pages, urls.train(urls.labelled_sample(pages)), keep=["page_id"])
@@ -61,6 +66,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transducer.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer(WORD_TOKENIZER))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -76,6 +85,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_quality_rules": op9_quality_rules,
     "op10_license_scan": op10_license_scan,
+    "op11_bpe_transducer": op11_bpe_transducer,
     "op13_spelling_variants": op13_spelling_variants,
 }
 

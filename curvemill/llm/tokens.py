@@ -50,31 +50,31 @@ REMEMBERED = 1_200_000
 ENCODED_BYTES, LEARNED, FILE_IDS = 1 << 20, 4096, 1 << 28
 INDEX = "file string, doc_id long, first long, n_tokens long"
 
-_LETTER, _DIGIT, _SPACE, _OTHER, _STRANGE = range(5)
+LETTER, DIGIT, SPACE, OTHER, STRANGE = range(5)
 
 
 @lru_cache(1)
-def _classes() -> np.ndarray:
-    kind = np.full(256, _STRANGE, np.uint8)
-    kind[33:127] = _OTHER
-    kind[48:58] = _DIGIT
-    kind[65:91] = kind[97:123] = _LETTER
-    kind[[9, 10, 13, 32]] = _SPACE
-    kind[0x80:0xC0] = _LETTER  # second bytes of Latin letters
-    kind[0xC3:0xCA] = _LETTER
+def byte_classes() -> np.ndarray:
+    kind = np.full(256, STRANGE, np.uint8)
+    kind[33:127] = OTHER
+    kind[48:58] = DIGIT
+    kind[65:91] = kind[97:123] = LETTER
+    kind[[9, 10, 13, 32]] = SPACE
+    kind[0x80:0xC0] = LETTER  # second bytes of Latin letters
+    kind[0xC3:0xCA] = LETTER
     return kind
 
 
-_STRANGE_BYTE = _classes() == _STRANGE
+_STRANGE_BYTE = byte_classes() == STRANGE
 
 
 def pre_tokens(data: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Starts of the pre-tokens of plain texts; first marks the first byte of each text, and has one item more than data."""
-    kind = _classes()[data]
+    kind = byte_classes()[data]
     starts = first[:-1].copy()
     starts[1:] |= kind[1:] != kind[:-1]
-    last_space = (kind == _SPACE) & ~first[1:]
-    last_space[:-1] &= kind[1:] != _SPACE
+    last_space = (kind == SPACE) & ~first[1:]
+    last_space[:-1] &= kind[1:] != SPACE
     if len(data):
         last_space[-1] = False
     at = np.flatnonzero(last_space)
@@ -83,10 +83,10 @@ def pre_tokens(data: np.ndarray, first: np.ndarray) -> np.ndarray:
     quotes = np.flatnonzero(data == 39)
     if len(quotes):
         before = kind[np.maximum(quotes - 1, 0)]
-        loose = first[quotes] | (before <= _DIGIT) | ((before == _SPACE) & (data[quotes - 1] != 32))
+        loose = first[quotes] | (before <= DIGIT) | ((before == SPACE) & (data[quotes - 1] != 32))
         for i in quotes[loose]:
             room = i + 1
-            while room < min(i + 4, len(data)) and not first[room] and kind[room] == _LETTER:
+            while room < min(i + 4, len(data)) and not first[room] and kind[room] == LETTER:
                 room += 1
             tail = bytes(data[i + 1 : room])
             size = 1 if tail[:1] in (b"s", b"t", b"m", b"d") else 2 if tail[:2] in (b"re", b"ve", b"ll") else 0
@@ -144,13 +144,27 @@ class Encoder:
         self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.ids, self.at, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def learn(self, keys: np.ndarray, words: list[str]) -> np.ndarray:
-        """The places of pre-tokens that are not known yet."""
+    def tokens_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pre-tokens, one after another, and how many each has."""
         found = [e.ids for i in range(0, len(words), LEARNED) for e in self.library.encode_batch_fast(words[i : i + LEARNED], add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int32, len(found))
-        new = np.arange(len(self.at), len(self.at) + len(found), dtype=np.int32)
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
+
+    def whole(self, text: str) -> np.ndarray:
+        """The ids of a text that is not plain."""
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def cut(self, data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and sizes of the pre-tokens of plain texts; first as for ``pre_tokens``."""
+        starts = pre_tokens(data, first)
+        return starts, np.diff(starts, append=len(data))
+
+    def learn(self, keys: np.ndarray, words: list[str]) -> np.ndarray:
+        """The places of pre-tokens that are not known yet."""
+        ids, sizes = self.tokens_of(words)
+        new = np.arange(len(self.at), len(self.at) + len(words), dtype=np.int32)
         self.at = np.concatenate((self.at, len(self.ids) + np.cumsum(sizes) - sizes))
-        self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))))
+        self.ids = np.concatenate((self.ids, ids))
         self.size = np.concatenate((self.size, sizes))
         order = np.argsort(keys)
         where = np.searchsorted(self.keys, keys[order])
@@ -175,13 +189,17 @@ class Encoder:
                 i = whole.find(token, i + 1)
         return ~bad
 
+    def prepared(self, column: pa.Array) -> tuple[Texts, np.ndarray]:
+        """The texts as they are cut, and which of them are plain."""
+        texts = Texts(column)
+        return texts, self.plain(texts)
+
     def encode(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, each text closed by end; and the number of ids of each text."""
-        texts = Texts(column)
-        plain = self.plain(texts)
+        texts, plain = self.prepared(column)
         if len(self.keys) > REMEMBERED:
             self.forget()
-        odd = {i: np.array(self.library.encode(column[i].as_py() or "", add_special_tokens=False).ids, np.uint32) for i in np.flatnonzero(~plain).tolist()}
+        odd = {i: self.whole(column[i].as_py() or "") for i in np.flatnonzero(~plain).tolist()}
         if len(odd) == texts.n:
             places = np.zeros(0, np.int64)
             first = np.zeros(texts.n + 1, np.int64)
@@ -210,9 +228,8 @@ class Encoder:
     def _places(self, texts: Texts, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         mark = np.zeros(len(texts.data) + 1, bool)
         mark[texts.offsets] = True
-        starts = pre_tokens(texts.data, mark)
+        starts, sizes = self.cut(texts.data, mark)
         first = np.searchsorted(starts, texts.offsets)
-        sizes = np.diff(starts, append=len(texts.data))
         if not plain.all():
             keep = np.repeat(plain, np.diff(first))
             starts, sizes = starts[keep], sizes[keep]
