@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curvemill.llm import brown, decontaminate, licenses, minhash, mixing, pii, quality, spelling, tokens, transducer, urls, warc
+from curvemill.llm import alignment, brown, decontaminate, licenses, minhash, mixing, pii, quality, spelling, tokens, transducer, urls, warc
 from curvemill.llm.shared import table
 
-#: The public tokenizer files of op8 and of the pipeline, and of op11.
-TOKENIZER, WORD_TOKENIZER = "byte_bpe_50k.json", "word_bpe_49k.json"
+#: The public tokenizer files of op8, op12 and the pipeline, of op11, and the other one of op12.
+TOKENIZER, WORD_TOKENIZER, PIECES = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
 def tokenizer(name: str) -> str:
@@ -70,6 +70,10 @@ def op11_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer(WORD_TOKENIZER))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_corpus(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer(TOKENIZER), tokenizer(PIECES))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -86,6 +90,7 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_license_scan": op10_license_scan,
     "op11_bpe_transducer": op11_bpe_transducer,
+    "op12_token_alignment": op12_token_alignment,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
