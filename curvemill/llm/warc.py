@@ -180,10 +180,11 @@ def read_records(selected: DataFrame, folder: str, payload: bool = True) -> Data
 def resolved(records: DataFrame) -> DataFrame:
     """Records (stored) with the length and digest of revisits taken from the response they refer to, which must be the same as their own header says."""
     revisits = records.where("record_type = 'revisit'")
-    # one row a response that is referred to; many revisits of one are a large partition of the other side, which adaptive execution can split
-    first = records.where("record_type = 'response'").groupBy(F.col("page_id").alias("first")).agg(F.max("payload_bytes").alias("bytes"), F.max("payload_digest").alias("digest"))
-    joined = revisits.join(first, revisits["refers_to"] == first["first"], "left")
-    same = (F.col("payload_bytes") == F.col("bytes")) & (F.col("payload_digest") == F.col("digest"))
+    # One row a response that is referred to, known by its page and digest: pages that share an id may hold different payloads. Many revisits of one
+    # are a large partition of the other side, which adaptive execution can split.
+    first = records.where("record_type = 'response'").groupBy(F.col("page_id").alias("first"), F.col("payload_digest").alias("digest")).agg(F.max("payload_bytes").alias("bytes"))
+    joined = revisits.join(first, (revisits["refers_to"] == first["first"]) & (revisits["payload_digest"] == first["digest"]), "left")
+    same = F.col("payload_bytes") == F.col("bytes")
     checked = lambda c: F.when(same, F.col(c)).otherwise(F.raise_error(F.concat(F.lit("revisit without its response: "), F.coalesce(F.col("page_id").cast("string"), F.lit("?")))))
     found = {"payload_bytes": checked("bytes").cast("long"), "payload_digest": checked("digest").cast("string")}
     return records.where("record_type = 'response'").unionByName(joined.select(*[found.get(c, F.col(c)).alias(c) for c in records.columns]))
