@@ -7,12 +7,13 @@ that remains for sources k, k+1, ... reaches its limit, so the fixed point of th
 with two running sums over one row per source.
 
 A source's target is met by whole repetitions of every document and by a seeded part of one more:
-documents in the order of a seeded hash, up to the one that crosses the target, which is taken if that
-comes nearer. The crossing point is found in two steps (sums of hash buckets, then the documents of
-a single bucket), so no task ever sorts a source, and each document decides alone against one row per source.
+documents in the order of a seeded hash of their ids (then of size, then of a hash of the text), up to the one that crosses the target, which is taken if that
+comes nearer. The crossing point is found by sums of ever finer parts of that order (``LEVELS``): of hash buckets, of the smaller buckets within the one that
+crosses, and so on to the equal rows, so no task ever sorts a source, one id or all rows without one, and each document decides alone against one row per source.
+Of equal rows at the crossing point, as many are taken as come nearest; they are numbered in chunks.
 
 Defined cases: a null text has size 0; null sources form one source, last in order; a source without
-words has target 0; repeated rows with the same id and size are taken alike; a null id hashes as an empty
+words has target 0; repeated rows are rows of their own; a null id hashes as an empty
 text; an empty table gives an empty mix. Other columns pass through; those named like an added column
 are replaced.
 """
@@ -24,12 +25,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curvemill.llm.shared import stored, word_count
+from curvemill.llm.shared import small, stored, word_count
 
 #: Up to so many sources (about 20 MB) the plan is broadcast; with more it is joined by shuffle.
 BROADCAST_SOURCES = 100_000
-#: Hex digits of the seeded hash that form a bucket: 4,096 buckets a source.
-BUCKET_DIGITS = 3
+#: The order of documents, from coarse to fine: 4,096 buckets of the seeded hash, as many within each, ids, sizes, and texts by 4,096 buckets of their hashes.
+LEVELS = {"coarse": "substring(key, 1, 3)", "fine": "substring(key, 1, 6)", "key": "key", "size": "size", "text_part": "shiftright(text_hash, 52)", "text_hash": "text_hash"}
+#: Rows that one task may sort: where no more of a source are left, all finer parts are looked at together.
+SORTED = 1 << 16
+#: Rows that are numbered together.
+CHUNK_BITS = 20
 ADDED = ("size", "source_size", "target", "repeats", "taken")
 
 
@@ -63,47 +68,76 @@ def water_fill(sizes: DataFrame, weights: Sequence[float], share: float, max_epo
     )
 
 
+def _crossings(digest: DataFrame, parts: DataFrame) -> DataFrame:
+    """(source, key, size, text_hash, n, copies): the equal rows in which each source's part (a column of parts) is reached, how many they are, and how many of them come nearest to it."""
+    rows = digest.selectExpr("source AS d_source", "size AS d_words", *[f"{e} AS d_{name}" for name, e in LEVELS.items()])
+    at, chosen, left = parts.select("source", "part", F.lit(0).cast("long").alias("before")), [], list(LEVELS)
+    few = False
+    while left:
+        step = left if few else left[:1]
+        same = F.col("d_source").eqNullSafe(F.col("source"))
+        for c in chosen:
+            same &= F.col(f"d_{c}") == F.col(c)
+        sums = rows.join(small(at), same).groupBy("source", "part", "before", *chosen, *[F.col(f"d_{c}").alias(c) for c in step])
+        sums = sums.agg(F.sum("d_words").alias("words"), F.count("*").alias("n"))
+        running = Window.partitionBy("source").orderBy(*step).rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.withColumn("before", F.col("before") + F.coalesce(F.sum("words").over(running), F.lit(0)))
+        chosen, left = chosen + step, left[len(step) :]
+        crossed = (F.col("part") > F.col("before")) & (F.col("part") <= F.col("before") + F.col("words"))
+        at = stored(sums.where(crossed).select("source", "part", "before", *chosen, "n"), "mix-crossing")
+        few = (at.agg(F.max("n")).first()[0] or 0) <= SORTED
+    nearest = F.floor((F.col("part") - F.col("before") - F.col("size") / 2) / F.col("size")) + 1
+    return at.select("source", "key", "size", "text_hash", "n", F.greatest(F.least(nearest, "n"), F.lit(0)).cast("long").alias("copies"))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Adds place, from 1, to equal rows of each source, numbered in chunks."""
+    fixed = stored(rows.withColumn("_at", F.monotonically_increasing_id()), "mix-equal").withColumn("_chunk", F.shiftright("_at", CHUNK_BITS))
+    before = Window.partitionBy("_source").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    counts = fixed.groupBy("_source", "_chunk").count()
+    starts = counts.select(F.col("_source").alias("_s"), F.col("_chunk").alias("_c"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_source", "_chunk").orderBy("_at"))
+    joined = fixed.withColumn("_inside", inside).join(starts, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_chunk") == F.col("_c")))
+    return joined.withColumn("place", F.col("_start") + F.col("_inside")).drop("_at", "_chunk", "_s", "_c", "_start", "_inside")
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, max_epochs: float = 2, seed: int = 17, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """Adds size, source_size, target, repeats and taken (words taken, repeats counted) to every row of docs."""
     digest = stored(docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"),
-        _key(F.col(id_col), seed).alias("key"),
+        F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"),
+        _key(F.col(id_col), seed).alias("key"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"),
     ), "mix-digest")
-    bucket = F.substring("key", 1, BUCKET_DIGITS)
-    sums = digest.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("words"))
-    targets = water_fill(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, max_epochs)
+    targets = water_fill(digest.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
-    targets = targets.withColumn("whole", whole).withColumn("part", F.col("target") - F.col("whole") * F.col("source_size"))
-
-    running = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    filled = sums.withColumn("before", F.coalesce(F.sum("words").over(running), F.lit(0)))
-    filled, t = filled.alias("b"), targets.alias("t")
-    at = filled.join(t, F.col("b.source").eqNullSafe(F.col("t.source"))).where(
-        (F.col("part") > F.col("before")) & (F.col("part") <= F.col("before") + F.col("words"))
-    ).select(F.col("b.source").alias("source"), "bucket", "before", "part")
-    d, a = digest.withColumn("bucket", bucket).alias("d"), at.alias("a")
-    close = d.join(a, F.col("d.source").eqNullSafe(F.col("a.source")) & (F.col("d.bucket") == F.col("a.bucket")))
-    order = Window.partitionBy("a.source").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    close = close.select("a.source", "a.bucket", "key", "id", "size", "part", (F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0))).alias("so_far"))
-    cuts = close.groupBy("source", "bucket").agg(F.max(F.when(F.col("so_far") + F.col("size") / 2 <= F.col("part"), F.struct("key", "id", "size"))).alias("cut"))
-
-    t, c = targets.alias("t"), cuts.alias("c")
-    plan = stored(t.join(c, F.col("t.source").eqNullSafe(F.col("c.source")), "left").select("t.source", "source_size", "target", "whole", "part", "bucket", "cut"), "mix-plan")
+    targets = stored(targets.withColumn("whole", whole).withColumn("part", F.col("target") - F.col("whole") * F.col("source_size")), "mix-targets")
+
+    t, c = targets.alias("t"), _crossings(digest, targets).alias("c")
+    last = F.when(F.col("c.key").isNotNull(), F.struct("c.key", "c.size", "c.text_hash")).alias("last")
+    plan = stored(t.join(c, F.col("t.source").eqNullSafe(F.col("c.source")), "left").select("t.source", "source_size", "target", "whole", "part", last, "n", "copies"), "mix-plan")
+    split = not plan.where("copies > 0 and copies < n").isEmpty()
     if plan.count() <= BROADCAST_SOURCES:
         plan = F.broadcast(plan)
 
+    own = {x: f"_{i}" for i, x in enumerate(docs.columns)}  # no column of docs can clash with those of the plan
+    rows = docs.select(*[F.col(f"`{x}`").alias(a) for x, a in own.items()])
+    text = F.col(own[text_col]).cast("string")
+    mine = F.struct(_key(F.col(own[id_col]), seed).alias("key"), word_count(F.col(own[text_col])).alias("size"), F.xxhash64(text).alias("text_hash"))
+    p = plan.withColumnRenamed("source", "_source")
+    joined = rows.withColumn("mine", mine).join(p, F.col(own[source_col]).cast("string").eqNullSafe(F.col("_source")), "left")
+    equal = F.coalesce(F.col("mine") == F.col("last"), F.lit(False))
+    before = F.coalesce(F.col("mine") < F.col("last"), F.lit(False))
+    if split:
+        parted = F.coalesce(equal & (F.col("copies") > 0) & (F.col("copies") < F.col("n")), F.lit(False))
+        some = _numbered(joined.where(parted))
+        joined = joined.where(~parted).withColumn("more", before | equal & (F.col("copies") == F.col("n")))
+        joined = joined.unionByName(some.withColumn("more", F.col("place") <= F.col("copies")).drop("place"))
+    else:
+        joined = joined.withColumn("more", before | equal & (F.col("copies") == F.col("n")))
+    repeats = (F.col("whole") + F.coalesce(F.col("more") & (F.col("part") > 0), F.lit(False)).cast("int")).cast("int")
     kept = [x for x in docs.columns if x not in ADDED]
-    sized = docs.withColumn("size", word_count(F.col(text_col)))
-    p = plan.alias("p")
-    joined = sized.alias("x").join(p, F.col(f"x.{source_col}").cast("string").eqNullSafe(F.col("p.source")), "left")
-    key, size = _key(F.col(f"x.{id_col}"), seed), F.col("x.size")
-    mine = F.struct(key.alias("key"), F.col(f"x.{id_col}").alias("id"), size.alias("size"))
-    more = (F.col("p.part") > 0) & ((F.substring(key, 1, BUCKET_DIGITS) < F.col("p.bucket")) | F.coalesce((F.substring(key, 1, BUCKET_DIGITS) == F.col("p.bucket")) & (mine <= F.col("p.cut")), F.lit(False)))
-    repeats = (F.col("p.whole") + F.coalesce(more, F.lit(False)).cast("int")).cast("int")
     return joined.select(
-        *[F.col(f"x.`{x}`") for x in kept], size.alias("size"), F.col("p.source_size").alias("source_size"), F.col("p.target").alias("target"),
-        repeats.alias("repeats"), (repeats * size).cast("long").alias("taken"),
-    )
+        *[F.col(own[x]).alias(x) for x in kept], F.col("mine.size").alias("size"), "source_size", "target", repeats.alias("repeats"), (repeats * F.col("mine.size")).cast("long").alias("taken"),
+    )
 
 
 def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
