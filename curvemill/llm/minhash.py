@@ -11,17 +11,17 @@ pair is a candidate if it shares a bucket (an equal band). Verification is by th
 32-bit fingerprints of shingles (two texts of 550 words have a false match with probability 7e-5).
 
 First every member of a bucket is compared with the bucket's own leader. Members that hang together with their leader over a few of these links are
-settled and need no comparison with one another. The others are compared with all members: a bucket is dealt into blocks of
-``BLOCK``, and every pair of blocks but settled ones is a group of bounded size, in which pairs are first screened by the sizes of their shingle sets, which loses none, taken only in the
-first bucket they share, and verified unless both are already in one component of the group. So no candidate pair between components is left out,
-pairs are never emitted, only links that join, and a hot bucket is many small groups.
+settled and need no comparison with one another. The others are compared with all members: where they are at most ``BLOCK``, settled members are dealt into blocks of
+that size, and the others with each block are a group of bounded size, in which pairs are first screened by the sizes of their shingle sets, which loses none, taken only in the
+first bucket they share, and verified unless both are already in one component of the group. The members of more crowded buckets, which share a band but not the text, are joined by their
+rarest fingerprints instead (``crowd_links``), which finds every pair of the threshold without comparing all. So no candidate pair between components is left out.
 
 At ROWS = 5 and BANDS = 25 a pair of probability Jaccard 0.8 shares a bucket with probability 0.99995, one of 0.63 (equal sets, 30% of whose shingles
 one text repeats 40 times) with 0.93.
 
-Defined cases: a text without words (null, empty) has no shingles, is near nothing, and copies of it are one class; rows without an id
-have the class of their text if other rows have it too, else none; repeated rows are in one class; an empty table gives no
-rows. Class ids are the smallest document id of the class. Other columns are ignored by ``classes`` and kept by ``distinct_documents``.
+Defined cases: a text without words (null, empty) has no shingles, is near nothing, and copies of it are one class; what is compared are texts, so documents that
+share an id but not the text are in classes of their own, and rows without an id take part like others; repeated rows are in one class; an empty table gives no
+rows. Class ids are the smallest document id of the class, null if no document of it has one. Other columns are ignored by ``classes`` and kept by ``distinct_documents``.
 """
 
 from __future__ import annotations
@@ -31,11 +31,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curvemill.llm.graph import components
-from curvemill.llm.shared import small, stored
+from curvemill.llm.shared import small, stored, tasks_for
 from curvemill.llm.textbuf import WORD_BYTE, Texts, byte_values, mix64, pieces, tidy, windows
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -114,10 +114,15 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([part.column("doc_id"), part.column("key"), lists], names=["doc_id", "key", "bands"])
 
 
+def text_key(text: Column) -> Column:
+    """What stands for an exact text; null and empty texts are one."""
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit(""))))
+
+
 def sketches(docs: DataFrame) -> DataFrame:
     """(doc_id, key, bands) of docs (doc_id, text): key stands for the exact text; no bands without words."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("key"), text.alias("text"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(text).alias("key"), text.alias("text"))
     return slim.mapInArrow(tidy(_sketch), "doc_id long, key binary, bands array<long>")
 
 
@@ -245,16 +250,18 @@ def _compare(threshold: float):
     return compare
 
 
-def near_links(members: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b) verified links between the members of buckets; members is a stored table (bucket, band, node)."""
+def near_links(members: DataFrame, texts: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b) verified links between the members of buckets; members is a stored table (bucket, band, node), texts (node, key, least) tells where each node's text is."""
     order = F.struct(F.xxhash64("node", "bucket").alias("order"), F.col("node").alias("node"))  # each bucket has a leader of its own
     crowds = members.groupBy("bucket").agg(F.min(order).alias("lead"), F.count("*").alias("n")).where("n > 1")
     crowds = small(stored(crowds.select("bucket", F.col("lead.node").alias("a")), "leaders"))
     crowded = stored(members.join(crowds, "bucket"), "members")
-    needed = small(stored(crowded.select(F.col("node").alias("doc_id")).distinct(), "needed"))
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    texts = slim.join(needed, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    known = stored(profiles(texts), "profiles")
+    needed = stored(texts.join(crowded.select("node").distinct(), "node", "left_semi"), "needed")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    mine = F.col("doc_id").eqNullSafe(F.col("least")) & (text_key(F.col("text")) == F.col("key"))
+    own = slim.join(small(needed), mine).groupBy(F.col("node").alias("doc_id")).agg(F.min("text").alias("text"))
+    known = stored(profiles(own), "profiles")
 
     pairs = crowded.where("node <> a").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
     links = stored(verified(stored(pairs, "pairs"), known, threshold), "links")
@@ -265,40 +272,97 @@ def near_links(members: DataFrame, docs: DataFrame, threshold: float = THRESHOLD
     named = stored(named.join(lead, "a", "left").select("bucket", "band", "node", "label", (F.col("label") == F.coalesce("lead_label", "a")).alias("settled")), "members")
     sizes = named.groupBy("bucket").agg(F.count_if("settled").alias("n_settled"), F.count_if(~F.col("settled")).alias("n_other")).where("n_other > 0")
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    sizes = stored(sizes, "bucket-sizes")
+    crowds = sizes.where(F.col("n_other") > BLOCK).select("bucket")
+    sizes = sizes.where(F.col("n_other") <= BLOCK)
     sizes = small(stored(sizes.select("bucket", blocks("n_settled").alias("s"), blocks("n_other").alias("o")), "buckets"))
     mine = F.when(F.col("settled"), F.pmod(F.xxhash64("node"), F.col("s"))).otherwise(F.col("s") + F.pmod(F.xxhash64("node"), F.col("o"))).cast("int")
     meets = F.sequence(F.when(F.col("settled"), F.col("s")).otherwise(F.lit(0)), F.col("s") + F.col("o") - 1)  # settled blocks need not meet
     dealt = named.join(sizes, "bucket").select("bucket", "band", "node", "label", mine.alias("block"), F.explode(meets).alias("other"))
     keys = ["bucket", "low", "high"]
     dealt = dealt.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "band", "block", "label", "node")
-    full = dealt.join(known, "node").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
-    more = full.mapInArrow(tidy(_compare(threshold)), "a long, b long")
-    return links.union(stored(more, "links"))
+    full = dealt.join(known, "node").repartition(tasks_for(known), *keys).sortWithinPartitions(*keys)
+    links = stored(links.union(full.mapInArrow(tidy(_compare(threshold)), "a long, b long")), "links")
+    if crowds.isEmpty():
+        return links
+    crowd = stored(named.join(small(stored(crowds, "crowds")), "bucket").select("node").distinct(), "crowd")
+    return links.union(stored(crowd_links(crowd, links, known, threshold), "links"))
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, class_id) for every row of docs (doc_id, text)."""
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        prints = batch.column("prints")
+        sizes = np.fromiter((len(x.as_buffer()) // 4 for x in prints), np.int64, len(prints))
+        tokens = np.frombuffer(b"".join(x.as_py() for x in prints), np.int32)
+        node, group = (batch.column(c).to_numpy() for c in ("node", "group"))
+        yield pa.record_batch([pa.array(np.repeat(node, sizes)), pa.array(np.repeat(group, sizes)), pa.array(np.repeat(sizes, sizes).astype(np.int32)), pa.array(tokens)], names=["node", "group", "n", "token"])
+
+
+def crowd_links(crowd: DataFrame, links: DataFrame, known: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b) verified links between the nodes of crowd that links do not connect yet: a prefix-filtered join, exact for any pair of them.
+
+    Fingerprints are put in order of rarity; two sets of that Jaccard have one in common among the first of each, and not so far on that the rest could not make up the overlap.
+    """
+    group = components(links).select("node", F.col("component").alias("group"))
+    owned = crowd.join(known.select("node", "prints"), "node").join(group, "node", "left").select("node", F.coalesce("group", "node").alias("group"), "prints")
+    tokens = stored(owned.mapInArrow(tidy(_tokens), "node long, group long, n int, token int"), "crowd-tokens")
+    counts = tokens.groupBy("token").agg(F.count("*").alias("often"))
+    ordered = tokens.join(counts.where("often > 1"), "token", "left").withColumn("often", F.coalesce("often", F.lit(1)))
+    ordered = ordered.groupBy("node", "group", "n").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("tokens"))
+    t = F.lit(threshold)
+    prefix = F.slice("tokens", 1, (F.col("n") - F.ceil(t * F.col("n")) + 1).cast("int"))
+    placed = ordered.select("node", "group", "n", F.posexplode(prefix).alias("at", "token")).where("token.often > 1")
+    placed = stored(placed.select("node", "group", "n", "at", F.col("token.token").alias("token")), "crowd-prefixes")
+    x, y = placed.alias("x"), placed.alias("y")
+    rest = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))  # the token itself and all that follow it
+    fits = (F.least("x.n", "y.n") >= t * F.greatest("x.n", "y.n")) & (rest >= F.ceil(t / (1 + t) * (F.col("x.n") + F.col("y.n")) - 1e-9))
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.group") != F.col("y.group")) & fits)
+    return verified(stored(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "crowd-pairs"), known, threshold)
+
+
+def texts_of(found: DataFrame) -> DataFrame:
+    """(key, node, least, bands): each distinct text of sketches under a number of its own, with the smallest id of its documents; stored."""
+    texts = found.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
+    return stored(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
+
+
+def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key) of every row, and (key, node, component, class_id) of every text."""
     found = stored(sketches(docs), "sketches")
-    texts = stored(found.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "texts")
-    members = stored(texts.where("node is not null").select(F.posexplode("bands").alias("band", "bucket"), "node").distinct(), "members")
-    links = near_links(members, docs, threshold)
+    texts = texts_of(found)
+    members = stored(texts.select(F.posexplode("bands").alias("band", "bucket"), "node").distinct(), "members")
+    links = near_links(members, texts.select("node", "key", "least"), docs, threshold)
     labels = small(stored(components(links), "labels"))
-    named = texts.select("key", "node").join(labels, "node", "left").select("key", F.coalesce("component", "node").alias("class_id"))
-    named = small(stored(named, "classes"))
-    return found.select("doc_id", "key").join(named, "key").select("doc_id", "class_id")
+    named = stored(texts.select("key", "node", "least").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "named")
+    first = small(stored(named.groupBy("component").agg(F.min("least").alias("class_id"), F.count("*").alias("n")).where("n > 1"), "classes"))
+    joined = named.join(first, "component", "left").select("key", "node", "component", F.coalesce("class_id", "least").alias("class_id"))
+    return found.select("doc_id", "key"), joined
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, class_id) for every row of docs (doc_id, text)."""
+    rows, texts = _classes(docs, threshold)
+    return rows.join(small(stored(texts.select("key", "class_id"), "text-classes")), "key").select("doc_id", "class_id")
 
 
 def distinct_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One document of each class, that with the smallest id; rows without an id all stay."""
-    found = stored(classes(docs, threshold), "class-rows")
-    extra = found.where("doc_id <> class_id").select("doc_id").distinct()
-    twice = found.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    extra, twice = small(stored(extra, "extra")), small(stored(twice, "repeated"))
+    """One document of each class: that with the smallest id, and of texts that share this id in one class, that with the smallest digest. Rows without an id all stay."""
+    rows, texts = _classes(docs, threshold)
+    named = stored(rows.join(small(stored(texts.select("key", "component"), "text-classes")), "key"), "class-rows")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best")
+    first = small(stored(named.groupBy("component").agg(best).select("component", "best.doc_id", "best.key"), "first-rows"))
+    mine = F.col("n.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("n.key") == F.col("f.key"))
+    counted = named.groupBy("component", "doc_id", "key").count()
+    judged = counted.alias("n").join(first.alias("f"), F.col("n.component") == F.col("f.component"))
+    judged = judged.where("n.doc_id is not null")
+    extra = small(stored(judged.where(~mine).select("n.doc_id", "n.key"), "extra"))
+    twice = small(stored(judged.where(mine & (F.col("count") > 1)).select("n.doc_id", "n.key"), "repeated"))
     own = {c: f"_{i}" for i, c in enumerate(docs.columns)}
-    rows = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in own.items()])
-    id_col = F.col(own["doc_id"]).cast("long")
-    kept = rows.join(extra, id_col == F.col("doc_id"), "left_anti")
+    plain = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in own.items()])
+    id_col, key_col = F.col(own["doc_id"]).cast("long"), text_key(F.col(own["text"]))
+    same = id_col.eqNullSafe(F.col("doc_id")) & (key_col == F.col("key"))
+    kept = plain.join(extra, same, "left_anti")
     if not twice.isEmpty():
-        again = kept.join(twice, id_col == F.col("doc_id"), "left_semi").dropDuplicates([own["doc_id"]])
-        kept = kept.join(twice, id_col == F.col("doc_id"), "left_anti").unionByName(again)
+        again = kept.join(twice, same, "left_semi").dropDuplicates([own["doc_id"], own["text"]])
+        kept = kept.join(twice, same, "left_anti").unionByName(again)
     return kept.select(*[F.col(a).alias(c) for c, a in own.items()])
