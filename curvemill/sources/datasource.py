@@ -9,58 +9,70 @@
     spark.readStream.format("tfevents").load(logdir)
     points.write.format("tfevents").mode("append").save(logdir)
 
-Batch: a partition is a file, or a range of whole records of about ``splitBytes`` of a large one (a damaged record then ends its own
-range only). With the option ``pushdown``, which needs ``spark.sql.python.filterPushdown.enabled`` (``read`` sees to both), equality and IN filters on run and tag are taken over: files of other
-runs are not opened, and points of other tags never become rows. Streaming: the offset is a map from file to bytes; an end is fixed by walking frame headers, several files at a time, so a record that is still being
-written waits. ``maxBytesPerTrigger`` bounds what a micro-batch takes of each file, ``maxFilesPerTrigger`` how many files it takes from. A damaged record is found while reading: with
-``stateDir`` (a shared folder) the reader leaves a mark there and the file is never read again; without it
-the new bytes are checked while planning.
-
-A range that cannot be read to its end gives no points (beyond ``HELD_BYTES`` of it, none of those that are still held back), in batches as in streams.
+Planning opens no file: a partition is a range of about ``splitBytes`` of a file, and its task finds where its records begin and end (``splits``); a damaged record ends its own
+range only. With the option ``pushdown``, which needs ``spark.sql.python.filterPushdown.enabled`` (``read`` sees to both), equality and IN filters on run and tag are taken over: files of other
+runs are not opened, and points of other tags never become rows.
+
+Streaming: the offset is a map from file to its length, as listed. Tasks read up to the last whole record, and the one that reaches it notes the place in a ledger in ``stateDir`` (a folder that driver and executors
+share), under the file and the length it was read at; the next batch goes on from there, so a record that is still being written waits, and a batch that is run again starts and ends where it did. ``maxBytesPerTrigger`` bounds what a micro-batch takes of each file, ``maxFilesPerTrigger`` how
+many files it takes from. A damaged record is found while reading: the task leaves a mark in ``stateDir`` and the file is never read again.
+
+A range that cannot be read to its end gives no points, in batches as in streams.
 """
 
 from __future__ import annotations
 
-import hashlib
 import json
-import os
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyarrow.fs import FileSelector, FileSystem, FileType, LocalFileSystem
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from curvemill.schema import CHECKSUMS, ERRORS, FILES, LISTING, POINTS
-from curvemill.sources import files
+from curvemill.sources import files, ledger, splits
 from curvemill.sources.columnar import Columns, encode
 
 NAMES = ("run", "tag", "step", "wall", "value", "path", "rec_off", "val_idx")
-SPLIT_BYTES, HELD_BYTES = 32 << 20, 256 << 20
-#: Files whose headers are walked at the same time.
+SPLIT_BYTES = 32 << 20
+#: Small files of the ledger that are read or deleted at the same time.
 WALKERS = 16
 
 
 @dataclass
 class Range(InputPartition):
+    """Records of a file from start to stop. Where ``every`` is set, start is the place of a range of so many bytes, and the task finds the records; length is the file's, as listed."""
+
     run: str
     path: str
     parts: tuple
     start: int
     stop: int | None
     length: int = 0
+    every: int = 0
+    exact: bool = True
+    limit: int | None = None
+
+
+def ranges(f: files.EventFile, low: int, every: int, limit: int | None = None) -> list[Range]:
+    """Ranges of a file from the start of a record on, the file as long as listed or cut at limit."""
+    length = f.length if limit is None else limit
+    if not every or length - low <= every:
+        return [Range(f.run, f.path, f.parts, low, None, length, limit=limit)]
+    return [Range(f.run, f.path, f.parts, at, None, length, every, at == low, limit) for at in range(low, length, every)]
 
 
 @dataclass
 class State:
-    """How far whole records of a range reach, whether its file is dead, and why."""
+    """How far whole records of a range reach, whether no later range of the file has any, and whether the file is dead, and why."""
 
     at: int
     dead: bool = False
     why: str | None = None
+    last: bool = True
 
 
 def _batch(part: Range, found: Columns) -> pa.RecordBatch:
@@ -72,24 +84,29 @@ def _batch(part: Range, found: Columns) -> pa.RecordBatch:
 
 
 def _points(part: Range, state: State, tags: frozenset | None = None) -> Iterator[pa.RecordBatch]:
-    """The points of a range; its state goes along."""
-    held: list[pa.RecordBatch] = []
-    begun = False
+    """The points of a range, once all of it could be read; its state goes along."""
+    held: list[Columns] = []
+    start, stop = part.start, part.stop
     try:
-        for found in files.read_range(part.path, part.start, part.stop, tags=tags):
+        if part.every:
+            with files.open_file(part.path) as source:
+                own = splits.bounds(source, part.start, part.every, part.length, part.exact)
+            state.last = own is not None and own[1] is None
+            if own is None:
+                return
+            start, stop = own
+            state.at = start
+        for found in files.read_range(part.path, start, stop, tags=tags, limit=part.limit):
             state.at += found.consumed
             if len(found.step):
-                held.append(_batch(part, found))
-            if begun or state.at - part.start > HELD_BYTES:
-                begun = True
-                yield from held
-                held = []
+                held.append(found)
             if found.corrupt:
                 state.dead, state.why = True, "damaged record"
     except OSError as e:
         state.dead, state.why = True, str(e)
         return
-    yield from held
+    for found in held:
+        yield _batch(part, found)
 
 
 def _state(part: Range) -> State:
@@ -106,17 +123,7 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[Range]:
         found = [f for f in files.discover(self.path) if "run" not in self.only or f.run in self.only["run"]]
-        if self.view != "points" or not self.split:
-            return [Range(f.run, f.path, f.parts, 0, None, f.length) for f in found]
-        with ThreadPoolExecutor(WALKERS) as walkers:
-            starts = list(walkers.map(lambda f: self._cuts(f), found))
-        return [Range(f.run, f.path, f.parts, low, high, f.length) for f, at in zip(found, starts) for low, high in zip(at, [*at[1:], None])]
-
-    def _cuts(self, f: files.EventFile) -> list[int]:
-        try:
-            return files.cuts(f.path, f.length, self.split)
-        except OSError:  # found again, and told, by the task
-            return [0]
+        return [r for f in found for r in ranges(f, 0, self.split if self.view == "points" else 0)]
 
     def read(self, part: Range) -> Iterator:
         if self.view == "points":
@@ -147,80 +154,42 @@ class _PushingReader(_Reader):
 
 
 class _StreamReader(DataSourceStreamReader):
-    def __init__(self, path: str, most: int, most_files: int, state: str | None) -> None:
-        self.path, self.most, self.most_files, self.state = path, most, most_files, state
+    def __init__(self, path: str, most: int, most_files: int, state: str, split: int) -> None:
+        self.path, self.most, self.most_files, self.state, self.split = path, most, most_files, state, split
         self.known: dict[str, int] = {}
 
     def initialOffset(self) -> dict:
         return {"files": "{}"}
 
-    def _dead(self) -> dict[str, int]:
-        """Files that are never read again, and how far they were."""
-        if not self.state:
-            return {}
-        system, at = _file_system(self.state)
-        dead = {}
-        for info in system.get_file_info(FileSelector(at, allow_not_found=True)):
-            if info.type == FileType.File and info.base_name.endswith(".dead"):
-                with system.open_input_stream(info.path) as f:
-                    mark = json.loads(f.read())
-                dead[mark["path"]] = mark["offset"]
-        return dead
-
-    def _end(self, f: files.EventFile) -> int | None:
-        """The next mark of a file: how far it can be read now, as a negative number if it is dead beyond; None if it cannot be read."""
-        at = self.known[f.path]
-        try:
-            end = files.whole_records(f.path, at, f.length, self.most)
-            if not self.state and end > at and _state(Range(f.run, f.path, f.parts, at, end)).dead:
-                return -1 - end
-            return end
-        except OSError:
-            return None
-
     def latestOffset(self) -> dict:
-        dead, grown = self._dead(), []
+        """The files' lengths as listed; no file is opened but the marks of dead ones."""
+        ends, dead, moved = ledger.ends(self.state), ledger.dead(self.state), 0
         for f in files.discover(self.path):
-            at = self.known.setdefault(f.path, 0)  # a file without a whole record is a run, too
-            if 0 <= at < f.length and f.path not in dead:  # a file that shrank waits at its old offset
-                grown.append(f)
-        with ThreadPoolExecutor(WALKERS) as walkers:
-            moved = 0
-            for i in range(0, len(grown), WALKERS):
-                for f, end in zip(grown[i : i + WALKERS], walkers.map(self._end, grown[i : i + WALKERS])):
-                    if end is not None and end != self.known[f.path] and moved < self.most_files:
-                        self.known[f.path], moved = end, moved + 1
-                if moved >= self.most_files:
-                    break
+            at = self.known.setdefault(f.path, ends.get(ledger.name_of(f.path), 0))  # a file without a whole record is a run, too
+            if at < f.length and f.path not in dead and moved < self.most_files:  # a file that shrank waits at its old offset
+                self.known[f.path], moved = min(f.length, at + self.most), moved + 1
         return {"files": json.dumps(self.known, sort_keys=True)}
 
     def partitions(self, start: dict, end: dict) -> list[Range]:
         before, after = json.loads(start["files"]), json.loads(end["files"])
         self.known = {**after, **self.known}
-        runs = {f.path: f for f in files.discover(self.path)}
-        out = []
-        for path, mark in sorted(after.items()):
-            low, high = before.get(path, 0), mark if mark >= 0 else -1 - mark  # a negative mark: read so far, then dead
-            if path in runs and low >= 0 and high > low:
-                out.append(Range(runs[path].run, path, runs[path].parts, low, high))
-        return out
+        dead = ledger.dead(self.state)
+        grown = [f for f in files.discover(self.path) if after.get(f.path, 0) > before.get(f.path, 0) and dead.get(f.path, 1 << 62) > before.get(f.path, 0)]
+        with ThreadPoolExecutor(WALKERS) as readers:
+            places = list(readers.map(lambda f: ledger.place(self.state, f.path, before.get(f.path, 0)), grown))
+        return [r for f, at in zip(grown, places) for r in ranges(f, at, self.split, after[f.path])]
 
     def read(self, part: Range) -> Iterator:
         state = State(part.start)
         yield from _points(part, state)
-        if self.state and state.dead:
-            system, folder = _file_system(self.state)
-            system.create_dir(folder, recursive=True)
-            name = hashlib.sha1(part.path.encode()).hexdigest()
-            with system.open_output_stream(f"{folder}/{name}.dead") as f:
-                f.write(json.dumps({"path": part.path, "offset": state.at, "run": part.run, "error": state.why}).encode())
+        if state.dead:
+            ledger.bury(self.state, part.path, part.length, state.at, part.run, state.why)
+        if state.last:
+            ledger.note(self.state, part.path, part.length, state.at)
 
     def commit(self, end: dict) -> None:
-        pass
-
-
-def _file_system(path: str) -> tuple[FileSystem, str]:
-    return FileSystem.from_uri(path) if "://" in path else (LocalFileSystem(), os.path.abspath(path))
+        """Forgets the places before those that the next batch starts from."""
+        ledger.forget(self.state, json.loads(end["files"]), WALKERS)
 
 
 @dataclass
@@ -237,7 +206,7 @@ class _Writer(DataSourceArrowWriter):
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
 
-        system, top = _file_system(self.path)
+        system, top = files.file_system(self.path)
         context = TaskContext.get()
         task = f"{context.partitionId():06d}"
         moves, sinks = [], {}
@@ -260,13 +229,13 @@ class _Writer(DataSourceArrowWriter):
         return Written(moves)
 
     def commit(self, messages: list) -> None:
-        system, _ = _file_system(self.path)
+        system, _ = files.file_system(self.path)
         for message in messages:
             for hidden, name in message.moves if message else ():
                 system.move(hidden, name)
 
     def abort(self, messages: list) -> None:
-        system, _ = _file_system(self.path)
+        system, _ = files.file_system(self.path)
         for message in messages:
             for hidden, _ in message.moves if message else ():
                 system.delete_file(hidden)
@@ -291,7 +260,9 @@ class EventFiles(DataSource):
 
     def streamReader(self, schema: StructType) -> DataSourceStreamReader:
         most = int(self.options.get("maxBytesPerTrigger", 1 << 62)), int(self.options.get("maxFilesPerTrigger", 1 << 62))
-        return _StreamReader(self._path(), *most, self.options.get("stateDir"))
+        if "stateDir" not in self.options:
+            raise ValueError("a stream of tfevents needs stateDir, a folder that driver and executors share")
+        return _StreamReader(self._path(), *most, self.options["stateDir"], int(self.options.get("splitBytes", SPLIT_BYTES)))
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
         if overwrite:

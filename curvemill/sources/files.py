@@ -6,7 +6,7 @@ import os
 from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 
-from pyarrow.fs import FileSelector, FileSystem, FileType
+from pyarrow.fs import FileSelector, FileSystem, FileType, LocalFileSystem
 
 from curvemill.sources.columnar import Columns, decode, frames, wrong_checksums
 from curvemill.sources.wire import HEADER, TRAILER
@@ -63,6 +63,11 @@ def discover(top: str) -> list[EventFile]:
     return sorted(files, key=lambda f: f.parts)
 
 
+def file_system(path: str) -> tuple[FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    return FileSystem.from_uri(path) if "://" in path else (LocalFileSystem(), os.path.abspath(path))
+
+
 def open_file(path: str):
     """A file for reading by position."""
     if "://" in path:
@@ -71,13 +76,22 @@ def open_file(path: str):
     return open(path, "rb")
 
 
-def read_range(path: str, start: int, stop: int | None = None, step: int = SLICE, tags: Collection[str] | None = None) -> Iterator[Columns]:
-    """The points of a file from offset start (of the given tags), slice by slice; what a slice leaves undecoded goes to the next."""
+def read_range(path: str, start: int, stop: int | None = None, step: int = SLICE, tags: Collection[str] | None = None, limit: int | None = None) -> Iterator[Columns]:
+    """The points of a file from offset start (of the given tags), slice by slice; what a slice leaves undecoded goes to the next.
+
+    All records that begin before stop are read, the last of them to its end; nothing is read from limit on.
+    """
     with open_file(path) as source:
         source.seek(start)
         at, rest = start, b""
         while True:
             room = step if stop is None else min(step, stop - at - len(rest))
+            if stop is not None and room <= 0:
+                if at >= stop:
+                    return
+                room = HEADER - len(rest) if len(rest) < HEADER else HEADER + int.from_bytes(rest[:8], "little") + TRAILER - len(rest)
+            if limit is not None:
+                room = min(room, limit - at - len(rest))
             more = source.read(room) if room > 0 else b""
             data = rest + more
             if not more:
@@ -89,37 +103,6 @@ def read_range(path: str, start: int, stop: int | None = None, step: int = SLICE
             rest, at = data[found.consumed :], at + found.consumed
 
 
-def whole_records(path: str, start: int, length: int, most: int = 1 << 62) -> int:
-    """The end of the last whole record from start on, by frame headers alone; stops at a length no record can have, or beyond ``most`` bytes.
-
-    The file is read in blocks, not header by header; a record larger than a block is passed over.
-    """
-    at = start
-    with open_file(path) as source:
-        while at < length and at - start < most:
-            source.seek(at)
-            block = source.read(min(SLICE, length - at))
-            _, consumed, bad = frames(memoryview(block))
-            if not consumed and not bad and len(block) >= HEADER:  # not all of it is in this block
-                size = HEADER + int.from_bytes(block[:8], "little") + TRAILER
-                consumed = size if at + size <= length else 0
-            at += consumed
-            if bad or not consumed:
-                break
-    return at
-
-
-def cuts(path: str, length: int, every: int) -> list[int]:
-    """Starts of ranges of whole records of about so many bytes each; the last range goes on to the end of the file."""
-    out = [0]
-    while length - out[-1] > every:
-        stop = whole_records(path, out[-1], length, every)
-        if stop <= out[-1] or stop >= length:
-            break
-        out.append(stop)
-    return out
-
-
 def checksums(path: str, step: int = SLICE) -> tuple[int, int]:
     """Whole records of a file, and how many of them have a wrong checksum. Reading points does not look at checksums."""
     records = bad = at = 0

@@ -22,6 +22,7 @@ RUNS = "run string, first_wall double, color_slot int, enabled boolean"
 
 
 def stream(spark: SparkSession, logdir: str, **options) -> DataFrame:
+    """The points of a growing folder; ``stateDir``, a shared folder of this stream's own, is needed."""
     datasource.register(spark)
     return spark.readStream.format("tfevents").options(**options).load(logdir)
 
@@ -79,6 +80,7 @@ def _sink(out: str, max_runs: int, logdir: str | None = None, on_change: Callabl
 
 def follow(spark: SparkSession, options: Options, out: str, checkpoint: str, on_change: Callable[[int], None] | None = None, **source) -> StreamingQuery:
     """Starts following; with ``follow`` off it reads what is there and ends. Stopping and starting again resumes at the byte where it was."""
+    source = {"stateDir": f"{checkpoint.rstrip('/')}-ends", **source}
     sink = _sink(out, options.max_runs, options.logdir, on_change)
     writer = stream(spark, options.logdir, **source).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=f"{options.refresh} seconds") if options.follow else writer.trigger(availableNow=True)
