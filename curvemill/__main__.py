@@ -6,7 +6,6 @@ import argparse
 import os
 import shutil
 import sys
-import threading
 import time
 from dataclasses import replace
 
@@ -52,10 +51,14 @@ def _spark():
 
 def bench(logdir: str, max_points: int) -> dict:
     """Seconds of a cold load, of a refresh with nothing new, and of one chart of the longest series at 400 columns (a mean)."""
-    from curvemill.operators import chart, series
+    from pyspark.sql import functions as F
+
+    from curvemill.operators import summary
     from curvemill.plans import scratch
-    from curvemill.plans.session import Session
+    from curvemill.plans.session import LiveSession
+    from curvemill.sources import datasource
     from curvemill.streaming import live
+    from curvemill.streaming.table import LiveTable
 
     spark = _spark()
     out, state = scratch.folder(spark, "bench"), scratch.folder(spark, "bench-state")
@@ -65,13 +68,13 @@ def bench(logdir: str, max_points: int) -> dict:
         began = time.perf_counter()
         live.follow(spark, options, out, state).awaitTermination()
         times[name] = time.perf_counter() - began
-    session = Session(live.live_points(spark, out), options)
-    longest = series.longest(session.points).first()
-    own = session.points.where(f"run = '{longest['run']}'")
+    session = LiveSession(LiveTable(spark, out, max_points), options, datasource.read(spark, logdir, "listing"))
+    longest = summary.longest(session.summaries).first()
+    session.table = session.table.withColumn("enabled", F.col("run") == longest["run"])
     times["chart_400"] = 0.0
     for _ in range(REPEATS):
         began = time.perf_counter()
-        chart.curves(own, Chart(longest["tag"], px_w=400)).collect()
+        session.curves(Chart(longest["tag"], px_w=400)).collect()
         times["chart_400"] += (time.perf_counter() - began) / REPEATS
     head = session.header().first()
     return {"points": head["total_points"], "max_stride": head["max_stride"], **{k: round(v, 3) for k, v in times.items()}}
@@ -123,14 +126,17 @@ def watch(options: Options) -> int:
     from curvemill.plans import scratch
     from curvemill.plans.console import Console
     from curvemill.plans.screen import Screen
-    from curvemill.plans.session import Session
+    from curvemill.plans.session import LiveSession
     from curvemill.sources import datasource
     from curvemill.streaming import live
+    from curvemill.streaming.table import LiveTable
 
     spark, console, depth = _spark(), Console.of(options), _depth()
-    out, state, dead = (scratch.folder(spark, x) for x in ("live", "state", "dead"))
-    changed = threading.Event()
-    start = lambda: live.follow(spark, options, out, state, lambda _: changed.set(), stateDir=dead, maxFilesPerTrigger=64)
+    out, state = (scratch.folder(spark, x) for x in ("live", "state"))
+    changes = live.Changes()
+    spark.streams.addListener(changes)
+    changed = changes.wake
+    start = lambda: live.follow(spark, options, out, state, maxFilesPerTrigger=64)
     listing = datasource.read(spark, options.logdir, "listing")  # the runs are there before anything is read
     query, session, screen = start(), None, None
     changed.set()
@@ -140,7 +146,7 @@ def watch(options: Options) -> int:
                 changed.clear()
                 if session:
                     session.close()
-                session = Session(live.live_points(spark, out), options, listing)
+                session = LiveSession(LiveTable(spark, out, options.max_points), options, listing)
                 screen = None
             if screen is None:
                 screen = Screen(session, console, *_size(), depth, query is not None and query.isActive and query.status["isTriggerActive"])

@@ -6,11 +6,13 @@ and a final aggregation; everything after that handles runs times columns rows,
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curvemill.operators import series
-from curvemill.schema import Chart
+from curvemill.schema import RELTIME, STEP, Chart
 
 
 def bucket_of(x: Column, x0: Column, x1: Column, ncols: int) -> Column:
@@ -86,16 +88,26 @@ def segments(pixels: DataFrame) -> DataFrame:
     return both.select("run", "tag", F.coalesce("p.px", "px").alias("px0"), F.coalesce("p.py", "py").alias("py0"), F.col("px").alias("px1"), F.col("py").alias("py1"))
 
 
-def curves(points: DataFrame, chart: Chart, first: DataFrame | None = None) -> DataFrame:
+def curves(points: DataFrame, chart: Chart, first: DataFrame | None = None, bounds: tuple[float, float] | None = None) -> DataFrame:
     """(run, tag, col, y): what a chart draws of the enabled runs' points.
 
-    ``first`` gives the runs' first wall times for relative time; without it they are taken from points.
+    ``first`` gives the runs' first wall times for relative time; without it they are taken from points. ``bounds`` is the shown range of x where it is known
+    (from summaries); then it is a condition on the points' own columns, which reaches a sorted table's scan, and no domain is computed.
     """
-    first = first if first is not None else series.first_walls(points) if chart.x_mode == "reltime" else None
-    xs = series.with_x(points.where(F.col("tag") == chart.tag), chart.x_mode, first)
-    bounds = series.view_range(series.domain(xs), chart.view)  # one row
-    placed = xs.crossJoin(F.broadcast(bounds.select("lo", "hi")))
-    drawn = smooth(bucket_means(placed, chart.px_w, F.col("lo"), F.col("hi")), chart.smoothing)
+    first = first if first is not None else series.first_walls(points) if chart.x_mode == RELTIME else None
+    own = points.where(F.col("tag") == chart.tag)
+    if bounds is None:
+        xs = series.with_x(own, chart.x_mode, first)
+        shown = series.view_range(series.domain(xs), chart.view)  # one row
+        placed, lo, hi = xs.crossJoin(F.broadcast(shown.select("lo", "hi"))), F.col("lo"), F.col("hi")
+    else:
+        lo, hi = bounds
+        if chart.x_mode == STEP:
+            own = own.where(F.col("step").between(max(math.ceil(lo), -(1 << 63)), min(math.floor(hi), (1 << 63) - 1)))
+        elif chart.x_mode != RELTIME:
+            own = own.where(F.col("wall").between(lo, hi))
+        placed = series.with_x(own, chart.x_mode, first)
+    drawn = smooth(bucket_means(placed, chart.px_w, lo, hi), chart.smoothing)
     return log_y(drawn) if chart.log_y else drawn
 
 

@@ -202,7 +202,10 @@ def bucket_mean(spark, sf):
     return rounded(chart.bucket_means(placed, COLUMNS, F.col("lo"), F.col("hi")), "y")
 
 
-@query(f"WITH {XS}, {DOMAIN}, {_range(0.25, 0.5)}, {_buckets(COLUMNS)} SELECT run, tag, col, round(y, 6) AS y FROM b")
+ZOOM_SQL = f"WITH {XS}, {DOMAIN}, {_range(0.25, 0.5)}, {_buckets(COLUMNS)} SELECT run, tag, col, round(y, 6) AS y FROM b"
+
+
+@query(ZOOM_SQL)
 def bucket_zoom(spark, sf):
     xs = _xs(spark, sf)
     placed = xs.crossJoin(F.broadcast(series.view_range(series.domain(xs), ZOOMED)))
@@ -291,16 +294,16 @@ def legend_limit(spark, sf):
     return layout.legend(tables.event_points(spark, sf, 12).where(F.col("tag") == TAG).select("run").distinct())
 
 
-_THIN = """n AS (SELECT *, row_number() OVER (PARTITION BY run, tag ORDER BY step) - 1 AS i, count(*) OVER (PARTITION BY run, tag) AS n FROM p),
+THIN = """n AS (SELECT *, row_number() OVER (PARTITION BY run, tag ORDER BY step) - 1 AS i, count(*) OVER (PARTITION BY run, tag) AS n FROM p),
 k AS (SELECT n.*, (SELECT min(1::BIGINT << s) FROM range(40) t(s) WHERE ceil(n / (1::BIGINT << s)::DOUBLE) <= 100) AS stride FROM n)"""
 
 
-@query(f"WITH {P}, {_THIN} SELECT run, tag, step, wall, value, stride FROM k WHERE i % stride = 0")
+@query(f"WITH {P}, {THIN} SELECT run, tag, step, wall, value, stride FROM k WHERE i % stride = 0")
 def thin_even(spark, sf):
     return thin.thin(tables.event_points(spark, sf), 100).select(*POINTS, "stride")
 
 
-@query(f"WITH {P}, {_THIN} SELECT count(*)::BIGINT AS total_points, count(*) FILTER (i % stride = 0)::BIGINT AS stored_points, max(stride)::BIGINT AS max_stride FROM k")
+@query(f"WITH {P}, {THIN} SELECT count(*)::BIGINT AS total_points, count(*) FILTER (i % stride = 0)::BIGINT AS stored_points, max(stride)::BIGINT AS max_stride FROM k")
 def thin_summary(spark, sf):
     return thin.summary(tables.event_points(spark, sf), 100)
 
@@ -315,7 +318,7 @@ def longest_series(spark, sf):
     return series.longest(tables.event_points(spark, sf))
 
 
-@query(f"""WITH {P12}, r AS (SELECT run, row_number() OVER (ORDER BY run) <= 8 AS enabled FROM (SELECT DISTINCT run FROM p)), {_THIN}
+@query(f"""WITH {P12}, r AS (SELECT run, row_number() OVER (ORDER BY run) <= 8 AS enabled FROM (SELECT DISTINCT run FROM p)), {THIN}
 SELECT (SELECT count(*) FROM r WHERE enabled)::BIGINT AS runs_on, (SELECT count(*) FROM r)::BIGINT AS runs_total,
  (SELECT count(DISTINCT tag) FROM p JOIN r USING (run) WHERE enabled)::BIGINT AS n_tags, (SELECT count(*) FROM p)::BIGINT AS total_points, (SELECT max(stride) FROM k)::BIGINT AS max_stride""")
 def header_summary(spark, sf):
@@ -533,6 +536,6 @@ def demo_curves(spark, sf):
     return rounded(demo.curves(spark, 2000, noise=0).select("run", "tag", "step", "value"), "value", digits=9)
 
 
-from curvemill.plans import screen_queries  # noqa: E402  registers more
+from curvemill.plans import live_queries, screen_queries  # noqa: E402  registers more
 
-__all__ = ["ORACLE_SQL", "QUERIES", "screen_queries"]
+__all__ = ["ORACLE_SQL", "QUERIES", "live_queries", "screen_queries"]

@@ -58,6 +58,7 @@ class Screen:
         session.table = spark.createDataFrame([(r, r not in console.hidden) for r in self.runs], "run string, enabled boolean")
         self.tags = session.tags(console.tag_part)
         self.rows: list = []
+        self.styles: dict = {}
 
     def _hue(self, hue: int) -> str:
         return hue_colour(hue, self.depth) if self.depth else PLAIN
@@ -68,15 +69,14 @@ class Screen:
             g.put(0, 0, TOO_SMALL)
             return g.lines(bool(self.depth))
         self.rows = tree.visible_rows(self.tags, c.opened, force_open=bool(c.tag_part)).collect()  # the rows of the tree that are open
-        styles = {r["run"]: r for r in catalog.colours(self.session.files).collect()} if len(self.runs) <= 10_000 else {}
         head = self.session.header(c.tag_part).first()
         self._header(head)
         self._footer()
         left = 0
         if c.sidebar:
             left = layout.sidebar_width(self.session.files.select("run").distinct(), tree.visible_rows(self.tags, c.opened, bool(c.tag_part)), g.width).first()["width"]
-            self._sidebar(left, styles, head["n_tags"])
-        self._charts(left, styles, head["n_tags"])
+            self._sidebar(left, head["n_tags"])
+        self._charts(left, head["n_tags"])
         if c.help:
             for i, (keys, what) in enumerate(HELP):
                 g.put(4, 2 + i, f" {keys:<18}{what:<46} ", REVERSED if self.depth else PLAIN)
@@ -101,7 +101,14 @@ class Screen:
             line = "  Tab focus  Space on/off  Enter only/open  a all  / filter  s S smooth  + - [ ] zoom, pan  g grid  L log  x axis  f follow  ? help  q quit"
         g.put(0, g.height - 1, line, DIM)
 
-    def _sidebar(self, width: int, styles: dict, n_tags: int) -> None:
+    def _styles(self, names: list[str]) -> dict:
+        """Colour and marker of some runs, no more than a screen shows."""
+        unknown = [n for n in names if n not in self.styles]
+        if unknown:
+            self.styles |= {r["run"]: r for r in catalog.colours(self.session.files).where(F.col("run").isin(unknown)).collect()}
+        return self.styles
+
+    def _sidebar(self, width: int, n_tags: int) -> None:
         g = self.grid
         body = g.height - 2
         listed = self.console.listed(self.runs)
@@ -109,7 +116,9 @@ class Screen:
         self.console = c = replace(self.console, run_at=max(0, min(self.console.run_at, len(listed) - 1)), tag_at=self.console.selected(self.rows)).scrolled(tall - 1, body - tall - 1)
         shown = f"{len(listed)}/{len(self.runs)}" if c.run_part else f"{len(listed)}"
         g.put(0, 1, f" RUNS ({shown})" + (f"  /{c.run_part}" if c.run_part or c.editing == RUNS else ""), BOLD)
-        for i, run in enumerate(listed[c.run_scroll : c.run_scroll + tall - 1]):
+        shown_runs = listed[c.run_scroll : c.run_scroll + tall - 1]
+        styles = self._styles(shown_runs)
+        for i, run in enumerate(shown_runs):
             on, mine = run not in c.hidden, c.focus == RUNS and c.run_scroll + i == c.run_at
             style = REVERSED if mine else PLAIN if on else DIM
             g.put(0, 2 + i, f" {'▣' if on else '☐'}   {run}"[: width - 1].ljust(width - 2), style)
@@ -131,7 +140,7 @@ class Screen:
         g = self.grid
         g.put(left + max(0, (g.width - left - len(what)) // 2), 1 + (g.height - 2) // 2, what, DIM)
 
-    def _charts(self, left: int, styles: dict, n_tags: int) -> None:
+    def _charts(self, left: int, n_tags: int) -> None:
         c, g = self.console, self.grid
         if not n_tags:
             self._message(left, LOADING if self.busy else NO_MATCH if c.tag_part else NO_SCALARS)
@@ -139,16 +148,16 @@ class Screen:
         row = self.rows[c.selected(self.rows)]
         tag = row["tag"] or tree.first_leaves(self.tags).where(F.col("path") == row["path"]).first()["first_tag"]
         if not c.grid:
-            self._chart(c, tag, left, 1, g.width - left, g.height - 2, styles, detailed=True)
+            self._chart(c, tag, left, 1, g.width - left, g.height - 2, detailed=True)
             return
         columns, rows, n = layout.grid_shape(g.width - left, g.height - 2, n_tags)
         place = self.tags.where(F.col("tag") < tag).count()
         page = [r["tag"] for r in layout.grid_page(self.tags, place, n).orderBy("slot").collect()]
         spots = [(x, y, w, h) for y, h in layout.slot_spans(g.height - 2, rows) for x, w in layout.slot_spans(g.width - left, columns)]
         for name, (x, y, w, h) in zip(page, spots):
-            self._chart(c, name, left + x, 1 + y, w, h, styles, detailed=False, chosen=name == tag)
+            self._chart(c, name, left + x, 1 + y, w, h, detailed=False, chosen=name == tag)
 
-    def _chart(self, c: Console, tag: str, x: int, y: int, width: int, height: int, styles: dict, detailed: bool, chosen: bool = False) -> None:
+    def _chart(self, c: Console, tag: str, x: int, y: int, width: int, height: int, detailed: bool, chosen: bool = False) -> None:
         s, g = self.session, self.grid
         plot_w, plot_h, px_w, px_h = layout.plot_size(width, height)
         if not plot_w or not plot_h:
@@ -172,11 +181,11 @@ class Screen:
             for r in ticks.x_labels(s.ranges(what), plot_w, what.x_mode).collect():
                 g.put(at + r["at"], y + 1 + plot_h, r["label"], DIM)
             if detailed:
-                self._cursor_and_legend(what, at, y, plot_w, plot_h, styles)
+                self._cursor_and_legend(what, at, y, plot_w, plot_h)
         finally:
             drawn.unpersist()
 
-    def _cursor_and_legend(self, what, at: int, y: int, plot_w: int, plot_h: int, styles: dict) -> None:
+    def _cursor_and_legend(self, what, at: int, y: int, plot_w: int, plot_h: int) -> None:
         g = self.grid
         if what.view.cursor is not None:
             cell = round(what.view.cursor * (what.px_w - 1)) // 2
@@ -185,7 +194,9 @@ class Screen:
                     g.put(at + cell, y + 1 + i, "│", DIM)
             x = series.cursor_x(self.session.ranges(what), what.view.cursor, what.px_w).select(text.x_value(F.col("cursor_x"), what.x_mode).alias("label")).first()["label"]
             g.put(at + plot_w - len(x) - 4, y, f"at {x}", DIM)
-        for i, r in enumerate(self.session.legend(what).collect()):
+        legend = self.session.legend(what).collect()
+        styles = self._styles([r["run"] for r in legend])
+        for i, r in enumerate(legend):
             start = max(at, at + plot_w - len(r["label"]) - 3)
             style = styles.get(r["run"])
             if style:

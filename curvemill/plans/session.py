@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curvemill.functions import text, ticks
-from curvemill.operators import catalog, chart, layout, raster, series, thin, tree
+from curvemill.operators import catalog, chart, layout, raster, series, summary, thin, tree
 from curvemill.schema import Chart, Options
 from curvemill.sources import datasource
+from curvemill.streaming.table import LiveTable
 
 NO_DATA, NO_DRAWABLE, NO_SCALARS, NO_MATCH = "no data in enabled runs", "no drawable points", "no scalars found", "no tags match filter"
 
@@ -58,20 +59,25 @@ class Session:
     def header(self, part: str = "") -> DataFrame:
         return catalog.header(self.all_points, self.table, self.options.max_points, part)
 
+    def first_walls(self) -> DataFrame:
+        return series.first_walls(self.points)
+
     def _axis(self, what: Chart) -> DataFrame:
         own = catalog.enabled_points(self.points, self.table).where(F.col("tag") == what.tag)
-        return series.with_x(own, what.x_mode, series.first_walls(self.points))
+        return series.with_x(own, what.x_mode, self.first_walls())
 
     def ranges(self, what: Chart) -> DataFrame:
         return series.view_range(series.domain(self._axis(what)), what.view)
 
     def curves(self, what: Chart) -> DataFrame:
-        return chart.curves(catalog.enabled_points(self.points, self.table), what, series.first_walls(self.points))
+        return chart.curves(catalog.enabled_points(self.points, self.table), what, self.first_walls())
+
+    def drawn_runs(self, tag: str) -> DataFrame:
+        return catalog.enabled_points(self.points, self.table).where(F.col("tag") == tag).select("run").distinct()
 
     def legend(self, what: Chart) -> DataFrame:
         """(run, label): the first drawn runs, with their values at the cursor where there is one."""
-        drawn = catalog.enabled_points(self.points, self.table).where(F.col("tag") == what.tag).select("run").distinct()
-        shown = layout.legend(drawn)
+        shown = layout.legend(self.drawn_runs(what.tag))
         if what.view.cursor is None:
             return shown.withColumn("label", F.col("run"))
         at = F.broadcast(series.cursor_x(self.ranges(what), what.view.cursor, what.px_w).select("cursor_x"))
@@ -120,3 +126,40 @@ class Session:
             for i in range(tall):
                 out.append("".join(f"{p[i] if i < len(p) else '':<{w}}" for p, (_, w) in zip(plots, spans)).rstrip())
         return out
+
+
+class LiveSession(Session):
+    """A session over a live table as it is now: lists, headers and ranges from the series' summaries, charts from the row groups of their tag and range."""
+
+    def __init__(self, live: LiveTable, options: Options, files: DataFrame) -> None:
+        known = live.manifest()
+        self.options, self.files = options, files
+        self.points = self.all_points = live.points(known)
+        self.summaries = live.series(known)
+        self.table = catalog.cap_runs(files, options.max_runs)
+
+    def close(self) -> None:
+        """Nothing is held."""
+
+    def _enabled(self, tag: str) -> DataFrame:
+        return catalog.enabled_points(self.summaries, self.table).where(F.col("tag") == tag)
+
+    def tags(self, part: str = "") -> DataFrame:
+        return summary.tags(self.summaries, self.table, part)
+
+    def header(self, part: str = "") -> DataFrame:
+        return summary.header(self.summaries, self.table, part).drop("stored_points")
+
+    def first_walls(self) -> DataFrame:
+        return summary.first_walls(self.summaries)
+
+    def ranges(self, what: Chart) -> DataFrame:
+        return series.view_range(summary.domain(self._enabled(what.tag), what.x_mode, self.first_walls()), what.view)
+
+    def curves(self, what: Chart) -> DataFrame:
+        shown = self.ranges(what).first()  # one row, from summaries
+        own = catalog.enabled_points(self.points, self.table)
+        return chart.curves(own, what, self.first_walls(), None if shown["lo"] is None else (shown["lo"], shown["hi"]))
+
+    def drawn_runs(self, tag: str) -> DataFrame:
+        return self._enabled(tag).select("run").distinct()

@@ -1,24 +1,22 @@
-"""Following a growing log directory: points into a table, and the small table of runs kept beside it.
+"""Following a growing log directory: points into a bounded table, and the small tables of series and runs kept beside it.
 
-Each micro-batch appends its points to ``<out>/points/batch=<n>`` and writes the next state of the runs to ``<out>/runs/batch=<n>``; both are
-overwritten if the batch is run again, so a restart after a failure leaves neither gaps nor doubles. Points that arrive late or out of order are
+Each micro-batch goes into a ``LiveTable`` as a whole, under its number, so a restart after a failure leaves neither gaps nor doubles. Points that arrive late or out of order are
 kept like any other: order is a matter of queries. No watermark drops anything. A run is in the table as soon as one of its files is there, points or not.
-``on_change`` is told the number of each batch that changed something.
+``on_change`` is told the number of each batch that changed something; ``Changes`` is a listener that knows from a query's progress which files grew.
 """
 
 from __future__ import annotations
 
+import json
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from curvemill.operators import catalog
 from curvemill.schema import POINTS, Options
 from curvemill.sources import datasource
-
-RUNS = "run string, first_wall double, color_slot int, enabled boolean"
+from curvemill.streaming.table import LiveTable
 
 
 def stream(spark: SparkSession, logdir: str, **options) -> DataFrame:
@@ -27,52 +25,21 @@ def stream(spark: SparkSession, logdir: str, **options) -> DataFrame:
     return spark.readStream.format("tfevents").options(**options).load(logdir)
 
 
-def update_runs(known: DataFrame, points: DataFrame, max_runs: int, listing: DataFrame | None = None) -> DataFrame:
-    """The runs after a batch: least first wall times, slots handed out once, visibility decided once for each new run. ``listing`` has runs that may have no points."""
-    files = points.select("run", F.split("path", "/").alias("path_parts"))
-    if listing is not None:
-        files = listing.select("run", "path_parts").unionByName(files.join(listing, "run", "left_anti"))
-    slots = catalog.assign_slots(known.select("run", "color_slot"), files)
-    states = catalog.admit_runs(known.select("run", "enabled"), files.select("run"), max_runs)
-    walls = points.groupBy("run").agg(F.min(F.when(F.col("wall") != 0, F.col("wall"))).alias("new_wall"))
-    merged = slots.join(states, "run").join(known.select("run", "first_wall"), "run", "left").join(walls, "run", "left")
-    return merged.select("run", F.least("first_wall", "new_wall").alias("first_wall"), F.col("color_slot").cast("int").alias("color_slot"), "enabled")
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-
-
-def known_runs(spark: SparkSession, out: str, before: int | None = None) -> DataFrame:
-    """The runs after the latest batch (before a given one)."""
-    empty = spark.createDataFrame([], RUNS)
-    if not _exists(spark, f"{out}/runs"):
-        return empty
-    every = spark.read.schema(RUNS + ", batch long").parquet(f"{out}/runs")
-    if before is not None:
-        every = every.where(F.col("batch") < before)
-    last = every.agg(F.max("batch")).first()[0]
-    return empty if last is None else every.where(F.col("batch") == last).drop("batch")
+def known_runs(spark: SparkSession, out: str) -> DataFrame:
+    """(run, first_wall, color_slot, enabled) after the latest batch."""
+    return LiveTable(spark, out).runs()
 
 
 def live_points(spark: SparkSession, out: str) -> DataFrame:
-    if not _exists(spark, f"{out}/points"):
-        return spark.createDataFrame([], POINTS)
-    return spark.read.schema(POINTS).parquet(f"{out}/points")
+    """The points that are kept."""
+    return LiveTable(spark, out).points().select(*[c.split()[0] for c in POINTS.split(", ")])
 
 
-def _sink(out: str, max_runs: int, logdir: str | None = None, on_change: Callable[[int], None] | None = None):
+def _sink(out: str, options: Options, on_change: Callable[[int], None] | None = None):
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{out}/points/batch={number}")
-        points = spark.read.schema(POINTS).parquet(f"{out}/points/batch={number}")
-        listing = datasource.read(spark, logdir, "listing") if logdir else None
-        known = known_runs(spark, out, number)
-        if points.isEmpty() and (listing is None or listing.join(known, "run", "left_anti").isEmpty()):
-            return
-        update_runs(known, points, max_runs, listing).coalesce(1).write.mode("overwrite").parquet(f"{out}/runs/batch={number}")
-        if on_change:
+        listing = datasource.read(spark, options.logdir, "listing")
+        if LiveTable(spark, out, options.max_points).apply(batch, number, options.max_runs, listing) and on_change:
             on_change(number)
 
     return write
@@ -81,7 +48,32 @@ def _sink(out: str, max_runs: int, logdir: str | None = None, on_change: Callabl
 def follow(spark: SparkSession, options: Options, out: str, checkpoint: str, on_change: Callable[[int], None] | None = None, **source) -> StreamingQuery:
     """Starts following; with ``follow`` off it reads what is there and ends. Stopping and starting again resumes at the byte where it was."""
     source = {"stateDir": f"{checkpoint.rstrip('/')}-ends", **source}
-    sink = _sink(out, options.max_runs, options.logdir, on_change)
+    sink = _sink(out, options, on_change)
     writer = stream(spark, options.logdir, **source).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=f"{options.refresh} seconds") if options.follow else writer.trigger(availableNow=True)
     return writer.start()
+
+
+class Changes(StreamingQueryListener):
+    """Tells which files each batch of a query read further, from the offsets in its progress. ``told`` is called with the batch and the files, ``wake`` is set; both in the listener's thread."""
+
+    def __init__(self, told: Callable[[int, list[str]], None] | None = None) -> None:
+        self.told, self.wake, self.idle, self.ended = told, threading.Event(), 0, threading.Event()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        for source in json.loads(event.progress.json)["sources"]:
+            lengths = [json.loads(o["files"]) if isinstance(o, dict) else {} for o in (source["startOffset"], source["endOffset"])]
+            grown = sorted(path for path, n in lengths[1].items() if n != lengths[0].get(path))
+            if grown:
+                self.wake.set()
+                if self.told:
+                    self.told(event.progress.batchId, grown)
+
+    def onQueryIdle(self, event) -> None:
+        self.idle += 1
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.set()
