@@ -285,8 +285,8 @@ def near_links(members: DataFrame, texts: DataFrame, docs: DataFrame, threshold:
     links = stored(links.union(full.mapInArrow(tidy(_compare(threshold)), "a long, b long")), "links")
     if crowds.isEmpty():
         return links
-    crowd = stored(named.join(small(stored(crowds, "crowds")), "bucket").select("node").distinct(), "crowd")
-    return links.union(stored(crowd_links(crowd, links, known, threshold), "links"))
+    crowd = named.join(small(stored(crowds, "crowds")), "bucket").select("node").distinct().join(near_labels(links), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    return links.union(stored(crowd_links(crowd, known, threshold), "links"))
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,13 +298,12 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(np.repeat(node, sizes)), pa.array(np.repeat(group, sizes)), pa.array(np.repeat(sizes, sizes).astype(np.int32)), pa.array(tokens)], names=["node", "group", "n", "token"])
 
 
-def crowd_links(crowd: DataFrame, links: DataFrame, known: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b) verified links between the nodes of crowd that links do not connect yet: a prefix-filtered join, exact for any pair of them.
+def crowd_links(crowd: DataFrame, known: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b) verified links between the nodes of crowd (node, label) with different labels: a prefix-filtered join, exact for any pair of them.
 
     Fingerprints are put in order of rarity; two sets of that Jaccard have one in common among the first of each, and not so far on that the rest could not make up the overlap.
     """
-    group = components(links).select("node", F.col("component").alias("group"))
-    owned = crowd.join(known.select("node", "prints"), "node").join(group, "node", "left").select("node", F.coalesce("group", "node").alias("group"), "prints")
+    owned = crowd.withColumnRenamed("label", "group").join(known.select("node", "prints"), "node")
     tokens = stored(owned.mapInArrow(tidy(_tokens), "node long, group long, n int, token int"), "crowd-tokens")
     counts = tokens.groupBy("token").agg(F.count("*").alias("often"))
     ordered = tokens.join(counts.where("often > 1"), "token", "left").withColumn("often", F.coalesce("often", F.lit(1)))
