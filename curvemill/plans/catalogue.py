@@ -22,12 +22,12 @@ XS = f"{P}, xs AS (SELECT *, step::DOUBLE AS x FROM p WHERE tag = '{TAG}')"
 DOMAIN = "ends AS (SELECT run, arg_min(x, step) AS f, arg_max(x, step) AS l FROM xs GROUP BY run), dom AS (SELECT min(f) AS xmin, max(l) AS xmax FROM ends)"
 
 
-def _range(lo: float, hi: float) -> str:
+def shown(lo: float, hi: float) -> str:
     return f"""rng AS (SELECT xmin, xmax, xmin + greatest(xmax - xmin, 1e-12::DOUBLE) * {lo}::DOUBLE AS lo,
   xmin + greatest(xmax - xmin, 1e-12::DOUBLE) * {hi}::DOUBLE AS hi FROM dom)"""
 
 
-def _buckets(n: int) -> str:
+def buckets_sql(n: int) -> str:
     return f"""inside AS (SELECT run, tag, x, value, lo, hi - lo AS span FROM xs, rng WHERE x >= lo AND x <= hi),
 g1 AS (SELECT *, greatest(ceil((x - lo) * {n}::DOUBLE / span) - 1, 0::DOUBLE) AS g FROM inside),
 g2 AS (SELECT *, CASE WHEN g > 0 AND x <= lo + span * g / {n}::DOUBLE THEN g - 1 ELSE g END AS d FROM g1),
@@ -39,7 +39,7 @@ EMA = f"""i AS (SELECT *, row_number() OVER (PARTITION BY run, tag ORDER BY col)
 e AS (SELECT a.run, a.tag, a.col, CASE WHEN any_value(a.n) < 2 THEN any_value(a.y)
   ELSE sum((1 - {WEIGHT}::DOUBLE) * pow({WEIGHT}::DOUBLE, a.i - o.i) * o.y) / (1 - pow({WEIGHT}::DOUBLE, any_value(a.i))) END AS y
   FROM i a JOIN i o ON a.run = o.run AND a.tag = o.tag AND o.i <= a.i GROUP BY a.run, a.tag, a.col)"""
-DRAWN = f"WITH {XS}, {DOMAIN}, {_range(0.0, 1.0)}, {_buckets(COLUMNS)}, {EMA}"
+DRAWN = f"WITH {XS}, {DOMAIN}, {shown(0.0, 1.0)}, {buckets_sql(COLUMNS)}, {EMA}"
 Y_RANGE = """raw AS (SELECT min(y) AS a, max(y) AS b FROM e WHERE NOT isnan(y)),
 yr AS (SELECT a - pad AS vmin, b + pad AS vmax FROM (SELECT a, b, CASE WHEN b - a < 1e-12 THEN CASE WHEN b <> 0 THEN abs(b) * 0.1::DOUBLE ELSE 1 END ELSE (b - a) * 0.05::DOUBLE END AS pad FROM raw))"""
 PIXELS = f"{DRAWN}, {Y_RANGE}, px AS (SELECT run, tag, col AS px, (39 - round((y - vmin) / (vmax - vmin) * 39))::BIGINT AS py FROM e, yr)"
@@ -181,7 +181,7 @@ def x_domain(spark, sf):
     return series.domain(_xs(spark, sf))
 
 
-@query(f"WITH {XS}, {DOMAIN}, {_range(0.25, 0.5)} SELECT xmin, xmax, round(lo, 6) AS lo, round(hi, 6) AS hi FROM rng")
+@query(f"WITH {XS}, {DOMAIN}, {shown(0.25, 0.5)} SELECT xmin, xmax, round(lo, 6) AS lo, round(hi, 6) AS hi FROM rng")
 def view_range(spark, sf):
     return rounded(series.view_range(series.domain(_xs(spark, sf)), ZOOMED), "lo", "hi")
 
@@ -195,14 +195,14 @@ def x_domain_unordered_walls(spark, sf):
 # ---- buckets, smoothing, axes of values ----
 
 
-@query(f"WITH {XS}, {DOMAIN}, {_range(0.0, 1.0)}, {_buckets(COLUMNS)} SELECT run, tag, col, round(y, 6) AS y FROM b")
+@query(f"WITH {XS}, {DOMAIN}, {shown(0.0, 1.0)}, {buckets_sql(COLUMNS)} SELECT run, tag, col, round(y, 6) AS y FROM b")
 def bucket_mean(spark, sf):
     xs = _xs(spark, sf)
     placed = xs.crossJoin(F.broadcast(series.view_range(series.domain(xs), View())))
     return rounded(chart.bucket_means(placed, COLUMNS, F.col("lo"), F.col("hi")), "y")
 
 
-ZOOM_SQL = f"WITH {XS}, {DOMAIN}, {_range(0.25, 0.5)}, {_buckets(COLUMNS)} SELECT run, tag, col, round(y, 6) AS y FROM b"
+ZOOM_SQL = f"WITH {XS}, {DOMAIN}, {shown(0.25, 0.5)}, {buckets_sql(COLUMNS)} SELECT run, tag, col, round(y, 6) AS y FROM b"
 
 
 @query(ZOOM_SQL)
@@ -223,7 +223,7 @@ def ema_smooth(spark, sf):
     return rounded(_drawn(spark, sf), "y")
 
 
-@query(f"WITH {XS}, {DOMAIN}, {_range(0.0, 1.0)}, {_buckets(COLUMNS)} SELECT run, tag, col, round(y, 6) AS y FROM b")
+@query(f"WITH {XS}, {DOMAIN}, {shown(0.0, 1.0)}, {buckets_sql(COLUMNS)} SELECT run, tag, col, round(y, 6) AS y FROM b")
 def ema_zero_weight(spark, sf):
     return rounded(chart.curves(tables.event_points(spark, sf), Chart(TAG, smoothing=0.0, px_w=COLUMNS)), "y")
 
@@ -281,7 +281,7 @@ def braille_rows(spark, sf):
 # ---- points at a cursor, order, thinning, counts ----
 
 
-@query(f"""WITH {XS}, {DOMAIN}, {_range(0.0, 1.0)}, cur AS (SELECT lo + (hi - lo) * 29::DOUBLE / 59::DOUBLE AS place FROM rng), rn AS (SELECT DISTINCT run, tag, place FROM xs, cur)
+@query(f"""WITH {XS}, {DOMAIN}, {shown(0.0, 1.0)}, cur AS (SELECT lo + (hi - lo) * 29::DOUBLE / 59::DOUBLE AS place FROM rng), rn AS (SELECT DISTINCT run, tag, place FROM xs, cur)
 SELECT rn.run, rn.tag, xs.step, xs.value FROM rn ASOF JOIN xs ON rn.run = xs.run AND rn.place >= xs.x""")
 def asof_cursor(spark, sf):
     xs = _xs(spark, sf)
@@ -443,7 +443,7 @@ def y_tick_rows(spark, sf):
     return rounded(ticks.y_ticks(chart.y_range(_drawn(spark, sf)), CHART.px_h // 4), "tick")
 
 
-@query(f"""WITH {XS}, {DOMAIN}, {_range(0.0, 1.0)}, v AS (SELECT k::INT AS i, lo + (hi - lo) * (k / 3::DOUBLE) AS x, greatest(round(lo + (hi - lo) * (k / 3::DOUBLE)), 0)::BIGINT AS n, k / 3::DOUBLE AS part FROM rng, range(4) t(k)),
+@query(f"""WITH {XS}, {DOMAIN}, {shown(0.0, 1.0)}, v AS (SELECT k::INT AS i, lo + (hi - lo) * (k / 3::DOUBLE) AS x, greatest(round(lo + (hi - lo) * (k / 3::DOUBLE)), 0)::BIGINT AS n, k / 3::DOUBLE AS part FROM rng, range(4) t(k)),
 l AS (SELECT *, {_COUNT} AS label FROM v)
 SELECT i, round(x, 6) AS x, label, greatest(least(floor(part * 69)::INT - CASE WHEN i = 3 THEN length(label) ELSE 0 END, greatest(70 - length(label) - 1, 0)), 0)::INT AS at FROM l""")
 def x_labels(spark, sf):

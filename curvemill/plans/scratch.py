@@ -12,7 +12,7 @@ def folder(spark: SparkSession, label: str) -> str:
     """A new path that driver and executors share, as a path or URI that pyarrow opens too; removed when the session ends."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.split("[")[0] == "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         top = tempfile.mkdtemp(prefix="curvemill-")
     path = f"{top.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -11,9 +11,9 @@ from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import functions as F
 
 from curvemill.functions import ticks
-from curvemill.operators import chart, layout
-from curvemill.plans import scratch
-from curvemill.plans.registry import COLUMNS, P, POINTS, STORED, TAG, WEIGHT, query
+from curvemill.operators import chart, layout, series
+from curvemill.plans import catalogue, scratch
+from curvemill.plans.registry import COLUMNS, P, POINTS, STORED, TAG, ZOOMED, query
 from curvemill.schema import X_MODES, Chart, Options, View
 from curvemill.sources import datasource, files, tables, wire
 from curvemill.streaming import live
@@ -101,15 +101,24 @@ def chart_of_one_column(spark, sf):
     return chart.curves(tables.event_points(spark, sf), Chart(TAG, smoothing=0.0, px_w=1)).select("run", "tag", F.col("col").cast("int").alias("col"), F.round("y", 6).alias("y"))
 
 
-@query(f"WITH {P} SELECT DISTINCT run, tag FROM p WHERE false UNION ALL SELECT 'nothing', 'nothing'")
+@query(f"""WITH {catalogue.XS}, {catalogue.DOMAIN}, {catalogue.shown(0.25, 0.5)}, {catalogue.buckets_sql(COLUMNS)},
+a AS (SELECT run, count(*)::BIGINT AS n_points, count(*) FILTER (x < lo)::BIGINT AS before, count(*) FILTER (x > hi)::BIGINT AS after, count(*) FILTER (NOT value > 0)::BIGINT AS not_positive FROM xs, rng GROUP BY run),
+c AS (SELECT run, count(*) FILTER (c >= {COLUMNS})::BIGINT AS beyond, count(DISTINCT c) FILTER (c < {COLUMNS})::BIGINT AS n_columns FROM g3 GROUP BY run)
+SELECT a.run, n_points, before, after, not_positive, beyond, n_columns, 0::BIGINT AS without_columns, 0::BIGINT AS without_range FROM a JOIN c USING (run)""")
 def chart_guards(spark, sf):
-    """No columns, no range of x and no points give no curve; one row says so."""
-    points = tables.event_points(spark, sf)
-    none = [chart.curves(points, Chart(TAG, px_w=0)), chart.curves(points, Chart(TAG, px_w=COLUMNS, view=View(0.50001, 0.50001))), chart.curves(points.limit(0), Chart(TAG, px_w=COLUMNS)), chart.curves(points, Chart("no such tag", smoothing=WEIGHT, px_w=COLUMNS))]
-    one = spark.createDataFrame([("nothing", "nothing")], "run string, tag string")
-    for df in none:
-        one = one.unionByName(df.select("run", "tag"))
-    return one
+    """How many points of each run the guards of a zoomed chart leave out: before and after its range, beyond the last edge, not positive for a logarithm; and what a chart without columns or range draws."""
+    points = tables.event_points(spark, sf).where(F.col("tag") == TAG)
+    xs = series.with_x(points, "step")
+    placed = xs.crossJoin(F.broadcast(series.view_range(series.domain(xs), ZOOMED)))
+    inside = (F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi"))
+    bucket = F.when(inside, chart.bucket_of(F.col("x"), F.col("lo"), F.col("hi"), COLUMNS))
+    out = placed.groupBy("run").agg(
+        F.count("*").alias("n_points"), F.count_if(F.col("x") < F.col("lo")).alias("before"), F.count_if(F.col("x") > F.col("hi")).alias("after"), F.count_if(~(F.col("value") > 0)).alias("not_positive"),
+        F.count_if(inside & bucket.isNull()).alias("beyond"), F.count_distinct(bucket).alias("n_columns"),
+    )
+    for name, drawn in (("without_columns", chart.bucket_means(placed, 0, F.col("lo"), F.col("hi"))), ("without_range", chart.bucket_means(placed, COLUMNS, F.col("hi"), F.col("lo") - 1))):
+        out = out.join(drawn.groupBy("run").agg(F.count("*").alias(name)), "run", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return out
 
 
 # ---- event files ----

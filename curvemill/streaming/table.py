@@ -18,7 +18,7 @@ import json
 import uuid
 
 from pyarrow.fs import FileSelector, FileType
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from curvemill.operators import catalog, summary, thin
@@ -118,30 +118,33 @@ class LiveTable:
         stage = f"{self.folder}/stage-{number}"
         batch.select(*[c.split()[0] for c in POINTS.split(", ")]).write.mode("overwrite").parquet(stage)
         raw = self.spark.read.schema(POINTS).parquet(stage)
-        found = raw.select("run", F.split("path", "/").alias("path_parts"))
-        if listing is not None:
-            found = listing.select("run", "path_parts").unionByName(found.join(listing, "run", "left_anti"))
-        old = self._read(known["runs"], RUNS)
-        new_runs = not found.join(old, "run", "left_anti").isEmpty()
-        if raw.isEmpty() and not new_runs:
-            return False
-        next_ = {**known, "batch": number, "parts": list(known["parts"])}
-        if new_runs:
-            slots = catalog.assign_slots(old.select("run", "color_slot"), found)
-            runs = slots.join(catalog.admit_runs(old.select("run", "enabled"), found.select("run"), max_runs), "run")
-            next_["runs"] = f"runs-{number}"
-            runs.select("run", "color_slot", "enabled").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/{next_['runs']}")
-        if not raw.isEmpty():
-            self._append(raw, number, known, next_)
-        self._swap(next_)
-        self._sweep()
-        return True
-
-    def _append(self, raw: DataFrame, number: int, known: dict, next_: dict) -> None:
         counts = f"{self.folder}/counts-{number}"
         summary.counted(self.series(known), summary.offered(raw), self.cap).write.mode("overwrite").parquet(counts)
         counts = self.spark.read.parquet(counts)
         facts = counts.agg(F.sum(F.col("offered") - F.col("before")).alias("n"), F.max("stride").alias("most"), F.bool_or("grown").alias("grown")).first()
+        next_ = {**known, "batch": number, "parts": list(known["parts"])}
+        found = raw.select("run", F.split("path", "/").alias("path_parts")).groupBy("run").agg(F.min("path_parts").alias("path_parts"))
+        if listing is not None:
+            listing = listing.select("run", "path_parts")
+            found = listing.unionByName(found.join(listing, "run", "left_anti"))
+        found, old = found.persist(), self._read(known["runs"], RUNS)
+        try:
+            if not found.join(old, "run", "left_anti").isEmpty():
+                slots = catalog.assign_slots(old.select("run", "color_slot"), found)
+                runs = slots.join(catalog.admit_runs(old.select("run", "enabled"), found.select("run"), max_runs), "run")
+                next_["runs"] = f"runs-{number}"
+                runs.select("run", "color_slot", "enabled").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/{next_['runs']}")
+        finally:
+            found.unpersist()
+        if facts["n"]:
+            self._append(raw, counts, facts, number, known, next_)
+        changed = bool(facts["n"]) or next_["runs"] != known["runs"]
+        if changed:
+            self._swap(next_)
+        self._sweep()
+        return changed
+
+    def _append(self, raw: DataFrame, counts: DataFrame, facts: Row, number: int, known: dict, next_: dict) -> None:
         indexed = thin.with_arrival_index(raw).join(counts.select("run", "tag", "before", "stride"), ["run", "tag"])
         indexed = indexed.withColumn("arrival_index", F.col("arrival_index") + F.col("before")).where(F.pmod("arrival_index", "stride") == 0)
         part = {"folder": f"part-{number}-0", "class": 0, "points": facts["n"]}
