@@ -40,7 +40,7 @@ from curvemill.llm.shared import stored
 from curvemill.llm.textbuf import WORD_BYTE, Texts, byte_values, pieces, tidy
 
 HEAD, SWEPT, CORE, CLASSES = 1 << 17, 1 << 14, 767, 64
-SWEEPS, ROUNDS, SMOOTH = 2, 8, 2.0
+SWEEPS, SMOOTH = 2, 2.0
 #: Distinct words a task holds before it hands on what it has counted.
 HELD = 1_000_000
 _VALUES = byte_values(True, WORD_BYTE)
@@ -251,7 +251,7 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def exchange(counts: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
+def exchange(counts: np.ndarray, classes: int = CLASSES) -> np.ndarray:
     """Exchange clustering of symbols by their bigram counts; returns the class of each.
 
     The last symbol (the end) keeps a class of its own. Frequent symbols start in classes of their own in
@@ -267,7 +267,9 @@ def exchange(counts: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -
     member[np.arange(n), own] = 1
     table = member.T @ counts @ member
     right, left = counts @ member, counts.T @ member  # to and from each class, by symbol
-    for _ in range(rounds):
+    least = 1e-9 + 1e-12 * float(_xlogx(mass.sum()))  # a gain above what rounding can feign, so every move raises the likelihood and this ends
+    moved = 1
+    while moved:
         moved = 0
         for w in order:
             if mass[w] == 0:
@@ -289,7 +291,7 @@ def exchange(counts: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -
             gain -= _xlogx(rows + r.sum() + loop) - _xlogx(rows) + _xlogx(columns + lf.sum() + loop) - _xlogx(columns)
             gain[classes - 1] = -np.inf
             new = int(np.argmax(gain))
-            if gain[new] <= gain[old] + 1e-9:
+            if gain[new] <= gain[old] + least:
                 new = int(old)
             table[new] += r
             table[:, new] += lf
@@ -301,8 +303,6 @@ def exchange(counts: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -
                 right[:, new] += counts[:, w]
                 left[:, old] -= counts[w]
                 left[:, new] += counts[w]
-        if not moved:
-            break
     return own
 
 
