@@ -12,7 +12,8 @@ Most texts need no alignment: to cover the share ``COVERAGE`` of a notice, a tex
 nothing, is tested for all texts of an Arrow batch at once.
 
 All notices that match are given with their spans, none of which overlap: the one with most matched words goes first, then greater coverage, then
-the smaller name, then the shorter span, then the earlier one, and what overlaps it is left out. The first of them is the document's license.
+the smaller name, then the shorter span, then the earlier one, and what overlaps it is left out. The first of them is the document's license. After a match, further identifiers of an
+expression (``MIT OR Apache-2.0``, ``GPL-2.0-or-later WITH Classpath-exception-2.0 AND BSD-3-Clause``) are matches of their own.
 
 Defined cases: a null or empty text has no license and no matches; matches come in the order of the text; repeated rows are judged alike; an empty table gives no rows. Other columns are ignored.
 """
@@ -46,8 +47,10 @@ NOTICES: dict[str, tuple[str, ...]] = {
     "artistic-2.0": ("Released under the [Artistic License 2.0]", "[The Artistic License 2.0]"),
     "bsd": (
         "[Redistribution and use in source and binary forms], with or without modification, are permitted provided that the following conditions are met",
-        "Released under the [BSD] License", "Released under the [BSD 3-Clause] License", "Released under the [BSD 2-Clause] License",
+        "Released under the [BSD License]",
     ),
+    "bsd-2-clause": ("Released under the [BSD 2-Clause License]", "[BSD 2-Clause License Copyright]"),
+    "bsd-3-clause": ("Released under the [BSD 3-Clause License]", "[BSD 3-Clause License Copyright]"),
     "bsl-1.0": ("Distributed under the [Boost Software License], [Version 1.0]", "[Boost Software License - Version 1.0]", "Released under the [Boost Software] License"),
     "cc0-1.0": ("Licensed under [CC0 1.0]", "[CC0 1.0 Universal]"),
     **{f"cc-{kind}-{version}": (f"Licensed under [CC {kind} {version}]",) for kind, version in _CC},
@@ -56,28 +59,39 @@ NOTICES: dict[str, tuple[str, ...]] = {
         "This program and the accompanying materials are made available under the terms of the [Eclipse Public License 2.0]",
         "This program and the accompanying materials are made available under the terms of the [Eclipse Public License v2.0]", "[Eclipse Public License - v 2.0]",
     ),
-    "gpl": ("Released under the [GPL] License",),
+    "gpl": ("Released under the [GPL License]",),
     "gpl-2.0": _gnu("General Public License", "2"),
     "gpl-3.0": _gnu("General Public License", "3"),
-    "isc": ("Permission to [use, copy, modify, and/or distribute] this software for any purpose [with or without fee] is hereby granted", "Released under the [ISC] License"),
+    "isc": ("Permission to [use, copy, modify, and/or distribute] this software for any purpose [with or without fee] is hereby granted", "Released under the [ISC License]", "[ISC License Copyright]"),
     "lgpl-2.0": _gnu("Library General Public License", "2"),
     "lgpl-2.1": _gnu("Lesser General Public License", "2.1"),
     "lgpl-3.0": _gnu("Lesser General Public License", "3"),
-    "mit": ("Released under the [MIT] License",),
+    "mit": ("Released under the [MIT License]", "[MIT License Copyright]"),
     "mit-text": ("Permission is hereby granted, [free of charge, to any person obtaining a copy] of this software and associated documentation files",),
     "mpl-1.1": ("subject to the [Mozilla Public License] [Version 1.1]", "[Mozilla Public License Version 1.1]"),
     "mpl-2.0": ("This Source Code Form is subject to the terms of the [Mozilla Public License], v. [2.0]", "[Mozilla Public License Version 2.0]"),
     "unlicense": ("This is [free and unencumbered software] released into the [public domain]",),
-    "zlib": ("This software is [provided as-is, without any express or implied warranty]. In no event will the authors be held liable for any damages arising from the use of this software", "Released under the [zlib] License"),
+    "zlib": ("This software is [provided as-is, without any express or implied warranty]. In no event will the authors be held liable for any damages arising from the use of this software", "Released under the [zlib License]"),
 }
-_SPDX = {
-    "0bsd": "0BSD", "agpl-3.0": "AGPL-3.0", "apache-1.1": "Apache-1.1", "apache-2.0": "Apache-2.0", "artistic-2.0": "Artistic-2.0", "bsl-1.0": "BSL-1.0", "cc0-1.0": "CC0-1.0", "epl-1.0": "EPL-1.0",
-    "epl-2.0": "EPL-2.0", "gpl-2.0": "GPL-2.0", "gpl-3.0": "GPL-3.0", "isc": "ISC", "lgpl-2.0": "LGPL-2.0", "lgpl-2.1": "LGPL-2.1", "lgpl-3.0": "LGPL-3.0", "mit": "MIT", "mit-0": "MIT-0",
-    "mpl-1.1": "MPL-1.1", "mpl-2.0": "MPL-2.0", "unlicense": "Unlicense", "zlib": "Zlib", **{f"cc-{kind}-{version}": f"CC-{kind}-{version}" for kind, version in _CC},
+#: Further licenses that are known by their SPDX identifiers, and what identifiers are called besides.
+_MORE = (
+    "0BSD", "AFL-3.0", "AGPL-3.0", "Apache-1.1", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC0-1.0", "CDDL-1.0", "CECILL-2.1", "ECL-2.0", "EPL-1.0", "EPL-2.0", "EUPL-1.1", "EUPL-1.2",
+    "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MIT", "MIT-0", "MPL-1.1", "MPL-2.0", "MS-PL", "MS-RL", "NCSA", "OFL-1.1", "OSL-3.0", "PostgreSQL", "Python-2.0", "UPL-1.0", "Unlicense", "WTFPL", "Zlib",
+)
+_CALLED = {
+    "apache-2.0": ("Apache 2.0", "Apache License 2.0", "Apache License Version 2.0", "Apache Software License"), "bsd": ("BSD License",), "gpl-2.0": ("GPLv2", "GPL v2"), "gpl-3.0": ("GPLv3", "GPL v3"), "agpl-3.0": ("AGPLv3", "AGPL v3"),
+    "isc": ("ISC License",), "lgpl-2.1": ("LGPLv2.1", "LGPL v2.1"), "lgpl-3.0": ("LGPLv3", "LGPL v3"), "mit": ("MIT License",), "mpl-2.0": ("MPL 2.0", "Mozilla Public License 2.0"), "unlicense": ("The Unlicense",),
 }
-for _name, _id in _SPDX.items():
-    NOTICES[_name] = (*NOTICES.get(_name, ()), f"[SPDX-License-Identifier: {_id}]")
-NOTICES["bsd"] += ("[SPDX-License-Identifier: BSD-2-Clause]", "[SPDX-License-Identifier: BSD-3-Clause]")
+_IDS = {**{i.lower(): (i,) for i in _MORE}, **{f"cc-{kind}-{version}": (f"CC-{kind}-{version}",) for kind, version in _CC}}
+#: What stands before an identifier, and before an identifier or another name.
+_LEADS, _PROSE = ("SPDX-License-Identifier:", "license:", "licence:"), ("licensed under", "licensed under the", "License :: OSI Approved ::")
+_KINDS = {"by": "Attribution", "nc": "NonCommercial", "nd": "NoDerivatives", "sa": "ShareAlike"}
+for _name, _ids in _IDS.items():
+    NOTICES[_name] = (*NOTICES.get(_name, ()), *(f"[{lead} {i}]" for lead in _LEADS for i in _ids))
+for _name, _others in {n: (*_IDS.get(n, ()), *_CALLED.get(n, ())) for n in (*_IDS, *_CALLED)}.items():
+    NOTICES[_name] = (*NOTICES.get(_name, ()), *(f"[{lead} {i}]" for lead in _PROSE for i in _others))
+for _kind, _version in _CC:
+    NOTICES[f"cc-{_kind}-{_version}"] += (f"[Creative Commons {'-'.join(_KINDS[k] for k in _kind.split('-'))} {_version}]",)
 
 _CODES = np.arange(256)
 NOTICE_BYTE = (_CODES >= 128) | ((_CODES >= 48) & (_CODES < 58)) | ((_CODES >= 65) & (_CODES < 91)) | ((_CODES >= 97) & (_CODES < 123))
@@ -178,11 +192,46 @@ def around(words: Sequence[int], p: int, notice: Sequence[int], q: int, k: int =
     return [(p - 1 - i, q - 1 - j) for i, j in left[::-1]] + [(p + i, q + i) for i in range(k)] + [(p + k + i, q + k + j) for i, j in right]
 
 
+class Expression:
+    """Reads on after an identifier: ``OR`` and ``AND`` with further ones, ``-only``, ``-or-later`` and ``+``, and exceptions after ``WITH``."""
+
+    def __init__(self) -> None:
+        named = {n: (*_IDS.get(n, ()), *_CALLED.get(n, ())) for n in (*_IDS, *_CALLED)}
+        self.ids = {tuple(notice_words(i)): name for name, ids in named.items() for i in ids}
+        self.longest = max(map(len, self.ids))
+        self.word = {w: notice_words(w)[0] for w in ("or", "and", "with", "only", "later", "exception")}
+        self.digits = {notice_words(str(d))[0] for d in range(10)}
+
+    def after(self, words: Sequence[int], at: int) -> Iterator[tuple[str, int, int]]:
+        """(license, first word, end) of each further identifier."""
+        is_ = lambda i, name: i < len(words) and words[i] == self.word[name]
+        while at < len(words):
+            if is_(at, "only"):
+                at += 1
+            elif is_(at, "or") and is_(at + 1, "later"):
+                at += 2
+            elif is_(at, "with"):
+                end = next((i for i in range(at + 1, min(at + 6, len(words))) if is_(i, "exception")), None)
+                if end is None:
+                    return
+                at = end + 1
+                while at < len(words) and words[at] in self.digits:
+                    at += 1
+            elif is_(at, "or") or is_(at, "and"):
+                end = next((e for e in range(at + 1 + self.longest, at + 1, -1) if tuple(words[at + 1 : e]) in self.ids), None)
+                if end is None:
+                    return
+                yield self.ids[tuple(words[at + 1 : end])], at + 1, end
+                at = end
+            else:
+                return
+
+
 class Scanner:
     def __init__(self, notices: dict[str, str | tuple[str, ...]], coverage: float = COVERAGE) -> None:
         each = [(n, *template(t)) for n in sorted(notices) for t in ([notices[n]] if isinstance(notices[n], str) else notices[n])]
         self.names, self.words, self.keys = (list(c) for c in zip(*each))
-        self.coverage = coverage
+        self.coverage, self.expression = coverage, Expression()
         self.vocabulary = np.unique(np.array([w for ws in self.words for w in ws], np.uint64))
         self.member = np.array([np.isin(self.vocabulary, np.array(ws, np.uint64)) for ws in self.words]).T
         # distinct words that a text must have
@@ -212,6 +261,11 @@ class Scanner:
             if not any(taken[low:high]):
                 taken[low:high] = b"\1" * (high - low)
                 out.append(match)
+        for match in list(out):
+            for name, low, high in self.expression.after(words, match[4]):
+                if not any(taken[low:high]):
+                    taken[low:high] = b"\1" * (high - low)
+                    out.append((name, 1.0, high - low, low, high))
         return out
 
     def best(self, words: list[int]) -> tuple[str, float, int, int, int] | None:
