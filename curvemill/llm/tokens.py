@@ -44,8 +44,8 @@ from curvemill.llm.textbuf import Texts, mix64, pieces, tidy
 LENGTH = 2048
 #: Sequences in a record batch.
 BATCH = 256
-#: Distinct pre-tokens a worker remembers before it starts anew.
-REMEMBERED = 1_200_000
+#: Distinct pre-tokens a worker remembers before it starts anew, and how many ids they may have on average.
+REMEMBERED, MOST_IDS = 800_000, 8
 #: Bytes of texts that are encoded together; unseen pre-tokens that go to the library together; ids after which a file is closed.
 ENCODED_BYTES, LEARNED, FILE_IDS = 1 << 20, 4096, 1 << 28
 INDEX = "file string, doc_id long, first long, n_tokens long"
@@ -142,7 +142,7 @@ class Encoder:
     def forget(self) -> None:
         """keys: of the known pre-tokens, in ascending order, and place: the number of each; at and size: where its ids are."""
         self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int32)
-        self.ids, self.at, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ids, self.at, self.size = np.zeros(0, np.uint16), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def tokens_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of pre-tokens, one after another, and how many each has."""
@@ -163,7 +163,10 @@ class Encoder:
         """The places of pre-tokens that are not known yet."""
         ids, sizes = self.tokens_of(words)
         new = np.arange(len(self.at), len(self.at) + len(words), dtype=np.int32)
-        self.at = np.concatenate((self.at, len(self.ids) + np.cumsum(sizes) - sizes))
+        if self.ids.dtype == np.uint16 and ids.max(initial=0) < 1 << 16:
+            ids = ids.astype(np.uint16)
+        starts = len(self.ids) + np.cumsum(sizes, dtype=np.int64) - sizes
+        self.at = np.concatenate((self.at, starts.astype(np.int32 if len(self.ids) + len(ids) < 1 << 31 else np.int64)))
         self.ids = np.concatenate((self.ids, ids))
         self.size = np.concatenate((self.size, sizes))
         order = np.argsort(keys)
@@ -197,7 +200,7 @@ class Encoder:
     def encode(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, each text closed by end; and the number of ids of each text."""
         texts, plain = self.prepared(column)
-        if len(self.keys) > REMEMBERED:
+        if len(self.keys) > REMEMBERED or len(self.ids) > MOST_IDS * REMEMBERED:
             self.forget()
         odd = {i: self.whole(column[i].as_py() or "") for i in np.flatnonzero(~plain).tolist()}
         if len(odd) == texts.n:
@@ -213,7 +216,7 @@ class Encoder:
             count[i] = len(ids)
         count += 1
         last = np.cumsum(count)
-        ids = self.ids[np.repeat(self.at[places] - stop[:-1], sizes) + np.arange(stop[-1])]
+        ids = self.ids[np.repeat(self.at[places] - stop[:-1], sizes) + np.arange(stop[-1])].astype(np.uint32)
         if not odd:
             return np.insert(ids, stop[first[1:]], np.uint32(end)), count
         out = np.full(int(last[-1]), end, np.uint32)
