@@ -519,7 +519,7 @@ def stream_tail(spark, sf):
     half = points.agg(F.max("step")).first()[0] // 2
     top, out = scratch.folder(spark, "logdir"), scratch.folder(spark, "live")
     state = scratch.folder(spark, "state")
-    options = Options(top, follow=False)
+    options = Options(top, follow=False, max_points=0)
     for part in (points.where(F.col("step") <= half), points.where(F.col("step") > half)):
         datasource.write(part, top)
         live.follow(spark, options, out, state).awaitTermination()
