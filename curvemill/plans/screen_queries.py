@@ -181,12 +181,12 @@ def tfevents_pushdown(spark, sf):
 
 
 def _followed(spark, parts, top: str | None = None, between=None, **source):
-    """Parts of the points written and followed one after the other; (points table, runs table, folder)."""
+    """Parts of the points written and followed one after the other, and all kept; (points table, runs table, folder)."""
     top = top or scratch.folder(spark, "logdir")
     out, state = scratch.folder(spark, "live"), scratch.folder(spark, "state")
     for k, part in enumerate(parts):
         datasource.write(part, top)
-        live.follow(spark, Options(top, follow=False), out, state, **source).awaitTermination()
+        live.follow(spark, Options(top, follow=False, max_points=0), out, state, **source).awaitTermination()
         if between and not k:
             between(top)
     return live.live_points(spark, out), live.known_runs(spark, out), top
