@@ -26,8 +26,8 @@ from curvemill.schema import POINTS
 from curvemill.sources import files
 
 FAN, KEEP = 8, 3
-#: Points a file of a merged part holds, or about.
-FILE_POINTS = 4 << 20
+#: Points a file of a part holds, or about: what one task sorts.
+FILE_POINTS = 1 << 19
 DATA = POINTS + ", arrival_index long"
 RUNS = "run string, color_slot int, enabled boolean"
 KEYS = ("run", "tag", "step", "arrival_index")
@@ -104,9 +104,9 @@ class LiveTable:
     # ---- writing ----
 
     def _write(self, df: DataFrame, folder: str, points: int) -> None:
-        """Sorted files of about ``FILE_POINTS`` points each."""
+        """Sorted files of about ``FILE_POINTS`` points each. What comes before is left to tasks of its own (``coalesce`` would put it into the one that writes)."""
         parts = -(-points // FILE_POINTS)
-        dealt = df.repartitionByRange(parts, *KEYS) if parts > 1 else df.coalesce(1)
+        dealt = df.repartitionByRange(parts, *KEYS) if parts > 1 else df.repartition(1)
         sorted_ = dealt.sortWithinPartitions(*KEYS)
         sorted_.write.mode("overwrite").option("parquet.block.size", self.block_bytes).parquet(f"{self.folder}/{folder}")
 
@@ -133,7 +133,7 @@ class LiveTable:
                 slots = catalog.assign_slots(old.select("run", "color_slot"), found)
                 runs = slots.join(catalog.admit_runs(old.select("run", "enabled"), found.select("run"), max_runs), "run")
                 next_["runs"] = f"runs-{number}"
-                runs.select("run", "color_slot", "enabled").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/{next_['runs']}")
+                runs.select("run", "color_slot", "enabled").repartition(1).write.mode("overwrite").parquet(f"{self.folder}/{next_['runs']}")
         finally:
             found.unpersist()
         if facts["n"]:
@@ -158,7 +158,7 @@ class LiveTable:
             again = summary.ends(self.points(next_, grown)).withColumnRenamed("first", "all_first").withColumnRenamed("last", "all_last")
             merged = merged.join(again, ["run", "tag"], "left").withColumn("first", F.coalesce("all_first", "first")).withColumn("last", F.coalesce("all_last", "last"))
         next_["series"] = f"series-{number}"
-        merged.select("run", "tag", "offered", "stride", "least_wall", "first", "last").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/{next_['series']}")
+        merged.select("run", "tag", "offered", "stride", "least_wall", "first", "last").repartition(1).write.mode("overwrite").parquet(f"{self.folder}/{next_['series']}")
         self._merge(number, next_)
 
     def _merge(self, number: int, manifest: dict) -> None:

@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from curvemill.plans import catalogue
+from curvemill.sources import tables
+from curvemill.streaming.table import LiveTable
 
 
 def events(spark, folder, n, tag="view"):
@@ -20,3 +22,12 @@ def test_streams_keep_all_points_of_long_series(spark, tmp_path, name):
     n = 105_000  # 103,950 of one series
     found = catalogue.QUERIES[name](spark, events(spark, tmp_path, n))
     assert found.agg(F.count("*"), F.count_distinct("step"), F.sum("step")).first()[:] == (n, n, n * (n - 1) // 2)
+
+
+def test_a_task_of_a_live_table_sorts_a_bounded_part_of_a_batch(spark, tmp_path):
+    n = 1_100_000
+    points = tables.event_points(spark, events(spark, tmp_path, n))
+    live = LiveTable(spark, str(tmp_path / "live"))
+    live.apply(points, 0)
+    sizes = [spark.read.parquet(f).count() for f in live.points().inputFiles()]
+    assert sum(sizes) == n and len(sizes) >= 3 and max(sizes) <= 1.3 * (1 << 19)
