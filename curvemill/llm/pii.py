@@ -8,8 +8,8 @@ The tagger is trained in numpy on labelled windows: a bounded sample of the corp
 smallest hashes, labelled by the base spans) and generated lines with labelled spans in forms the patterns do not
 have, beside numbers that are no personal data. Training is seeded and gives the same model on every run.
 
-Whole texts are tagged in overlapping windows of ``WINDOW`` characters, every ``STEP``. A span must hold a digit, an @ or the word dot, so only windows with one of
-these are decoded, which loses nothing. Each window is decoded by Viterbi. Of overlapping windows, each character has the tag of the one in
+Whole texts are tagged in overlapping windows of ``WINDOW`` characters, every ``STEP``. A plausible span holds a digit, an @, or the word at in a line with a dot (``triggers``), so windows with one of
+these are decoded, and from there on those next to a tagged edge, as far as tags go on. That gives what decoding all windows would: what is left out has no tags that could be part of a plausible span. Each window is decoded by Viterbi. Of overlapping windows, each character has the tag of the one in
 whose middle it lies, so it has seen at least (WINDOW - STEP) / 2 characters on both sides; the tags of a whole text together are read as spans, which may
 so be longer than any window. A span is added if the posterior of its tags is ``CONFIDENT`` on average, if it is plausible (number of digits, Luhn sum, parts), and if it overlaps
 no base span; of overlapping ones the surest goes first.
@@ -48,8 +48,9 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 TRIGGER = np.isin(np.arange(256), list(b"0123456789@"))
-_DOT_BYTES = re.compile(rb"(?<![A-Za-z])[dD][oO][tT](?![A-Za-z])")
-_DOT = re.compile(r"(?<![A-Za-z])[dD][oO][tT](?![A-Za-z])")
+_AT_BYTES = re.compile(rb"(?<![A-Za-z])[aA][tT](?![A-Za-z])")
+_AT = re.compile(r"(?<![A-Za-z])[aA][tT](?![A-Za-z])")
+_DOT = re.compile(r"\.|[dD][oO][tT]")
 
 Span = tuple[str, int, int]
 
@@ -356,31 +357,54 @@ def plausible(kind: str, text: str) -> bool:
     return len(text) >= 16 and bool(digits) and re.search(r"\s", text) is None
 
 
+def triggers(text: str, ids: np.ndarray) -> np.ndarray:
+    """Places one of which lies in every plausible span: digits, @, and the word at in lines with a dot, in sign or letters."""
+    places, line = [np.flatnonzero((ids == 1) | (ids == _SYMBOL[ord("@")]))], 0
+    if _AT.search(text):
+        for part in text.split("\n"):
+            if _DOT.search(part):
+                places.append(np.array([line + m.start() for m in _AT.finditer(part)], np.int64))
+            line += len(part) + 1
+    return np.concatenate(places).astype(np.int64)
+
+
 def added_spans(text: str, base: list[Span], tagger: Tagger, most: int = 256) -> list[Span]:
     """The spans that the tagger adds to the base spans of a whole text, secrets among them."""
     ids = symbols(text)
     n = len(ids)
-    trigger = np.concatenate((np.flatnonzero((ids == 1) | (ids == _SYMBOL[ord("@")])), [m.start() for m in _DOT.finditer(text)])).astype(np.int64)
-    if not len(trigger):
+    found = triggers(text, ids)
+    if not len(found):
         return []
     # window k has characters k * STEP - margin on; the middle STEP of them are its own
     margin = (WINDOW - STEP) // 2
-    grid = np.unique((trigger[:, None] // STEP + np.arange(-1, 2)).ravel())
-    grid = grid[(grid >= 0) & (grid * STEP < n)]
     padded = np.concatenate((np.full(margin, PAD), ids, np.full(WINDOW + STEP, PAD)))
-    free = np.ones(n + STEP, bool)
+    free = np.zeros(n + STEP, bool)
+    free[:n] = True
     for _, start, end in base:
         free[start:end] = False
     tags, sure = np.zeros(n + STEP, np.int64), np.zeros(n + STEP)
-    for i in range(0, len(grid), most):
-        at = grid[i : i + most] * STEP
-        found, e = tagger.decode(padded[at[:, None] + np.arange(WINDOW)])
-        own = found[:, margin : margin + STEP]
-        place = at[:, None] + np.arange(STEP)
-        tags[place] = own
-        needed = ((own > 0) & free[place]).any(1)  # posteriors of what is in a base span are of no use
-        if needed.any():
-            sure[place[needed]] = tagger.posterior(e[needed], found[needed])[:, margin : margin + STEP]
+    done = np.zeros(-(-n // STEP), bool)
+    grid, reach = np.unique(found // STEP), 1
+    while len(grid):
+        done[grid] = True
+        for i in range(0, len(grid), most):
+            at = grid[i : i + most] * STEP
+            found, e = tagger.decode(padded[at[:, None] + np.arange(WINDOW)])
+            own = found[:, margin : margin + STEP]
+            place = at[:, None] + np.arange(STEP)
+            tags[place] = own
+            needed = ((own > 0) & free[place]).any(1)  # posteriors of what is in a base span are of no use
+            if needed.any():
+                sure[place[needed]] = tagger.posterior(e[needed], found[needed])[:, margin : margin + STEP]
+        first, last = grid * STEP, np.minimum(grid * STEP + STEP, n) - 1
+        left = grid[(tags[first] > 0) & (tags[first] % 2 == 0) & free[first]]  # a begin tag needs nothing before it
+        right = grid[(tags[last] > 0) & free[last]]
+        left, right = left[(left > 0) & ~done[left - 1]], right[right + 1 < len(done)]
+        right = right[~done[right + 1]]
+        steps = np.arange(1, reach + 1)
+        grid = np.unique(np.concatenate(((left[:, None] - steps).ravel(), (right[:, None] + steps).ravel())))
+        grid = grid[(grid >= 0) & (grid < len(done))]
+        grid, reach = grid[~done[grid]], 2 * reach
     tags = np.where(free, tags, 0)[:n]
     kind = (tags + 1) // 2
     begins = np.flatnonzero((tags > 0) & ((tags % 2 == 1) | (np.concatenate(([0], kind[:-1])) != kind)))
@@ -461,7 +485,7 @@ def _find(tagger):
                 rows = [(0, 0, 0, 0, nothing, "", 0, "", 0, False)] * part.num_rows
                 texts = Texts(part.column("text"))
                 has = texts.per_text(TRIGGER) > 0
-                for m in _DOT_BYTES.finditer(texts.data.tobytes()):
+                for m in _AT_BYTES.finditer(texts.data.tobytes()):
                     has[np.searchsorted(texts.offsets, m.start(), side="right") - 1] = True
                 for i in np.flatnonzero(has).tolist():
                     text = part.column("text")[i].as_py()
