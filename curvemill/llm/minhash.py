@@ -10,7 +10,8 @@ Exact copies (equal texts) are put together first and stand as one document. Sig
 pair is a candidate if it shares a bucket (an equal band). Verification is by the Jaccard of the shingle sets, at least ``THRESHOLD``, on
 32-bit fingerprints of shingles (two texts of 550 words have a false match with probability 7e-5).
 
-First every member of a bucket is compared with the bucket's own leader. Members that hang together with their leader over a few of these links are
+First every member of a bucket is compared with the bucket's leader, which of its members is the one that meets most texts in its buckets; so a large group of near copies has few leaders, and
+a text few of them, whatever the number of buckets that it shares. Members that hang together with their leader over a few of these links are
 settled and need no comparison with one another. The others are compared with all members: where they are at most ``BLOCK``, settled members are dealt into blocks of
 that size, and the others with each block are a group of bounded size, in which pairs are first screened by the sizes of their shingle sets, which loses none, taken only in the
 first bucket they share, and verified unless both are already in one component of the group. The members of more crowded buckets, which share a band but not the text, are joined by their
@@ -252,10 +253,12 @@ def _compare(threshold: float):
 
 def near_links(members: DataFrame, texts: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b) verified links between the members of buckets; members is a stored table (bucket, band, node), texts (node, key, least) tells where each node's text is."""
-    order = F.struct(F.xxhash64("node", "bucket").alias("order"), F.col("node").alias("node"))  # each bucket has a leader of its own
-    crowds = members.groupBy("bucket").agg(F.min(order).alias("lead"), F.count("*").alias("n")).where("n > 1")
-    crowds = small(stored(crowds.select("bucket", F.col("lead.node").alias("a")), "leaders"))
-    crowded = stored(members.join(crowds, "bucket"), "members")
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    met = stored(members.join(small(stored(sizes, "sizes")), "bucket"), "met")
+    mates = small(stored(met.groupBy("node").agg(F.sum("n").alias("mates")), "mates"))
+    order = F.struct((-F.col("mates")).alias("order"), F.xxhash64("node").alias("hash"), F.col("node").alias("node"))  # who meets most is the nearest to all, and leads in many buckets at once
+    crowds = small(stored(met.join(mates, "node").groupBy("bucket").agg(F.min(order).alias("lead")).select("bucket", F.col("lead.node").alias("a")), "leaders"))
+    crowded = stored(met.select("bucket", "band", "node").join(crowds, "bucket"), "members")
     needed = stored(texts.join(crowded.select("node").distinct(), "node", "left_semi"), "needed")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
