@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,12 +30,20 @@ def nice_ticks(lo: Column, hi: Column, n: int) -> Column:
         return none
     finite = ~(F.isnan(lo) | F.isnan(hi) | (F.abs(lo) == float("inf")) | (F.abs(hi) == float("inf")))
     lo1, hi1 = F.when(finite & (hi > lo), lo), F.when(finite & (hi > lo), hi)
-    step = tick_step(lo1, hi1, n)
-    first = F.ceil(lo1 / step).cast("double") * step
-    count = F.floor((hi1 + step * 1e-9 - first) / step).cast("int")
-    values = F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(0))), lambda i: first + i * step)
-    values = F.filter(values, lambda t: t <= hi1 + step * 1e-9)
-    snapped = F.transform(values, lambda t: F.when(F.abs(t) < step * 1e-9, 0.0).otherwise(t))
+
+    def once(value: Column, then: Callable[[Column], Column]) -> Column:
+        """What follows from a value that is computed once a row, not wherever it is used."""
+        return F.transform(F.array(value), then)[0]
+
+    def spread(b: Column) -> Column:
+        step, first, end = b["step"], b["first"], b["end"]
+        count = F.floor((end - first) / step).cast("int")
+        values = F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(0))), lambda i: first + i * step)
+        values = F.filter(values, lambda t: t <= end)
+        return F.transform(values, lambda t: F.when(F.abs(t) < step * 1e-9, 0.0).otherwise(t))
+
+    bound = lambda step: F.struct(step.alias("step"), (F.ceil(lo1 / step).cast("double") * step).alias("first"), (hi1 + step * 1e-9).alias("end"))
+    snapped = once(tick_step(lo1, hi1, n), lambda step: once(bound(step), spread))
     return F.when(finite & (hi > lo), snapped).when(finite & (hi <= lo), F.array(lo)).otherwise(none)
 
 

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from curvemill.functions import ticks
 from curvemill.plans import catalogue
 from curvemill.sources import tables
 from curvemill.streaming.table import LiveTable
@@ -31,3 +32,9 @@ def test_a_task_of_a_live_table_sorts_a_bounded_part_of_a_batch(spark, tmp_path)
     live.apply(points, 0)
     sizes = [spark.read.parquet(f).count() for f in live.points().inputFiles()]
     assert sum(sizes) == n and len(sizes) >= 3 and max(sizes) <= 1.3 * (1 << 19)
+
+
+def test_ticks_compute_their_step_once_a_row(spark):
+    some = spark.createDataFrame([(0.0, 9.0), (-3.0, 4.5), (2.0, 2.0)], "lo double, hi double").select(ticks.nice_ticks(F.col("lo"), F.col("hi"), 5).alias("t"))
+    assert some._jdf.queryExecution().analyzed().toString().lower().count("log10") <= 16
+    assert [r["t"] for r in some.collect()] == [[0.0, 2.5, 5.0, 7.5], [-2.0, 0.0, 2.0, 4.0], [2.0]]
