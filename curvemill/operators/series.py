@@ -19,6 +19,8 @@ def sorted_series(points: DataFrame) -> DataFrame:
 
 #: Steps, or units of a table's arrival order, that one task looks at together.
 CHUNK = 1 << 20
+#: Points of a table in a chunk of its arrival order, where these are sparse.
+CHUNK_POINTS = 1 << 18
 
 
 def numbered(points: DataFrame) -> DataFrame:
@@ -37,9 +39,13 @@ def numbered(points: DataFrame) -> DataFrame:
 def backward_steps(points: DataFrame) -> DataFrame:
     """(run, tag, backwards): how many points of each series arrived after a later step.
 
-    Points are compared within chunks of their files, and the first of each chunk with the last of the chunk before it.
+    Points are compared within chunks of their files, and the first of each chunk with the last of the chunk before it. Chunks are as wide as ``CHUNK_POINTS`` points are on
+    average, ``CHUNK`` at least, so there are few of them however sparse the arrival numbers.
     """
-    chunked = points.withColumn("chunk", F.floor(F.col("rec_off") / CHUNK))
+    at = F.col("rec_off").cast("double")
+    width = F.greatest(F.lit(float(CHUNK)), (F.col("high") - F.col("low")) * CHUNK_POINTS / F.col("n"))
+    facts = points.agg(F.min(at).alias("low"), F.max(at).alias("high"), F.count("*").alias("n"))
+    chunked = points.crossJoin(F.broadcast(facts)).withColumn("chunk", F.floor((at - F.col("low")) / width)).drop("low", "high", "n")
     key = ["run", "tag", "path", "chunk"]
     back = chunked.withColumn("before", F.lag("step").over(Window.partitionBy(*key).orderBy("rec_off", "val_idx")))
     at = F.struct("rec_off", "val_idx")
