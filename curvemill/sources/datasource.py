@@ -42,6 +42,10 @@ SPLIT_BYTES = 32 << 20
 WALKERS = 16
 
 
+#: Ranges of one read, beyond which they are widened up to what a task reads to prove a start.
+MANY = 1024
+
+
 @dataclass
 class Range(InputPartition):
     """Records of a file from start to stop. Where ``every`` is set, start is the place of a range of so many bytes, and the task finds the records; length is the file's, as listed."""
@@ -65,6 +69,11 @@ def ranges(f: files.EventFile, low: int, every: int, limit: int | None = None) -
     return [Range(f.run, f.path, f.parts, at, None, length, every, at == low, limit) for at in range(low, length, every)]
 
 
+def widened(every: int, total: int) -> int:
+    """The bytes of a range where so many are read in all: each task reads ``splits.PROOF`` to find its start, so many ranges of less would read everything again and again."""
+    return every and max(every, min(splits.PROOF, -(-total // MANY)))
+
+
 @dataclass
 class State:
     """How far whole records of a range reach, whether no later range of the file has any, and whether the file is dead, and why."""
@@ -123,7 +132,8 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[Range]:
         found = [f for f in files.discover(self.path) if "run" not in self.only or f.run in self.only["run"]]
-        return [r for f in found for r in ranges(f, 0, self.split if self.view == "points" else 0)]
+        every = widened(self.split, sum(f.length for f in found)) if self.view == "points" else 0
+        return [r for f in found for r in ranges(f, 0, every)]
 
     def read(self, part: Range) -> Iterator:
         if self.view == "points":
@@ -177,7 +187,8 @@ class _StreamReader(DataSourceStreamReader):
         grown = [f for f in files.discover(self.path) if after.get(f.path, 0) > before.get(f.path, 0) and dead.get(f.path, 1 << 62) > before.get(f.path, 0)]
         with ThreadPoolExecutor(WALKERS) as readers:
             places = list(readers.map(lambda f: ledger.place(self.state, f.path, before.get(f.path, 0)), grown))
-        return [r for f, at in zip(grown, places) for r in ranges(f, at, self.split, after[f.path])]
+        every = widened(self.split, sum(after[f.path] - at for f, at in zip(grown, places)))
+        return [r for f, at in zip(grown, places) for r in ranges(f, at, every, after[f.path])]
 
     def read(self, part: Range) -> Iterator:
         state = State(part.start)

@@ -192,3 +192,9 @@ def test_stream_in_ranges_restarts_without_gaps(spark, tmp_path):
     assert [(r["rec_off"], r["step"]) for r in got] == [(r[6], r[2]) for r in whole(f"{log}/r/tfevents")]
     with pytest.raises(Exception, match="stateDir"):
         spark.readStream.format("tfevents").load(log).writeStream.format("noop").trigger(availableNow=True).start().awaitTermination()
+
+
+def test_many_ranges_are_widened(monkeypatch):
+    monkeypatch.setattr(splits, "PROOF", 1 << 18)
+    assert datasource.widened(0, 1 << 40) == 0 and datasource.widened(4096, 1 << 20) == 4096
+    assert datasource.widened(4096, 100 << 20) == 102_400 and datasource.widened(4096, 1 << 40) == 1 << 18 and datasource.widened(32 << 20, 1 << 50) == 32 << 20
