@@ -9,7 +9,7 @@ smallest hashes, labelled by the base spans) and generated lines with labelled s
 have, beside numbers that are no personal data. Training is seeded and gives the same model on every run.
 
 Whole texts are tagged in overlapping windows of ``WINDOW`` characters, every ``STEP``. A plausible span holds a digit, an @, or the word at in a line with a dot (``triggers``), so windows with one of
-these are decoded, and from there on those next to a tagged edge, as far as tags go on. That gives what decoding all windows would: what is left out has no tags that could be part of a plausible span. Each window is decoded by Viterbi. Of overlapping windows, each character has the tag of the one in
+these outside base spans are decoded, those of many texts together, and from there on those next to a tagged edge, as far as tags go on. That gives what decoding all windows would: what is left out has no tags that could be part of a plausible span. Each window is decoded by Viterbi. Of overlapping windows, each character has the tag of the one in
 whose middle it lies, so it has seen at least (WINDOW - STEP) / 2 characters on both sides; the tags of a whole text together are read as spans, which may
 so be longer than any window. A span is added if the posterior of its tags is ``CONFIDENT`` on average, if it is plausible (number of digits, Luhn sum, parts), and if it overlaps
 no base span; of overlapping ones the surest goes first.
@@ -23,7 +23,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +41,8 @@ EMBED, HIDDEN = 16, 32
 #: Training: windows of the corpus, generated lines, length of both, steps, windows a step, and rate.
 SAMPLE, MADE, LINE, STEPS, BATCH, RATE = 600, 6000, 64, 420, 64, 0.025
 CONFIDENT = 0.7
+#: Windows that are decoded at once; characters of texts, padding included, whose windows are gathered for it.
+TOGETHER, LAID = 64, 1 << 20
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -109,10 +111,6 @@ def symbols(text: str) -> np.ndarray:
     return np.where(codes < 128, _SYMBOL[np.minimum(codes, 127)], SYMBOLS - 2)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1 + np.tanh(0.5 * x))
-
-
 class Tagger:
     """The network: embedding, an LSTM in each direction, a linear layer and CRF transitions."""
 
@@ -133,15 +131,19 @@ class Tagger:
     def _run(self, x: np.ndarray, d: str) -> tuple[np.ndarray, tuple]:
         b, t, _ = x.shape
         n = HIDDEN
-        pre = np.ascontiguousarray((x @ self.p[f"x{d}"] + self.p[f"b{d}"]).swapaxes(0, 1))
+        half = np.repeat(np.array([0.5, 1], np.float32), [3 * n, n])  # sigmoid(x) is 0.5 * (1 + tanh(0.5 * x)), so one tanh does for all gates
+        pre = np.ascontiguousarray(((x @ self.p[f"x{d}"] + self.p[f"b{d}"]) * half).swapaxes(0, 1))
+        move = self.p[f"h{d}"] * half
         h = c = np.zeros((b, n), np.float32)
         hs, cs, gates = np.empty((t, b, n), np.float32), np.empty((t, b, n), np.float32), np.empty((t, b, 4 * n), np.float32)
         for i in range(t) if d == "f" else range(t - 1, -1, -1):
-            z = pre[i] + h @ self.p[f"h{d}"]
-            gates[i, :, : 3 * n] = _sigmoid(z[:, : 3 * n])
-            g = gates[i, :, 3 * n :] = np.tanh(z[:, 3 * n :])
-            cs[i] = c = gates[i, :, n : 2 * n] * c + gates[i, :, :n] * g
-            hs[i] = h = gates[i, :, 2 * n : 3 * n] * np.tanh(c)
+            z = np.matmul(h, move, out=gates[i])
+            z += pre[i]
+            np.tanh(z, out=z)
+            z[:, : 3 * n] += 1
+            z[:, : 3 * n] *= 0.5
+            cs[i] = c = z[:, n : 2 * n] * c + z[:, :n] * z[:, 3 * n :]
+            hs[i] = h = z[:, 2 * n : 3 * n] * np.tanh(c)
         return hs, (hs, cs, gates)
 
     def _run_back(self, d_hs: np.ndarray, kept: tuple, d: str) -> tuple[np.ndarray, np.ndarray]:
@@ -240,9 +242,9 @@ class Tagger:
         b, t, _ = e.shape
         best, back = self.p["start"] + self.allowed[0] + e[:, 0], np.zeros((b, t, TAGS), np.int8)
         for i in range(1, t):
-            step = best[:, :, None] + move
-            back[:, i] = step.argmax(1)
-            best = step.max(1) + e[:, i]
+            step = best.T[:, :, None] + move[:, None]
+            back[:, i] = step.argmax(0)
+            best = step.max(0) + e[:, i]
         tags = np.empty((b, t), np.int64)
         tags[:, -1] = best.argmax(1)
         for i in range(t - 1, 0, -1):
@@ -368,44 +370,87 @@ def triggers(text: str, ids: np.ndarray) -> np.ndarray:
     return np.concatenate(places).astype(np.int64)
 
 
-def added_spans(text: str, base: list[Span], tagger: Tagger, most: int = 256) -> list[Span]:
+def added_spans(text: str, base: list[Span], tagger: Tagger) -> list[Span]:
     """The spans that the tagger adds to the base spans of a whole text, secrets among them."""
-    ids = symbols(text)
-    n = len(ids)
-    found = triggers(text, ids)
-    if not len(found):
-        return []
+    return next(all_added_spans([(text, base)], tagger))
+
+
+def all_added_spans(texts: Iterable[tuple[str, list[Span]]], tagger: Tagger) -> Iterator[list[Span]]:
+    """``added_spans`` of each of many texts with their base spans; their windows are decoded together, up to ``LAID`` characters or so at a time."""
+    held: list[tuple[str, list[Span], np.ndarray, np.ndarray]] = []
+    size = 0
+    for text, base in texts:
+        ids = symbols(text)
+        free = np.ones(len(ids), bool)
+        for _, start, end in base:
+            free[start:end] = False
+        found = triggers(text, ids)
+        held.append((text, ids, free, found[free[found]]))  # added spans overlap no base span
+        size += len(ids) + 2 * STEP
+        if size >= LAID:
+            yield from _added_together(held, tagger)
+            held, size = [], 0
+    yield from _added_together(held, tagger)
+
+
+def _added_together(texts: list[tuple[str, np.ndarray, np.ndarray, np.ndarray]], tagger: Tagger) -> list[list[Span]]:
+    """The added spans of texts, given as text, symbols, what is free of base spans, and triggers."""
+    some = [k for k, (_, _, _, found) in enumerate(texts) if len(found)]
+    out: list[list[Span]] = [[] for _ in texts]
+    if not some:
+        return out
+    # texts are laid out one after another in steps, with at least one step of padding behind each: no window sees two.
     # window k has characters k * STEP - margin on; the middle STEP of them are its own
     margin = (WINDOW - STEP) // 2
-    padded = np.concatenate((np.full(margin, PAD), ids, np.full(WINDOW + STEP, PAD)))
-    free = np.zeros(n + STEP, bool)
-    free[:n] = True
-    for _, start, end in base:
-        free[start:end] = False
-    tags, sure = np.zeros(n + STEP, np.int64), np.zeros(n + STEP)
-    done = np.zeros(-(-n // STEP), bool)
-    grid, reach = np.unique(found // STEP), 1
+    steps = np.array([-(-len(texts[k][1]) // STEP) + 1 for k in some])
+    first = np.concatenate(([0], np.cumsum(steps)))
+    padded = np.full(int(first[-1]) * STEP + WINDOW, PAD)
+    free = np.zeros(int(first[-1]) * STEP, bool)
+    owner = np.repeat(np.arange(len(some)), steps)
+    owner[first[1:] - 1] = -1
+    for i, k in enumerate(some):
+        _, ids, own, _ = texts[k]
+        at = int(first[i]) * STEP
+        padded[margin + at : margin + at + len(ids)] = ids
+        free[at : at + len(ids)] = own
+    tags, sure = np.zeros(len(free), np.int64), np.zeros(len(free))
+    done = np.zeros(len(owner), bool)
+    grid, reach = np.concatenate([first[i] + np.unique(texts[k][3] // STEP) for i, k in enumerate(some)]), 1
     while len(grid):
         done[grid] = True
-        for i in range(0, len(grid), most):
-            at = grid[i : i + most] * STEP
-            found, e = tagger.decode(padded[at[:, None] + np.arange(WINDOW)])
-            own = found[:, margin : margin + STEP]
-            place = at[:, None] + np.arange(STEP)
+        for i in range(0, len(grid), TOGETHER):
+            part = grid[i : i + TOGETHER]
+            # always as many windows: products of other shapes are rounded otherwise
+            ids = np.full((TOGETHER, WINDOW), PAD)
+            ids[: len(part)] = padded[part[:, None] * STEP + np.arange(WINDOW)]
+            found, e = tagger.decode(ids)
+            own = found[: len(part), margin : margin + STEP]
+            place = part[:, None] * STEP + np.arange(STEP)
             tags[place] = own
-            needed = ((own > 0) & free[place]).any(1)  # posteriors of what is in a base span are of no use
-            if needed.any():
-                sure[place[needed]] = tagger.posterior(e[needed], found[needed])[:, margin : margin + STEP]
-        first, last = grid * STEP, np.minimum(grid * STEP + STEP, n) - 1
-        left = grid[(tags[first] > 0) & (tags[first] % 2 == 0) & free[first]]  # a begin tag needs nothing before it
+            if ((own > 0) & free[place]).any():  # posteriors of what is in a base span are of no use
+                sure[place] = tagger.posterior(e, found)[: len(part), margin : margin + STEP]
+        start, last = grid * STEP, grid * STEP + STEP - 1
+        left = grid[(tags[start] > 0) & (tags[start] % 2 == 0) & free[start]]  # a begin tag needs nothing before it
         right = grid[(tags[last] > 0) & free[last]]
-        left, right = left[(left > 0) & ~done[left - 1]], right[right + 1 < len(done)]
-        right = right[~done[right + 1]]
-        steps = np.arange(1, reach + 1)
-        grid = np.unique(np.concatenate(((left[:, None] - steps).ravel(), (right[:, None] + steps).ravel())))
-        grid = grid[(grid >= 0) & (grid < len(done))]
-        grid, reach = grid[~done[grid]], 2 * reach
-    tags = np.where(free, tags, 0)[:n]
+        left, right = left[(left > 0) & ~done[left - 1]], right[~done[right + 1]]  # behind a text's last window there is one of padding
+        further = np.arange(1, reach + 1)
+        grid, by = np.concatenate(((left[:, None] - further).ravel(), (right[:, None] + further).ravel())), np.repeat(np.concatenate((owner[left], owner[right])), reach)
+        inside = (grid >= 0) & (grid < len(done))
+        grid, by = grid[inside], by[inside]
+        grid = np.unique(grid[(owner[grid] == by) & ~done[grid]])
+        reach *= 2
+    tags = np.where(free, tags, 0)
+    tagged = np.concatenate(([0], np.cumsum(tags > 0)))
+    for i, k in enumerate(some):
+        text, ids, own, _ = texts[k]
+        at = int(first[i]) * STEP
+        if tagged[at + len(ids)] > tagged[at]:
+            out[k] = _read_spans(text, tags[at : at + len(ids)], sure[at : at + len(ids)], own)
+    return out
+
+
+def _read_spans(text: str, tags: np.ndarray, sure: np.ndarray, free: np.ndarray) -> list[Span]:
+    """The spans that the tags of a whole text give: plausible ones, the surest first."""
     kind = (tags + 1) // 2
     begins = np.flatnonzero((tags > 0) & ((tags % 2 == 1) | (np.concatenate(([0], kind[:-1])) != kind)))
     stops = np.flatnonzero((tags > 0) & (np.concatenate((kind[1:], [0])) != kind) | (np.concatenate((tags[1:] % 2 == 1, [False])) & (tags > 0))) + 1
@@ -487,10 +532,9 @@ def _find(tagger):
                 has = texts.per_text(TRIGGER) > 0
                 for m in _AT_BYTES.finditer(texts.data.tobytes()):
                     has[np.searchsorted(texts.offsets, m.start(), side="right") - 1] = True
-                for i in np.flatnonzero(has).tolist():
-                    text = part.column("text")[i].as_py()
-                    base = base_spans(text)
-                    every = added_spans(text, base, tagger.value)
+                at = np.flatnonzero(has).tolist()
+                known = [(text, base_spans(text)) for text in part.column("text").take(pa.array(at, pa.int64())).to_pylist()]
+                for i, (_, base), every in zip(at, known, all_added_spans(known, tagger.value)):
                     more, secret = [x for x in every if x[0] in KINDS], [x for x in every if x[0] not in KINDS]
                     counts = [sum(s[0] == k for s in base) for k in KINDS]
                     digest = hashlib.sha256(joined(base).encode()).hexdigest()
