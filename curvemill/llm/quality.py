@@ -37,6 +37,8 @@ MIN_WORDS, WINDOW, REPEATED_PERCENT = 10, 5, 20
 BELOW, ABOVE, SHORT = 3.0, 4.0, 80
 #: N-grams a task holds before it adds up what it has.
 HELD = 4_000_000
+#: N-grams a task gives to Spark at once.
+GIVEN = 1 << 16
 #: N-grams that may come to every task; the others are looked up by an exchange.
 HEAD = 1 << 20
 
@@ -109,7 +111,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held = 0
     for lang, parts in seen.items():
         keys, n = add_up(parts)
-        yield pa.record_batch([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(n)], names=["lang", "ngram", "n"])
+        for i in range(0, len(keys), GIVEN):
+            some = keys[i : i + GIVEN]
+            yield pa.record_batch([pa.array([lang] * len(some), pa.string()), pa.array(some), pa.array(n[i : i + GIVEN])], names=["lang", "ngram", "n"])
 
 
 def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str | None, pa.RecordBatch]]:
@@ -203,7 +207,7 @@ def _discounted(level: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame) -> DataFrame:
     """(lang, ngram, n, log0, log1): every n-gram of all documents, its count, and its log probability by the models of both halves."""
-    levels = [stored(count_ngrams(docs), "ngrams")]
+    levels = [stored(count_ngrams(docs), "ngrams", texts=True)]
     for k in range(ORDER - 1, 0, -1):  # continuation counts: how many different symbols precede
         below = levels[-1].groupBy("lang", _suffix(k).alias("ngram")).agg(*[F.count_if(F.col(f"n{h}") > 0).alias(f"n{h}") for h in "01"])
         levels.append(stored(below, "ngrams"))
@@ -326,7 +330,7 @@ def features(docs: DataFrame, keep: list[str]) -> DataFrame:
     schema = "".join(f"{own[c]} {fields[c]}, " for c in own) + "".join(f"{c} long, " for c in FEATURES) + "log_sum double, lang_half string, row long, ngram long, times long"
     # the row number follows from the scan alone, so a task that runs again gives its rows the same numbers
     slim = _grouped(docs.select("text", "lang", *[F.col(f"`{c}`").alias(a) for c, a in own.items()]), ["text", *own.values()]).withColumn("row", F.monotonically_increasing_id())
-    found = stored(slim.mapInArrow(tidy(_score(head, list(own.values()))), schema), "quality")
+    found = stored(slim.mapInArrow(tidy(_score(head, list(own.values()))), schema), "quality", texts=True)
     rare = found.where("ngram is not null").select("row", "ngram", "times", F.substring("lang_half", 2, 1 << 30).alias("lang"), F.col("lang_half").startswith("0").alias("first"))
     logs = rare.join(model, ["lang", "ngram"]).groupBy("row").agg(F.sum(F.col("times") * F.when(F.col("first"), F.col("log1")).otherwise(F.col("log0"))).alias("rare_sum"))
     whole = found.where("ngram is null").join(small(stored(logs, "rare")), "row", "left")

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -74,10 +75,39 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Writes a DataFrame to the shared folder and reads it back: lineage ends there, and a lost executor costs nothing."""
+#: Whole texts that Spark hands to Python at once: by its own 10,000, a batch takes tens of MB in each of an executor's tasks and again in their Python workers.
+TEXTS = 2000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_short_lock = threading.Lock()
+#: By session: how many threads have batches of texts in it now, and the setting before.
+_short: dict[str, tuple[int, str]] = {}
+
+
+@contextmanager
+def batches_of_texts(spark: SparkSession) -> Iterator[None]:
+    """Within the block, Spark hands at most ``TEXTS`` rows to Python at once; then the session has its own setting again."""
+    session = spark._jsparkSession.sessionUUID()
+    with _short_lock:
+        inside, own = _short.get(session) or (0, spark.conf.get(_ROWS))
+        _short[session] = inside + 1, own
+        if not inside and not 0 < int(own) <= TEXTS:
+            spark.conf.set(_ROWS, str(TEXTS))
+    try:
+        yield
+    finally:
+        with _short_lock:
+            inside, own = _short.pop(session)
+            if inside > 1:
+                _short[session] = inside - 1, own
+            else:
+                spark.conf.set(_ROWS, own)
+
+
+def stored(df: DataFrame, label: str, texts: bool = False) -> DataFrame:
+    """Writes a DataFrame to the shared folder and reads it back: lineage ends there, and a lost executor costs nothing. texts: Python gets whole texts for it."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with batches_of_texts(df.sparkSession) if texts else nullcontext():
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -371,7 +371,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int, folder: str, *, leng
     order = (F.col("doc_id"), F.xxhash64("text"))
     ranged = ranged.repartitionByRange(tasks_for(docs), *order)
     index = ranged.sortWithinPartitions(*order).mapInArrow(tidy(_writer(folder, tokenizer, end, length, wide)), INDEX)
-    return stored(index, "token-index")
+    return stored(index, "token-index", texts=True)
 
 
 def _crc(folder: str):
