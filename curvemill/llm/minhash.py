@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curvemill.llm.graph import components
-from curvemill.llm.shared import small, stored, tasks_for
+from curvemill.llm.shared import small, stored, stored_texts, tasks_for
 from curvemill.llm.textbuf import WORD_BYTE, Texts, byte_values, mix64, pieces, tidy, windows
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -264,10 +264,10 @@ def near_links(members: DataFrame, texts: DataFrame, docs: DataFrame, threshold:
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     mine = F.col("doc_id").eqNullSafe(F.col("least")) & (text_key(F.col("text")) == F.col("key"))
     own = slim.join(small(needed), mine).groupBy(F.col("node").alias("doc_id")).agg(F.min("text").alias("text"))
-    known = stored(profiles(own), "profiles", texts=True)
+    known = stored_texts(profiles(own), "profiles")
 
     pairs = crowded.where("node <> a").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-    links = stored(verified(stored(pairs, "pairs"), known, threshold), "links", texts=True)
+    links = stored_texts(verified(stored(pairs, "pairs"), known, threshold), "links")
 
     labels = near_labels(links)
     named = crowded.join(labels, "node", "left").select("bucket", "band", "node", "a", F.coalesce("label", "node").alias("label"))
@@ -285,11 +285,11 @@ def near_links(members: DataFrame, texts: DataFrame, docs: DataFrame, threshold:
     keys = ["bucket", "low", "high"]
     dealt = dealt.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "band", "block", "label", "node")
     full = dealt.join(known, "node").repartition(tasks_for(known), *keys).sortWithinPartitions(*keys)
-    links = stored(links.union(full.mapInArrow(tidy(_compare(threshold)), "a long, b long")), "links", texts=True)
+    links = stored_texts(links.union(full.mapInArrow(tidy(_compare(threshold)), "a long, b long")), "links")
     if crowds.isEmpty():
         return links
     crowd = named.join(small(stored(crowds, "crowds")), "bucket").select("node").distinct().join(near_labels(links), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-    return links.union(stored(crowd_links(crowd, known, threshold), "links", texts=True))
+    return links.union(stored_texts(crowd_links(crowd, known, threshold), "links"))
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,7 +307,7 @@ def crowd_links(crowd: DataFrame, known: DataFrame, threshold: float = THRESHOLD
     Fingerprints are put in order of rarity; two sets of that Jaccard have one in common among the first of each, and not so far on that the rest could not make up the overlap.
     """
     owned = crowd.withColumnRenamed("label", "group").join(known.select("node", "prints"), "node")
-    tokens = stored(owned.mapInArrow(tidy(_tokens), "node long, group long, n int, token int"), "crowd-tokens", texts=True)
+    tokens = stored_texts(owned.mapInArrow(tidy(_tokens), "node long, group long, n int, token int"), "crowd-tokens")
     counts = tokens.groupBy("token").agg(F.count("*").alias("often"))
     ordered = tokens.join(counts.where("often > 1"), "token", "left").withColumn("often", F.coalesce("often", F.lit(1)))
     ordered = ordered.groupBy("node", "group", "n").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("tokens"))
@@ -330,7 +330,7 @@ def texts_of(found: DataFrame) -> DataFrame:
 
 def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(doc_id, key) of every row, and (key, node, component, class_id) of every text."""
-    found = stored(sketches(docs), "sketches", texts=True)
+    found = stored_texts(sketches(docs), "sketches")
     texts = texts_of(found)
     members = stored(texts.select(F.posexplode("bands").alias("band", "bucket"), "node").distinct(), "members")
     links = near_links(members, texts.select("node", "key", "least"), docs, threshold)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curvemill.llm.shared import small, stored
+from curvemill.llm.shared import small, stored, stored_texts
 from curvemill.llm.textbuf import CODE_POINT, WORD_BYTE, Texts, byte_values, pieces, tidy, windows
 
 ORDER, BITS = 4, 16
@@ -207,7 +207,7 @@ def _discounted(level: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame) -> DataFrame:
     """(lang, ngram, n, log0, log1): every n-gram of all documents, its count, and its log probability by the models of both halves."""
-    levels = [stored(count_ngrams(docs), "ngrams", texts=True)]
+    levels = [stored_texts(count_ngrams(docs), "ngrams")]
     for k in range(ORDER - 1, 0, -1):  # continuation counts: how many different symbols precede
         below = levels[-1].groupBy("lang", _suffix(k).alias("ngram")).agg(*[F.count_if(F.col(f"n{h}") > 0).alias(f"n{h}") for h in "01"])
         levels.append(stored(below, "ngrams"))
@@ -330,7 +330,7 @@ def features(docs: DataFrame, keep: list[str]) -> DataFrame:
     schema = "".join(f"{own[c]} {fields[c]}, " for c in own) + "".join(f"{c} long, " for c in FEATURES) + "log_sum double, lang_half string, row long, ngram long, times long"
     # the row number follows from the scan alone, so a task that runs again gives its rows the same numbers
     slim = _grouped(docs.select("text", "lang", *[F.col(f"`{c}`").alias(a) for c, a in own.items()]), ["text", *own.values()]).withColumn("row", F.monotonically_increasing_id())
-    found = stored(slim.mapInArrow(tidy(_score(head, list(own.values()))), schema), "quality", texts=True)
+    found = stored_texts(slim.mapInArrow(tidy(_score(head, list(own.values()))), schema), "quality")
     rare = found.where("ngram is not null").select("row", "ngram", "times", F.substring("lang_half", 2, 1 << 30).alias("lang"), F.col("lang_half").startswith("0").alias("first"))
     logs = rare.join(model, ["lang", "ngram"]).groupBy("row").agg(F.sum(F.col("times") * F.when(F.col("first"), F.col("log1")).otherwise(F.col("log0"))).alias("rare_sum"))
     whole = found.where("ngram is null").join(small(stored(logs, "rare")), "row", "left")

@@ -6,7 +6,7 @@ import tempfile
 import threading
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager, nullcontext
+from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -103,14 +103,19 @@ def batches_of_texts(spark: SparkSession) -> Iterator[None]:
                 spark.conf.set(_ROWS, own)
 
 
-def stored(df: DataFrame, label: str, texts: bool = False) -> DataFrame:
-    """Writes a DataFrame to the shared folder and reads it back: lineage ends there, and a lost executor costs nothing. texts: Python gets whole texts for it."""
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Writes a DataFrame to the shared folder and reads it back: lineage ends there, and a lost executor costs nothing."""
     path = scratch_path(df.sparkSession, label)
-    with batches_of_texts(df.sparkSession) if texts else nullcontext():
-        df.write.parquet(path)
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_texts(df: DataFrame, label: str) -> DataFrame:
+    """``stored`` for what Python makes of whole texts."""
+    with batches_of_texts(df.sparkSession):
+        return stored(df, label)
+
+
 #: What a broadcast table may take in memory, by ``memory_bytes``.
 BROADCAST_BYTES = 64 << 20
 #: Bytes of a row of a hashed table besides its values; how much larger texts are in memory than in files.

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from curvemill.llm.shared import as_uri, scratch_path, stored, tasks_for
+from curvemill.llm.shared import as_uri, scratch_path, stored_texts, tasks_for
 from curvemill.llm.textbuf import Texts, mix64, pieces, tidy
 
 LENGTH = 2048
@@ -371,7 +371,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int, folder: str, *, leng
     order = (F.col("doc_id"), F.xxhash64("text"))
     ranged = ranged.repartitionByRange(tasks_for(docs), *order)
     index = ranged.sortWithinPartitions(*order).mapInArrow(tidy(_writer(folder, tokenizer, end, length, wide)), INDEX)
-    return stored(index, "token-index", texts=True)
+    return stored_texts(index, "token-index")
 
 
 def _crc(folder: str):

@@ -16,7 +16,7 @@ def test_python_gets_texts_in_short_batches(spark):
 
     own = spark.conf.get(ROWS)
     sizes = spark.range(0, 9000, 1, 1).mapInArrow(count, "n long")
-    short = [r["n"] for r in shared.stored(sizes, "sizes", texts=True).collect()]
+    short = [r["n"] for r in shared.stored_texts(sizes, "sizes").collect()]
     assert max(short) <= shared.TEXTS < 9000 and sum(short) == 9000
     assert spark.conf.get(ROWS) == own
     assert max(r["n"] for r in shared.stored(sizes, "sizes").collect()) > shared.TEXTS
