@@ -36,7 +36,9 @@ MIN_WORDS, WINDOW, REPEATED_PERCENT = 10, 5, 20
 #: The band below and above the median, in spreads of log perplexity; the number of words at which its variance has doubled.
 BELOW, ABOVE, SHORT = 3.0, 4.0, 80
 #: N-grams a task holds before it adds up what it has.
-HELD = 4_000_000
+HELD = 1_000_000
+#: Bytes of texts that are taken as symbols together; each takes some 100 bytes meanwhile.
+SYMBOL_BYTES = 1 << 18
 #: N-grams a task gives to Spark at once.
 GIVEN = 1 << 16
 #: N-grams that may come to every task; the others are looked up by an exchange.
@@ -101,7 +103,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     held = 0
     for batch in batches:
-        for part in pieces(batch, "text"):
+        for part in pieces(batch, "text", SYMBOL_BYTES):
             for lang, rows in _by_language(part):
                 codes, keys = pd.factorize(ngrams(Texts(rows.column("text"))))
                 seen.setdefault(lang, []).append((keys, np.bincount(codes, minlength=len(keys))))
@@ -201,8 +203,10 @@ def _discounted(level: DataFrame) -> DataFrame:
     """An order's counts with the discounts of its languages, a row each: d{half}{1 to 3}."""
     tally = [F.count_if(F.col(f"n{h}") == c).alias(f"c{h}{c}") for h in "01" for c in (1, 2, 3, 4)]
     rows = [(r["lang"], *(d for h in "01" for d in discounts([r[f"c{h}{c}"] for c in (1, 2, 3, 4)]))) for r in level.groupBy("lang").agg(*tally).collect()]
-    schema = "lang string, " + ", ".join(f"d{h}{c} double" for h in "01" for c in (1, 2, 3))
-    return level.join(F.broadcast(level.sparkSession.createDataFrame(rows, schema)), "lang")
+    schema = pa.schema([("lang", pa.string()), *((f"d{h}{c}", pa.float64()) for h in "01" for c in (1, 2, 3))])
+    # of a list of rows Spark would make an RDD that Python workers of their own read
+    few = pa.table([list(c) for c in zip(*rows)] or [[] for _ in schema], schema=schema)
+    return level.join(F.broadcast(level.sparkSession.createDataFrame(few)), "lang")
 
 
 def train(docs: DataFrame) -> DataFrame:
@@ -294,7 +298,7 @@ _RARE = {"row": pa.int64(), "ngram": pa.int64(), "times": pa.int64()}
 def _score(head, columns: list[str]):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", SYMBOL_BYTES):
                 n = part.num_rows
                 found = text_features(Texts(part.column("text")))
                 logs, groups = np.zeros(n), np.array(part.column("lang_half").to_pylist(), object)

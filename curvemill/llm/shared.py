@@ -77,21 +77,25 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
 
 #: Whole texts that Spark hands to Python at once: by its own 10,000, a batch takes tens of MB in each of an executor's tasks and again in their Python workers.
 TEXTS = 2000
-_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes of them at which a batch is closed, so that long texts come in shorter batches.
+TEXT_BYTES = 1 << 20
+_ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 _short_lock = threading.Lock()
-#: By session: how many threads have batches of texts in it now, and the setting before.
-_short: dict[str, tuple[int, str]] = {}
+#: By session: how many threads have batches of texts in it now, and the settings before.
+_short: dict[str, tuple[int, tuple[str, str | None]]] = {}
 
 
 @contextmanager
 def batches_of_texts(spark: SparkSession) -> Iterator[None]:
-    """Within the block, Spark hands at most ``TEXTS`` rows to Python at once; then the session has its own setting again."""
+    """Within the block, Spark hands at most ``TEXTS`` rows and, unless the session says otherwise, ``TEXT_BYTES`` to Python at once; then the session has its own settings again."""
     session = spark._jsparkSession.sessionUUID()
     with _short_lock:
-        inside, own = _short.get(session) or (0, spark.conf.get(_ROWS))
+        inside, own = _short.get(session) or (0, (spark.conf.get(_ROWS), spark.conf.get(_BYTES, None)))
         _short[session] = inside + 1, own
-        if not inside and not 0 < int(own) <= TEXTS:
+        if not inside and not 0 < int(own[0]) <= TEXTS:
             spark.conf.set(_ROWS, str(TEXTS))
+        if not inside and own[1] is None:
+            spark.conf.set(_BYTES, str(TEXT_BYTES))
     try:
         yield
     finally:
@@ -100,7 +104,9 @@ def batches_of_texts(spark: SparkSession) -> Iterator[None]:
             if inside > 1:
                 _short[session] = inside - 1, own
             else:
-                spark.conf.set(_ROWS, own)
+                spark.conf.set(_ROWS, own[0])
+                if own[1] is None:
+                    spark.conf.unset(_BYTES)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

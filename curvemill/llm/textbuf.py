@@ -153,10 +153,25 @@ def release() -> None:
         trim(0)
 
 
-def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A function for mapInArrow that gives the memory it freed back to the system at its end: Python workers live on while other stages run."""
+#: What drops the things that a worker remembers from one task to the next.
+FORGET: list[Callable[[], None]] = []
+
+
+def forget() -> None:
+    """Drops what tasks before have left in this worker."""
+    for drop in FORGET:
+        drop()
+
+
+def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], remembers: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that gives the memory it freed back to the system at its end: Python workers live on while other stages run.
+
+    Unless it remembers things itself, it first drops what tasks of other steps have left in the worker.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not remembers:
+            forget()
         yield from work(batches)
         release()
 

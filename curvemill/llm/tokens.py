@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curvemill.llm.shared import as_uri, scratch_path, stored_texts, tasks_for
-from curvemill.llm.textbuf import Texts, mix64, pieces, tidy
+from curvemill.llm.textbuf import FORGET, Texts, mix64, pieces, tidy
 
 LENGTH = 2048
 #: Sequences in a record batch.
@@ -253,10 +254,14 @@ class Encoder:
 
 @lru_cache(2)
 def encoder(path: str) -> Encoder:
-    """One encoder a worker process: its memory of pre-tokens outlives a task."""
+    """One encoder a worker process: its memory of pre-tokens outlives a task, until a task of another step comes."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; each thread of the library keeps memory of its own
     return Encoder(path)
 
 
+FORGET.append(encoder.cache_clear)
+
+
 class SequenceWriter:
     """Lays ids end to end in fixed-size-list batches of one Arrow file."""
 
@@ -370,7 +375,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int, folder: str, *, leng
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = (F.col("doc_id"), F.xxhash64("text"))
     ranged = ranged.repartitionByRange(tasks_for(docs), *order)
-    index = ranged.sortWithinPartitions(*order).mapInArrow(tidy(_writer(folder, tokenizer, end, length, wide)), INDEX)
+    index = ranged.sortWithinPartitions(*order).mapInArrow(tidy(_writer(folder, tokenizer, end, length, wide), remembers=True), INDEX)
     return stored_texts(index, "token-index")
 
 
